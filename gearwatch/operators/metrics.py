@@ -21,7 +21,7 @@ def _d(c: str | Column) -> Column:
 
 
 def score_table(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
-    """Distinct scores, highest first: n, pos, alerts and tp at that cutoff, totals N and P."""
+    """Distinct scores, highest first: n, pos, alerts and tp at that cutoff, totals tot and ptot."""
     counts = value_counts(
         df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()), by, score, {"pos": F.col(label).cast("bigint")}
     )
@@ -33,8 +33,8 @@ def score_table(df: DataFrame, by: Sequence[str], score: str = "score", label: s
         "pos",
         (F.col("n_before") + F.col("n")).alias("alerts"),
         (F.col("pos_before") + F.col("pos")).alias("tp"),
-        F.col("n_total").alias("N"),
-        F.col("pos_total").alias("P"),
+        F.col("n_total").alias("tot"),
+        F.col("pos_total").alias("ptot"),
     )
 
 
@@ -48,8 +48,8 @@ def ranking_quality(df: DataFrame, by: Sequence[str], score: str = "score", labe
     before = alerts - n
     p_before = F.when(before > 0, F.try_divide(tp - pos, before)).otherwise(F.lit(1.0))
     out = t.groupBy(*by).agg(
-        F.max("N").alias("rows"),
-        F.max("P").alias("positives"),
+        F.max("tot").alias("rows"),
+        F.max("ptot").alias("positives"),
         F.sum(pos * F.try_divide(tp, alerts)).alias("_ap"),
         F.sum((n - pos) * (tp - pos / 2)).alias("_auc"),
         F.sum(pos * (F.try_divide(tp, alerts) + p_before) / 2).alias("_pr"),
@@ -82,7 +82,7 @@ def pr_curve(df: DataFrame, by: Sequence[str], score: str = "score", label: str
         F.col("i_before").alias("position"),
         F.col(score).alias("cutoff"),
         F.try_divide(_d("tp"), _d("alerts")).alias("precision"),
-        ratio("tp", "P", 0.0).alias("recall"),
+        ratio("tp", "ptot", 0.0).alias("recall"),
     )
     end = F.struct(
         F.col("i_total").alias("position"),
@@ -156,7 +156,7 @@ def at_cutoff(df: DataFrame, by: Sequence[str], cutoff: float | str, score: str
 def top_share(df: DataFrame, by: Sequence[str], share: float, score: str = "score", label: str = "y") -> DataFrame:
     """Precision of the top share of scores; a tied block at the edge counts by its expectation."""
     t = score_table(df, by, score, label)
-    k = F.greatest(F.lit(1), F.ceil(_d("N") * share))
+    k = F.greatest(F.lit(1), F.ceil(_d("tot") * share))
     start = F.col("alerts") - F.col("n")
     edge = (start < k) & (k <= F.col("alerts"))
     hits = _d(F.col("tp") - F.col("pos")) + _d(k - start) * F.try_divide(_d("pos"), _d("n"))

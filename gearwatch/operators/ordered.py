@@ -31,15 +31,19 @@ def _precedes(left: Column, right: Column, keys: Sequence[Key]) -> Column:
     return out
 
 
-def with_range(df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, name: str = "_range") -> DataFrame:
+def with_range(
+    df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, name: str = "_range", carry: Sequence[str] = ()
+) -> DataFrame:
     """Add the number of the key range a row falls in (ranges follow the key order).
 
-    Key columns must be non-null.
+    Key columns must be non-null. ``carry`` names further columns the caller reads:
+    sampling them too leaves the input with the same columns in both branches, so
+    Spark reuses its exchange instead of computing it twice.
     """
     names = [k for k, _ in keys]
     sample = (
-        df.select(F.struct(*names).alias("k"))
-        .orderBy(F.xxhash64("k"))
+        df.select(F.struct(*names, *[c for c in carry if c not in names]).alias("k"))
+        .orderBy(F.xxhash64(*[F.col(f"k.{n}") for n in names]))
         .limit(ranges * SAMPLE_PER_RANGE)
         .agg(F.collect_list("k").alias("ks"))
         .select(
@@ -71,7 +75,8 @@ def running_totals(
     by = list(by)
     keys = [(b, True) for b in by] + list(order)
     cols = {n: (F.col(v) if isinstance(v, str) else v) for n, v in values.items()}
-    ranged = with_range(df, keys, ranges)
+    carry = [v for v in values.values() if isinstance(v, str)]
+    ranged = with_range(df, keys, ranges, carry=carry)
     cells = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_cell_{n}") for n, c in cols.items()])
     across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -109,8 +114,12 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, extra: Mapping[st
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, q: Mapping[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group, any group size. NULL values are ignored."""
-    counts = value_counts(df.filter(F.col(value).isNotNull()), by, value)
-    run = running_totals(counts, by, [(value, True)], {"n": "n"})
+    return quantiles_of_counts(value_counts(df.filter(F.col(value).isNotNull()), by, value), by, value, q)
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], value: str, q: Mapping[str, float]) -> DataFrame:
+    """The same from (group, value, n) rows with unique values."""
+    run = running_totals(counts.select(*by, value, "n"), by, [(value, True)], {"n": "n"})
     aggs = []
     for name, level in q.items():
         at = F.lit(float(level)) * (F.col("n_total") - 1)

@@ -24,11 +24,11 @@ def candidate_cutoffs(df: DataFrame, by: Sequence[str], score: str = "score", la
         "alerts",
         "tp",
         "n",
-        "N",
-        "P",
+        "tot",
+        "ptot",
         ratio("tp", "alerts", 0.0).alias("precision"),
-        ratio("tp", "P", 0.0).alias("recall"),
-        ratio(2 * F.col("tp"), F.col("alerts") + F.col("P"), 0.0).alias("f1"),
+        ratio("tp", "ptot", 0.0).alias("recall"),
+        ratio(2 * F.col("tp"), F.col("alerts") + F.col("ptot"), 0.0).alias("f1"),
     )
 
 
@@ -49,15 +49,15 @@ def choose_cutoffs(
     cut = F.col("cutoff")
     aggs = [
         F.max(F.struct("f1", "cutoff")).getField("cutoff").alias("_f1"),
-        F.max("N").alias("_n"),
-        F.max("P").alias("_p"),
+        F.max("tot").alias("_n"),
+        F.max("ptot").alias("_p"),
     ]
     for i, p in enumerate(min_precisions):
         aggs.append(
             F.max(F.when(F.col("precision") >= p, F.struct("recall", "cutoff"))).getField("cutoff").alias(f"_mp{i}")
         )
     for i, f in enumerate(top_fractions):
-        k = F.greatest(F.lit(1), F.ceil(F.col("N").cast("double") * f))
+        k = F.greatest(F.lit(1), F.ceil(F.col("tot").cast("double") * f))
         aggs.append(F.max(F.when((F.col("alerts") - F.col("n") < k) & (k <= F.col("alerts")), cut)).alias(f"_tf{i}"))
     g = c.groupBy(*by).agg(*aggs)
     both = (F.col("_p") > 0) & (F.col("_p") < F.col("_n"))
