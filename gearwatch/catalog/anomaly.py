@@ -134,14 +134,14 @@ RATES = ["clean_anomaly_rate", "isolated_anomaly_rate", "median_abs_z_clean", "m
 _CASE_OUT = """ SELECT ca.period, ca.part AS failed_part, ca.family AS failed_family, ca.sensor, CAST(t AS DOUBLE) AS z_threshold, count(*) AS case_assets,
  CAST(sum(cl.n) AS BIGINT) AS clean_rows, CAST(sum(ca.n) AS BIGINT) AS isolated_rows, round(avg(CASE t WHEN 2 THEN cl.r2 ELSE cl.r3 END), 9) AS clean_anomaly_rate,
  round(avg(CASE t WHEN 2 THEN ca.r2 ELSE ca.r3 END), 9) AS isolated_anomaly_rate, round(avg(cl.med), 9) AS median_abs_z_clean, round(avg(ca.med), 9) AS median_abs_z_isolated,
- round(avg(delta), 9) AS cliffs_delta, round((avg(CASE t WHEN 2 THEN ca.r2 ELSE ca.r3 END) - avg(CASE t WHEN 2 THEN cl.r2 ELSE cl.r3 END)) * 100, 7) AS anomaly_rate_diff_pp
+ round(avg(delta), 9) AS cliffs_delta, round((avg(CASE t WHEN 2 THEN ca.r2 ELSE ca.r3 END) - avg(CASE t WHEN 2 THEN cl.r2 ELSE cl.r3 END)) * 100, 9) AS anomaly_rate_diff_pp
  FROM ca JOIN cl USING (period, entity, sensor) JOIN dl ON dl.period = ca.period AND dl.part = ca.part AND dl.entity = ca.entity AND dl.sensor = ca.sensor
  CROSS JOIN (VALUES (2), (3)) v(t) GROUP BY ca.period, ca.part, ca.family, ca.sensor, t"""
 
 
 @query("case_control", CASE_SQL + _CASE_OUT)
 def case_control(spark, sf):
-    return rounded(rounded(C.summarize(effects(spark, sf)), RATES), ["anomaly_rate_diff_pp"], 7)
+    return rounded(rounded(C.summarize(effects(spark, sf)), RATES), ["anomaly_rate_diff_pp"])
 
 
 @query(
@@ -153,7 +153,7 @@ def case_control(spark, sf):
 )
 def case_control_direction(spark, sf):
     out = C.direction(C.summarize(effects(spark, sf)))
-    return rounded(out.select("period", "failed_part", "sensor", "z_threshold", "anomaly_rate_diff_pp", "direction_status"), ["anomaly_rate_diff_pp"], 7)
+    return rounded(out.select("period", "failed_part", "sensor", "z_threshold", "anomaly_rate_diff_pp", "direction_status"), ["anomaly_rate_diff_pp"])
 
 
 @query("case_control_bootstrap")

@@ -17,6 +17,7 @@ from gearwatch.functions.expressions import candidate_status, ratio
 from gearwatch.operators.ordered import row_numbers, running_totals
 from gearwatch.operators.robust import long_measures
 from gearwatch.operators.splits import period_column
+from gearwatch.session import materialize
 
 # Fixed values: |z| limits and the number of resamples.
 Z_LIMITS, RESAMPLES = (2.0, 3.0), 1000
@@ -39,12 +40,15 @@ def entity_effects(
     flat = days.filter(F.col("status").isin("clean", "isolated")).select(
         *by, entity, "status", "failed_part", "failed_family", *[F.abs(F.col(c)).alias(m) for m, c in z.items()]
     )
-    long = long_measures(flat, [*by, entity, "status", "failed_part", "failed_family"], list(z))
+    kinds = ["status", "failed_part", "failed_family"]
     key = [*by, entity, "sensor"]
+    long = materialize(
+        long_measures(flat, [*by, entity, *kinds], list(z)).groupBy(*key, *kinds, "value").agg(F.count(F.lit(1)).alias("n"))
+    )
     case = F.col("status") == "isolated"
-    counts = long.groupBy(*key, "value").agg(F.count(F.when(~case, F.lit(1))).alias("clean"))
+    counts = long.groupBy(*key, "value").agg(F.sum(F.when(case, F.lit(0)).otherwise(F.col("n"))).alias("clean"))
     run = running_totals(counts, key, [("value", True)], {"c": "clean"})
-    cases = long.filter(case).groupBy(*key, "failed_part", "failed_family", "value").agg(F.count(F.lit(1)).alias("n"))
+    cases = long.filter(case).drop("status")
     placed = cases.join(run, [*key, "value"]).filter(F.col("c_total") > 0)
     above = F.col("c_total") - F.col("c_before") - F.col("clean")
     part = [*by, "failed_part", "failed_family", "sensor", entity]
@@ -66,8 +70,10 @@ def entity_effects(
             for i, t in enumerate(limits)
         ]
     )
-    return case_side.join(clean_side, key).select(
-        *part, "isolated_rows", "clean_rows", "median_isolated", "median_clean", "delta", F.inline(cells)
+    return materialize(
+        case_side.join(clean_side, key).select(
+            *part, "isolated_rows", "clean_rows", "median_isolated", "median_clean", "delta", F.inline(cells)
+        )
     )
 
 
@@ -114,6 +120,8 @@ def bootstrap(effects: DataFrame, samples: int = RESAMPLES, seed: int = 42, by:
     ranked = row_numbers(
         effects.select(*key, entity, "isolated_rows", "isolated_hits", "clean_rows", "clean_hits"), key, [(entity, True)], "slot"
     )
+    pick = F.pmod(F.xxhash64(*key, "own_slot", "draw", F.lit(seed + 1)), F.col("slot_of")) + 1
+    ranked = materialize(ranked)
     own = ranked.select(
         *key, "slot",
         F.posexplode(
@@ -122,7 +130,6 @@ def bootstrap(effects: DataFrame, samples: int = RESAMPLES, seed: int = 42, by:
             )
         ).alias("draw", "diff"),
     )
-    pick = F.pmod(F.xxhash64(*key, "own_slot", "draw", F.lit(seed + 1)), F.col("slot_of")) + 1
     picks = (
         ranked.select(*key, F.col("slot").alias("own_slot"), "slot_of", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("draw"))
         .select(*key, "slot_of", "draw", pick.alias("slot"))

@@ -6,7 +6,7 @@ order key. Range limits come from a fixed-size bottom-k sample of the keys (a
 scalar subquery, so the plan stays lazy), each (group, range) cell is scanned
 by its own task, and the cells' totals, a table of at most groups + ranges
 rows, supply the offsets. The limits only steer balance: any limits give the
-same result. The key is the full (group, order key) tuple, so one hot group is
+same result. The input is written to the shared checkpoint folder first. The key is the (group, order key) tuple, so one hot group is
 spread over many ranges and many small groups share one.
 """
 
@@ -17,6 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gearwatch.session import materialize
+
 RANGES = 64
 SAMPLE_PER_RANGE = 32
 
@@ -31,19 +33,15 @@ def _precedes(left: Column, right: Column, keys: Sequence[Key]) -> Column:
     return out
 
 
-def with_range(
-    df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, name: str = "_range", carry: Sequence[str] = ()
-) -> DataFrame:
+def with_range(df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, name: str = "_range") -> DataFrame:
     """Add the number of the key range a row falls in (ranges follow the key order).
 
-    Key columns must be non-null. ``carry`` names further columns the caller reads:
-    sampling them too leaves the input with the same columns in both branches, so
-    Spark reuses its exchange instead of computing it twice.
+    Key columns must be non-null.
     """
     names = [k for k, _ in keys]
     sample = (
-        df.select(F.struct(*names, *[c for c in carry if c not in names]).alias("k"))
-        .orderBy(F.xxhash64(*[F.col(f"k.{n}") for n in names]))
+        df.select(F.struct(*names).alias("k"))
+        .orderBy(F.xxhash64("k"))
         .limit(ranges * SAMPLE_PER_RANGE)
         .agg(F.collect_list("k").alias("ks"))
         .select(
@@ -58,11 +56,25 @@ def with_range(
             )
         )
     )
-    limited = df.withColumn("_limits", sample.scalar())
     here = F.struct(*names)
-    return limited.withColumn(
-        name, F.size(F.filter("_limits", lambda limit: ~_precedes(here, limit, keys)))
-    ).drop("_limits")
+
+    def reached(limits: Column) -> Column:
+        return F.size(F.filter(limits, lambda limit: ~_precedes(here, limit, keys)))
+
+    # Two steps, block heads first, so a row meets few of the limits.
+    block = max(1, round(ranges**0.5))
+    start = (F.col("_block") - 1) * block
+    return (
+        df.withColumn("_limits", sample.scalar())
+        .withColumn("_block", reached(F.filter("_limits", lambda _, i: i % block == 0)))
+        .withColumn(
+            name,
+            F.when(F.col("_block") == 0, 0).otherwise(
+                start + reached(F.slice("_limits", F.greatest(start + 1, F.lit(1)), F.lit(block)))
+            ),
+        )
+        .drop("_limits", "_block")
+    )
 
 
 def running_totals(
@@ -73,10 +85,11 @@ def running_totals(
     The order key must be unique within a group.
     """
     by = list(by)
-    keys = [(b, True) for b in by] + list(order)
     cols = {n: (F.col(v) if isinstance(v, str) else v) for n, v in values.items()}
-    carry = [v for v in values.values() if isinstance(v, str)]
-    ranged = with_range(df, keys, ranges, carry=carry)
+    # Sampled, summed by cell and scanned: written once instead of computed three times.
+    # The group enters the key as a hash: any order of groups will do, and equal hashes only share a range.
+    source = materialize(df.withColumn("_group", F.xxhash64(*by) if by else F.lit(0).cast("bigint")))
+    ranged = with_range(source, [("_group", True), *order], ranges).drop("_group")
     cells = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_cell_{n}") for n, c in cols.items()])
     across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)

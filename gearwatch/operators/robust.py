@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gearwatch.operators.joins import fallback_lookup
 from gearwatch.operators.ordered import quantiles_of_counts
+from gearwatch.session import materialize
 
 # Consistency factor of the MAD, smallest usable scale, rows a level needs.
 MAD_SCALE, EPSILON, MIN_ROWS, OUTLIER_Z = 1.4826, 1e-12, 30, 3.0
@@ -25,7 +26,9 @@ def long_measures(df: DataFrame, keep: Sequence[str], measures: Sequence[str]) -
 
 def robust_stats(counts: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """rows, median, mad and population std per group from (group, value, n) rows."""
+    counts = materialize(counts)
     mid = quantiles_of_counts(counts, by, value, {"median": 0.5}).withColumnRenamed("n", "normal_rows")
+    mid = materialize(mid)
     around = counts.join(mid, list(by)).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     spread = quantiles_of_counts(
         around.groupBy(*by, "_dev").agg(F.sum("n").alias("n")), by, "_dev", {"mad": 0.5}
@@ -37,7 +40,7 @@ def robust_stats(counts: DataFrame, by: Sequence[str], value: str = "value") ->
     moments = around.groupBy(*by).agg(
         F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum(gap * gap * F.col("n")), n) - mean_gap * mean_gap)).alias("std")
     )
-    return mid.join(spread, list(by)).join(moments, list(by))
+    return materialize(mid.join(spread, list(by)).join(moments, list(by)))
 
 
 def fit_baseline(
@@ -106,7 +109,7 @@ def fit_baseline(
     a = F.col("a")
     a_stat = F.when(usable(a), a).otherwise(t_stat)
     a_scope = F.when(usable(a), "asset_tag").otherwise(t_scope)
-    return (
+    return materialize(
         row(whole, g, g_scope, g_reason, none, none)
         .unionByName(row(by_type, t_stat, t_scope, F.when(usable(t), "").otherwise(reason(t, "machine")), none, F.col("tkey")))
         .unionByName(

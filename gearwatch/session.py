@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -20,6 +21,7 @@ def local_session(app: str = "gearwatch", cores: str = "*", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -30,11 +32,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         folder = tempfile.mkdtemp(prefix="gearwatch-checkpoint-")
         spark.conf.set(CHECKPOINT_CONF, folder)
-    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def materialize(df):
-    """Cut lineage through the shared checkpoint folder (survives losing executors)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that several branches read into the shared checkpoint folder and read it back.
+
+    Cuts the lineage, so the branches do not repeat the work and a lost executor
+    does not either; unlike a checkpointed RDD the copy has size statistics, which
+    join planning needs.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/gearwatch/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
