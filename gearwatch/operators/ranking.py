@@ -69,16 +69,20 @@ def recent(df: DataFrame, date: str, ties: Sequence[str], n: int) -> DataFrame:
 def page(df: DataFrame, sort: str | None, descending: bool, number: int, size: int, key: Sequence[str]) -> tuple[DataFrame, dict]:
     """One page of a stable sort, the number clamped to the pages there are.
 
-    Positions come from range-partitioned running counts, so a page deep inside
-    a large table costs no more than the first and nothing is sorted in one task.
+    Positions come from range-partitioned running counts over the sort and key
+    columns alone, so a page deep inside a large table costs no more than the
+    first and nothing is sorted in one task; the page's keys then fetch its rows.
     """
     total = df.count()
     size = max(size, 1)
     pages = max(-(-total // size), 1)
     number = min(max(number, 0), pages - 1)
-    return positions(df, sort, descending, key).filter(
+    narrow = df.select(*dict.fromkeys([*([sort] if sort else []), *key]))
+    hits = positions(narrow, sort, descending, key).filter(
         (F.col("position") >= number * size) & (F.col("position") < (number + 1) * size)
-    ), {"total_rows": total, "page_count": pages, "page": number}
+    )
+    rows = df.join(hits.select(*key, "position"), list(key))
+    return rows, {"total_rows": total, "page_count": pages, "page": number}
 
 
 def positions(df: DataFrame, sort: str | None, descending: bool, key: Sequence[str]) -> DataFrame:
