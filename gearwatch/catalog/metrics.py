@@ -40,11 +40,12 @@ def curve_sql(source: str, by: str) -> str:
 
 CURVE = SCORED_SQL + curve_sql("scored", "split")
 
-QUALITY_SQL = """ SELECT split, max(tot) AS rows, max(ptot) AS positives, round(max(ptot) / max(tot), 9) AS positive_rate,
- round(sum(pos * (tp / alerts)) / max(ptot), 9) AS average_precision,
- round(sum((n - pos) * (tp - pos / 2)) / (max(ptot) * (max(tot) - max(ptot))), 9) AS roc_auc,
- round(sum(pos * (tp / alerts + CASE WHEN alerts > n THEN (tp - pos) / (alerts - n) ELSE 1.0 END) / 2) / max(ptot), 9) AS pr_auc_trapezoid,
- round(sum(pos * (tp / alerts)) / max(ptot) / (max(ptot) / max(tot)), 9) AS ap_lift FROM st GROUP BY split"""
+QUALITY_SQL = """, q AS (SELECT split, max(tot) AS rows, max(ptot) AS positives, CAST(max(ptot) AS DOUBLE) AS p, max(tot) - max(ptot) AS neg,
+   sum(pos * (tp / alerts)) AS ap, sum((n - pos) * (tp - pos / 2)) AS auc,
+   sum(pos * (tp / alerts + CASE WHEN alerts > n THEN (tp - pos) / (alerts - n) ELSE 1.0 END) / 2) AS pr FROM st GROUP BY split)
+ SELECT split, rows, positives, round(p / rows, 9) AS positive_rate, CASE WHEN p > 0 AND neg > 0 THEN round(ap / p, 9) END AS average_precision,
+ CASE WHEN p > 0 AND neg > 0 THEN round(auc / (p * neg), 9) END AS roc_auc, CASE WHEN p > 0 AND neg > 0 THEN round(pr / p, 9) END AS pr_auc_trapezoid,
+ CASE WHEN p > 0 AND neg > 0 THEN round(ap / p / (p / rows), 9) END AS ap_lift FROM q"""
 RANKED = ["positive_rate", "average_precision", "roc_auc", "pr_auc_trapezoid", "ap_lift"]
 
 
@@ -77,12 +78,12 @@ def group_rate_table(spark, sf):
     return rounded(table.unionByName(prior, allowMissingColumns=True), ["rate"])
 
 
-@query("avg_precision", CURVE + """ SELECT split, round(sum(pos * (tp / alerts)) / max(ptot), 9) AS average_precision FROM st GROUP BY split""")
+@query("avg_precision", "SELECT split, average_precision FROM (" + CURVE + QUALITY_SQL + ")")
 def avg_precision(spark, sf):
     return rounded(metrics.ranking_quality(scored(spark, sf), ["split"]).select("split", "average_precision"), ["average_precision"])
 
 
-@query("roc_auc", CURVE + """ SELECT split, round(sum((n - pos) * (tp - pos / 2)) / (max(ptot) * (max(tot) - max(ptot))), 9) AS roc_auc FROM st GROUP BY split""")
+@query("roc_auc", "SELECT split, roc_auc FROM (" + CURVE + QUALITY_SQL + ")")
 def roc_auc(spark, sf):
     return rounded(metrics.ranking_quality(scored(spark, sf), ["split"]).select("split", "roc_auc"), ["roc_auc"])
 

@@ -9,12 +9,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gearwatch.functions.expressions import candidate_status, ratio
-from gearwatch.operators.ordered import row_numbers, running_totals
+from gearwatch.operators.ordered import row_numbers
 from gearwatch.operators.robust import long_measures
 from gearwatch.operators.splits import period_column
 from gearwatch.session import materialize
@@ -47,7 +47,12 @@ def entity_effects(
     )
     case = F.col("status") == "isolated"
     counts = long.groupBy(*key, "value").agg(F.sum(F.when(case, F.lit(0)).otherwise(F.col("n"))).alias("clean"))
-    run = running_totals(counts, key, [("value", True)], {"c": "clean"})
+    # One entity's clean days, so at most the calendar, stand in a window group.
+    group = Window.partitionBy(*key)
+    earlier = group.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    run = counts.withColumns(
+        {"c_before": F.coalesce(F.sum("clean").over(earlier), F.lit(0)), "c_total": F.sum("clean").over(group)}
+    )
     cases = long.filter(case).drop("status")
     placed = cases.join(run, [*key, "value"]).filter(F.col("c_total") > 0)
     above = F.col("c_total") - F.col("c_before") - F.col("clean")

@@ -39,6 +39,7 @@ def with_range(df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, name: s
     Key columns must be non-null.
     """
     names = [k for k, _ in keys]
+    block = max(1, round(ranges**0.5))
     sample = (
         df.select(F.struct(*names).alias("k"))
         .orderBy(F.xxhash64("k"))
@@ -53,8 +54,9 @@ def with_range(df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, name: s
         .select(
             F.filter(
                 "ks", lambda _, i: i % F.greatest(F.lit(1), F.floor(F.size("ks") / ranges).cast("int")) == 0
-            )
+            ).alias("limits")
         )
+        .select(F.struct("limits", F.filter("limits", lambda _, i: i % block == 0).alias("heads")))
     )
     here = F.struct(*names)
 
@@ -62,15 +64,14 @@ def with_range(df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, name: s
         return F.size(F.filter(limits, lambda limit: ~_precedes(here, limit, keys)))
 
     # Two steps, block heads first, so a row meets few of the limits.
-    block = max(1, round(ranges**0.5))
     start = (F.col("_block") - 1) * block
     return (
         df.withColumn("_limits", sample.scalar())
-        .withColumn("_block", reached(F.filter("_limits", lambda _, i: i % block == 0)))
+        .withColumn("_block", reached(F.col("_limits.heads")))
         .withColumn(
             name,
             F.when(F.col("_block") == 0, 0).otherwise(
-                start + reached(F.slice("_limits", F.greatest(start + 1, F.lit(1)), F.lit(block)))
+                start + reached(F.slice("_limits.limits", F.greatest(start + 1, F.lit(1)), F.lit(block)))
             ),
         )
         .drop("_limits", "_block")

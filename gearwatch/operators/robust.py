@@ -1,7 +1,9 @@
 """Robust normal baselines (median, MAD, fallback levels) and robust z scores.
 
-Medians run on value counts with range-partitioned running totals, so the
-global level, which holds every clean row, is spread like any other sort.
+Medians of a type and of the whole fleet run on value counts with
+range-partitioned running totals, so the global level, which holds every clean
+row, is spread like any other sort. One entity's medians are plain percentiles:
+its rows are bounded by the days of the calendar.
 """
 
 from __future__ import annotations
@@ -43,6 +45,19 @@ def robust_stats(counts: DataFrame, by: Sequence[str], value: str = "value") ->
     return materialize(mid.join(spread, list(by)).join(moments, list(by)))
 
 
+def bounded_stats(counts: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """``robust_stats`` for groups of one entity: its days bound what a percentile holds."""
+    mid = counts.groupBy(*by).agg(F.sum("n").alias("normal_rows"), F.percentile(value, 0.5, F.col("n")).alias("median"))
+    gap = F.col(value) - F.col("median")
+    n = F.sum("n")
+    mean_gap = F.try_divide(F.sum(gap * F.col("n")), n)
+    variance = F.try_divide(F.sum(gap * gap * F.col("n")), n) - mean_gap * mean_gap
+    spread = counts.join(mid, list(by)).groupBy(*by).agg(
+        F.percentile(F.abs(gap), 0.5, F.col("n")).alias("mad"), F.sqrt(F.greatest(F.lit(0.0), variance)).alias("std")
+    )
+    return materialize(mid.join(spread, list(by)))
+
+
 def fit_baseline(
     clean: DataFrame, measures: Sequence[str], entity: str = "entity", etype: str = "etype",
     min_rows: int = MIN_ROWS, epsilon: float = EPSILON,
@@ -58,18 +73,22 @@ def fit_baseline(
         .groupBy(etype, entity, "sensor", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    exact = materialize(exact)
     levels = F.array(
-        F.struct(F.lit("asset_tag").alias("level"), F.col(etype).cast("string").alias("tkey"), F.col(entity).cast("string").alias("ekey")),
-        F.struct(F.lit("machine_type").alias("level"), F.col(etype).cast("string").alias("tkey"), F.lit("").alias("ekey")),
-        F.struct(F.lit("global").alias("level"), F.lit("").alias("tkey"), F.lit("").alias("ekey")),
+        F.struct(F.lit("machine_type").alias("level"), F.col(etype).cast("string").alias("tkey")),
+        F.struct(F.lit("global").alias("level"), F.lit("").alias("tkey")),
     )
-    by = ["level", "tkey", "ekey", "sensor"]
+    by = ["level", "tkey", "sensor"]
     counts = exact.select("sensor", "value", "n", F.inline(levels)).groupBy(*by, "value").agg(F.sum("n").alias("n"))
     stats = robust_stats(counts, by)
+    entities = bounded_stats(exact, [etype, entity, "sensor"]).withColumns(
+        {"tkey": F.col(etype).cast("string"), "ekey": F.col(entity).cast("string")}
+    )
 
     def level(name: str, prefix: str, keys: Sequence[str]) -> DataFrame:
         packed = F.struct("normal_rows", "median", "mad", "std").alias(prefix)
-        return stats.filter(F.col("level") == name).select(*keys, "sensor", packed)
+        source = entities if name == "asset_tag" else stats.filter(F.col("level") == name)
+        return source.select(*keys, "sensor", packed)
 
     types = {entity: clean.schema[entity].dataType.simpleString(), etype: clean.schema[etype].dataType.simpleString()}
     whole = level("global", "g", [])

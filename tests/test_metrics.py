@@ -16,7 +16,7 @@ def scores(seeds=12, rows=60):
         y = (rng.random(rows) < 0.3).astype(int)
         y[:2] = [0, 1]
         s = np.round(rng.random(rows) * (0.5 + 0.5 * y), 1 + seed % 2)
-        parts.append(pd.DataFrame({"k": seed, "id": np.arange(rows), "y": y, "score": s}))
+        parts.append(pd.DataFrame({"grp": seed, "id": np.arange(rows), "y": y, "score": s}))
     return pd.concat(parts)
 
 
@@ -42,10 +42,10 @@ def brute(part):
 def test_ranking_metrics_equal_brute_force(spark):
     pdf = scores()
     df = spark.createDataFrame(pdf)
-    quality = metrics.ranking_quality(df, ["k"]).toPandas().set_index("k")
-    top = metrics.top_share(df, ["k"], 0.1).toPandas().set_index("k")
-    cut = thresholds.choose_cutoffs(df, ["k"]).filter("policy = 'f1'").toPandas().set_index("k")
-    for k, part in pdf.groupby("k"):
+    quality = metrics.ranking_quality(df, ["grp"]).toPandas().set_index("grp")
+    top = metrics.top_share(df, ["grp"], 0.1).toPandas().set_index("grp")
+    cut = thresholds.choose_cutoffs(df, ["grp"]).filter("policy = 'f1'").toPandas().set_index("grp")
+    for k, part in pdf.groupby("grp"):
         ap, auc, share, best = brute(part)
         assert quality.loc[k, "average_precision"] == pytest.approx(ap)
         assert quality.loc[k, "roc_auc"] == pytest.approx(auc)
@@ -63,8 +63,8 @@ def test_single_class_has_no_ranking_quality_and_default_cutoffs(spark):
 
 def test_pr_curve_thinning_matches_an_even_grid(spark):
     pdf = scores(1, 400).assign(score=lambda d: d.id / 400)
-    full = metrics.pr_curve(spark.createDataFrame(pdf), ["k"]).toPandas()
-    thin = metrics.pr_curve(spark.createDataFrame(pdf), ["k"], max_points=37).toPandas()
+    full = metrics.pr_curve(spark.createDataFrame(pdf), ["grp"]).toPandas()
+    thin = metrics.pr_curve(spark.createDataFrame(pdf), ["grp"], max_points=37).toPandas()
     want = set(np.unique(np.linspace(0, len(full) - 1, 37).astype(int)))
     assert set(thin.position) == want
 
