@@ -176,10 +176,15 @@ def out_of_range_days(df: DataFrame, bounds: DataFrame, measures: Sequence[str],
     return days.groupBy(entity, "sensor").agg(F.count(F.lit(1)).alias("days"), F.count(F.when(out, F.lit(1))).alias("out_days"))
 
 
-def residual_scales(residuals: DataFrame, by: Sequence[str], value: str = "residual", epsilon: float = EPSILON) -> DataFrame:
-    """Median and scale of residuals per group: MAD, else std, else constant 1."""
+def residual_scales(
+    residuals: DataFrame, by: Sequence[str], value: str = "residual", epsilon: float = EPSILON, bounded: bool = False
+) -> DataFrame:
+    """Median and scale of residuals per group: MAD, else std, else constant 1.
+
+    ``bounded`` says a group is one entity, whose rows are bounded by its days.
+    """
     counts = residuals.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    s = robust_stats(counts, by, value)
+    s = bounded_stats(counts, by, value) if bounded else robust_stats(counts, by, value)
     return s.select(
         *by, "normal_rows",
         F.col("median").alias("residual_median"), F.col("mad").alias("residual_mad"), F.col("std").alias("residual_std"),
