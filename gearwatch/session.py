@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +30,29 @@ def local_session(app: str = "gearwatch", cores: str = "*", partitions: int = 8)
     )
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh local one only where none is set (tests)."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="gearwatch-checkpoint-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    folder = tempfile.mkdtemp(prefix="gearwatch-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by the cluster.
+
+    Where none is set a session of one machine gets a scratch folder of its own, removed
+    when the process ends. On a cluster executors would each write to their own disk and
+    later reads would miss rows, so there a missing setting is an error.
+    """
+    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if re.fullmatch(r"local(\[[^\]]*\])?", master):
+        return _local_scratch()
+    raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share (master {master})")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table that several branches read into the shared checkpoint folder and read it back.
 
