@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gearwatch.llm import bpe
+from gearwatch.llm import bpe, jaccard, substrings
 from gearwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,17 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.load(spark, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)

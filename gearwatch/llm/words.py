@@ -111,15 +111,16 @@ class Words:
         return mix((sums[self.end] - sums[self.start]) * inverse[self.start])
 
     def windows(self, hashes: np.ndarray, width: int) -> np.ndarray:
-        """A hash of the ``width`` words from each word on; meaningless where the text ends sooner.
+        """A hash of the ``width`` words from each word on, or of fewer where the text ends sooner.
 
         Sums of word hashes times powers of a base, so the cost does not depend on the width.
         """
         power, inverse = powers(len(hashes))
         sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
         np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
-        last = np.minimum(np.arange(len(hashes)) + width, len(hashes))
-        return mix((sums[last] - sums[:-1]) * inverse[: len(hashes)] + np.uint64(width))
+        begin = np.arange(len(hashes))
+        last = np.minimum(begin + width, np.repeat(self.first[1:], self.count))
+        return mix((sums[last] - sums[:-1]) * inverse[: len(hashes)] + (last - begin).astype(np.uint64))
 
 
 def long(values: np.ndarray) -> pa.Array:
