@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gearwatch.llm import bpe, jaccard, substrings
+from gearwatch.llm import bpe, ctph, jaccard, language, mixing, packing, resample, rollup, substrings, topk
 from gearwatch.llm.common import table
+from gearwatch.llm.rollup import measured as rollup_rows
+from gearwatch.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,11 +31,97 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", "lang_pred", "score").select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_token_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents by words; all revised to a tokenizer of four-byte pieces; repeated texts deleted."""
+    rows = rollup_rows(table(spark, sf_dir, "documents"))
+    store = rollup.Rollup(spark, f"{checkpoint_dir(spark)}/rollup/{uuid.uuid4().hex}")
+    key = {k: F.col(k) for k in ("source", "lang")}
+    words = {**key, "tokenizer": F.lit("words-1"), "tokens": F.col("words")}
+    pieces = {**key, "tokenizer": F.lit("pieces-2"), "tokens": F.ceil(F.col("size") / 4)}
+    store.commit("load", rows.select(*rollup.change("insert", new=words)))
+    revised = rows.select(*rollup.change("revise", new=pieces, old=words))
+    store.commit("revise", revised)
+    store.commit("revise", revised)  # delivered twice, counted once
+    first = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"))
+    store.commit("delete", rows.join(first, "text_key").where("doc_id != first").select(*rollup.change("delete", old=pieces)))
+    return store.totals()
+
+
+SQL["op3_token_count_rollup"] = r"""
+WITH d AS (SELECT source, lang, doc_id, text, min(doc_id) OVER (PARTITION BY text) AS first, strlen(text) AS size FROM documents)
+SELECT source, lang, 'pieces-2' AS tokenizer, count(*) FILTER (doc_id = first) AS docs,
+  CAST(sum(CASE WHEN doc_id = first THEN (size + 3) // 4 ELSE 0 END) AS BIGINT) AS tokens FROM d GROUP BY source, lang
+UNION ALL
+SELECT DISTINCT source, lang, 'words-1', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM d
+"""
+
+
+@query
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.edited_and_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+SQL["op5_source_mix"] = r"""
+WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS o,
+    CAST(len(regexp_extract_all(text, '[^ 	-
+]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+n AS (SELECT *, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS weight, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS number FROM s),
+f AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / CAST(sum(weight) OVER (ORDER BY source_size / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM n),
+l AS (SELECT (SELECT level FROM f WHERE level * weight < 3 * source_size ORDER BY source_size / weight, number LIMIT 1) AS level),
+t AS (SELECT source, source_size, CASE WHEN f.level * weight >= 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE l.level * weight END AS target FROM f, l),
+w AS (SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS words, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id) - size AS BIGINT) AS start
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size
+    + greatest(0, least(start + size, words % source_size) - start) END AS BIGINT) AS taken FROM w
+"""
+
+
+@query
+def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op9_exact_top_k"] = """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id != q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 @query
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.load(spark, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)

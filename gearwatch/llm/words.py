@@ -78,11 +78,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 class Words:
     """Spans of the words of some texts: byte ``start`` and ``end``, number of the ``text``."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, separator: np.ndarray = SEPARATOR):
         self.data, self.offsets = utf8(texts)
         self.n_texts = len(self.offsets) - 1
         inside = np.zeros(len(self.data) + 2, dtype=bool)
-        inside[1:-1] = ~SEPARATOR[self.data]
+        inside[1:-1] = ~separator[self.data]
         begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
         edge = self.offsets[1:-1]  # a text's first byte begins a word, its last one ends a word
         edge = edge[edge < len(self.data)]
