@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructField, StructType, BinaryType, LongType, StringType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from gearwatch.llm.words import mix, slices
 
@@ -213,20 +213,30 @@ def load(spark, path: str, pattern: str):
     return spark.sparkContext.broadcast(Tokenizer(read_ranks(path), pattern))
 
 
-def encode(docs: DataFrame, tokenizer, column: str = "text", out: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, tokenizer, column: str = "text", out: str = "token_ids", checked: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``out``: ids as little-endian unsigned 32-bit integers, four bytes a token.
 
-    ``docs`` must not have a column ``out`` yet.
+    With ``checked`` also ``n_tokens``, and ``round_trip``: whether the ids decode to the text.
+    ``docs`` must not have columns of these names yet.
     """
     kept = docs.columns
+    made = [StructField(out, BinaryType())]
+    if checked:
+        made += [StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer.value
         for batch in batches:
             for part in slices(batch, column):
-                ids = tokenizer.value.encode_all(part.column(kept.index(column)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*kept, out])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, BinaryType())]))
+                texts = part.column(kept.index(column)).to_pylist()
+                ids = own.encode_all(texts)
+                columns = [*part.columns, pa.array(ids, pa.binary())]
+                if checked:
+                    columns.append(pa.array([len(x) // 4 for x in ids], pa.int64()))
+                    columns.append(pa.array([own.decode(x) == (t or "").encode() for x, t in zip(ids, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *[f.name for f in made]])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *made]))
 
 
 def decode(encoded: DataFrame, tokenizer, column: str = "token_ids", out: str = "decoded") -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gearwatch.llm.words import Words, mix, powers, slices
 from gearwatch.llm.words import _BYTE
@@ -287,18 +288,21 @@ def predictions(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` in a struct ``row``, with ``lang_pred`` and ``score``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    source = docs.toDF(*names)
+    text = names[docs.columns.index(text_col)]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, text):
                 if shared.value is None or not shared.value.languages:
                     name, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 else:
-                    name, score = predictions(shared.value, part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
+                    name, score = predictions(shared.value, part.column(names.index(text)))
+                made = [pa.array(name, pa.string()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, "lang_pred", "score"])
 
-    schema = source.select("row").schema.add("lang_pred", "string").add("score", "double")
-    return source.mapInArrow(run, schema)
+    schema = StructType([*source.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    row = F.struct(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return source.mapInArrow(run, schema).select(row.alias("row"), "lang_pred", "score")

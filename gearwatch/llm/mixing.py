@@ -22,6 +22,7 @@ is never taken.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,15 @@ SPAN = 1 << 20
 PHI_SPAN = 0.607787409740351  # frac(SPAN * phi), see golden_point
 
 
+def shuffled(id_col: str):
+    """Place of an id in the shuffled order of its source."""
+    return F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+
+
+def tie(text_col: str):
+    return F.crc32(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
 def word_counts(batches):
     for batch in batches:
         for part in slices(batch, "text"):
@@ -52,8 +62,8 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     narrow = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
-        F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).alias("order"),
-        F.crc32(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("tie"),
+        shuffled(id_col).alias("order"),
+        tie(text_col).alias("tie"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
     )
     return narrow.mapInArrow(word_counts, "id long, source string, order string, tie long, size long")
@@ -119,7 +129,7 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS,
     """The documents with size, source_size and target, and the mix itself.
 
     The mix has a row per run of words: ``slot`` (null at the end of the schedule), ``rank``
-    of the block in its source, ``turn`` of the line, id, order, tie and source of the document, ``begin`` and ``length`` of the run in words.
+    of the block in its source, ``turn`` of the line, ``start`` of the document on it, id, order, tie and source of the document, ``begin`` and ``length`` of the run in words.
     """
     spark = docs.sparkSession
     rows = materialize(sized(docs, **columns))
@@ -138,9 +148,9 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS,
     turns = turns.withColumn("high", F.least(F.col("low") + F.col("size"), F.col("words"))).where("low < high")
     cut = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))
     begin, end = F.greatest("low", F.col("rank") * block), F.least("high", (F.col("rank") + 1) * block)
-    runs = cut.select("number", "rank", "turn", "id", "order", "tie", "source", (begin - F.col("low")).alias("begin"), (end - begin).alias("length"))
+    runs = cut.select("number", "rank", "turn", "start", "id", "order", "tie", "source", (begin - F.col("low")).alias("begin"), (end - begin).alias("length"))
     slots = schedule(spark, goals.select("number", "words"), total, n_sources, block)
-    mixed = runs.join(slots, ["number", "rank"], "left").select("slot", "rank", "turn", "id", "order", "tie", "source", "begin", "length")
+    mixed = runs.join(slots, ["number", "rank"], "left").select("slot", "rank", "turn", "start", "id", "order", "tie", "source", "begin", "length")
     return placed.drop("number", "weight", "words"), mixed
 
 
@@ -156,3 +166,31 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     return counted.join(sums, key, "left").select(
         F.col("id").cast(LongType()).alias("doc_id"), "size", "source_size", "target", F.coalesce(part, F.lit(0)).cast("long").alias("taken")
     )
+
+
+def first_words(batches):
+    """The texts whole, or their first ``take`` words joined by a space where they have more."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            text, take = part.column("text"), part.column("take").to_numpy()
+            words = Words(text)
+            out = text.to_pylist()
+            for i in np.flatnonzero(words.count > take):
+                low = words.first[i]
+                spans = zip(words.start[low : low + take[i]].tolist(), words.end[low : low + take[i]].tolist())
+                out[i] = b" ".join(words.data[a:b].tobytes() for a, b in spans).decode()
+            columns = [pa.array(out, text.type) if name == "text" else part.column(name) for name in part.schema.names if name != "take"]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in part.schema.names if n != "take"])
+
+
+def mixed_texts(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Packed documents (id, text, rest) as the mix takes them: one row per document and turn.
+
+    Where a source's target ends inside a text, that row has the first words only.
+    """
+    same = Window.partitionBy("order", "tie")
+    turns = runs.groupBy("order", "tie", "start", "turn").agg(F.sum("length").alias("take"))
+    turns = turns.withColumn("copy", F.dense_rank().over(same.orderBy("start"))).drop("start", "turn")
+    keyed = rows.withColumn("order", shuffled("id")).withColumn("tie", tie("text")).withColumn("copy_", F.row_number().over(same.orderBy("id")))
+    met = keyed.join(turns, ["order", "tie"]).where("copy = copy_").select("id", "text", "rest", "take")
+    return met.mapInArrow(first_words, met.select("id", "text", "rest").schema)

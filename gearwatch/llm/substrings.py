@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -133,7 +134,7 @@ def _kept_bytes(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[~drop], np.concatenate([[0], np.cumsum(length)])
 
 
-def _removal(width: int, digest: bool):
+def _removal(width: int, digest: bool, keep_unchanged: bool):
     def run(key, docs, verdicts):
         unit = _Unit(docs, width)
         begin = np.flatnonzero(unit.whole)
@@ -163,15 +164,18 @@ def _removal(width: int, digest: bool):
         join = lambda xs: pa.array(np.concatenate(xs) if xs else [], pa.int64())
         out = {name: unit.table.column(name) for name in unit.table.column_names if name not in ("unit", "text")}
         out |= {"n_words": join(n_words), "n_removed": join(n_removed), "kept": pa.chunked_array(kept, pa.string())}
+        if keep_unchanged and not digest:
+            out["kept"] = pc.if_else(pc.equal(out["n_removed"], 0), unit.table.column("text").cast(pa.string()), out["kept"])
         return pa.table(out)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, unit_bytes: int = UNIT_BYTES, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, unit_bytes: int = UNIT_BYTES, digest: bool = False, keep_unchanged: bool = False) -> DataFrame:
     """For packed documents (``id``, ``text`` and perhaps ``rest``): id, rest, n_words, n_removed, kept.
 
     ``kept`` is the remaining words joined by one space, or with ``digest`` its SHA-256.
+    With ``keep_unchanged`` a text that loses no word stays as it is.
     """
     if width < PERIOD:
         raise ValueError(f"width must be at least {PERIOD}")
@@ -185,7 +189,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, unit_bytes: int = UNIT_B
     later = full.groupBy("bucket").applyInArrow(_later, "unit long, hashes binary")
     made = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
     schema = StructType([f for f in docs.schema.fields if f.name != "text"] + made)
-    return by_unit.cogroup(later.groupBy("unit")).applyInArrow(_removal(width, digest), schema)
+    return by_unit.cogroup(later.groupBy("unit")).applyInArrow(_removal(width, digest, keep_unchanged), schema)
 
 
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
