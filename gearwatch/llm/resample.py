@@ -11,7 +11,8 @@ ids are broadcast. The model of all texts counts every document. Both models hav
 The selection's limit is found by narrowing a range of keys, not by sorting the table.
 
 A null or empty text has no features and weight 0. A null id gets the noise of the word
-null; rows of one id get the same noise, and of equal keys the smaller ids are selected.
+null; rows of one id get the same noise. Of equal keys the smaller ids are selected, and
+rows of equal key and id are selected together.
 """
 
 from __future__ import annotations

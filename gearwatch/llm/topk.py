@@ -11,8 +11,9 @@ unlimited integers; a score beyond 64 bits is held at the nearest 64-bit integer
 
 Vectors that are null, or hold a null or a non-finite component, take no part, nor do
 rows without an id. Vectors of different length are not compared. A vector is no
-candidate for a query of its own id. Equal scores go to the smaller id; of rows of
-one id and score each takes a rank.
+candidate for a query of its own id. Equal scores go to the smaller id; candidates of
+one id take a rank each, and query rows of one id are one query, answered from the
+scores of all its rows.
 """
 
 from __future__ import annotations

@@ -330,13 +330,12 @@ def test_resampling_weights_equal_brute_force(spark):
 
 
 def brute_top(rows, k=5, every=50):
-    whole = {}
     usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, v in usable:
-        if i % every == 0:
-            scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), j) for j, w in usable if j != i and len(w) == len(v))
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
+    for i in {i for i, _ in usable if i % every == 0}:  # rows of one id are one query
+        own = [v for j, v in usable if j == i]
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), j) for v in own for j, w in usable if j != i and len(w) == len(v))
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
 
