@@ -160,7 +160,7 @@ def case_control_direction(spark, sf):
 def case_control_bootstrap(spark, sf):
     """Random resamples: no SQL twin; its properties are tested on small frames."""
     e = effects(spark, sf)
-    return C.direction(C.with_status(C.summarize(e), C.bootstrap(e, samples=200)))
+    return C.direction(C.with_status(C.summarize(e), C.bootstrap(e, samples=1000)))
 
 
 @query(

@@ -75,7 +75,7 @@ def learn_asset_forecast(spark, sf):
 def learn_part_within_7d(spark, sf):
     """Part forecast scored overall, per type and per entity."""
     task = L.written(K.part_experiment(region_panel(spark, sf), "within_7d"))
-    scored = L.suite_predictions(task, {"prior": ("prior", False), "lr": ("lr", False)}, ["d", "entity", "etype", "member", "split"], ("test",))
+    scored = L.suite_predictions(task, {"prior": ("prior", False), "lr": ("lr", False), "rf": ("rf", False)}, ["d", "entity", "etype", "member", "split"], ("test",))
     scopes = scope_rows(scored, {"overall": None, "machine_type": "etype", "asset_tag": "entity"})
     return metrics.ranking_quality(scopes, ["model", "scope_kind", "scope_name"])
 
@@ -156,7 +156,7 @@ def learn_importance(spark, sf):
     """Loss of average precision when a feature is shuffled."""
     task = L.written(K.asset_task(events_panel(spark, sf), "forecast", 7, *EVENT_SPLIT, days=3, mode="any"))
     model = L.fit(task, L.classifier("lr", task.part("train").count()))
-    return L.permutation_importance(model, task, "valid", ["d", "entity"], ["points_mean7", "m1", "risk_count_30d"], 2)
+    return L.permutation_importance(model, task, "valid", ["d", "entity"], task.numeric, 3)
 
 
 @query("learn_latest_scores")

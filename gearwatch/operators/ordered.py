@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from gearwatch.session import materialize
 
-RANGES = 64
+ROWS_PER_RANGE = 50_000
+LEAST_RANGES, MOST_RANGES = 16, 4096
 SAMPLE_PER_RANGE = 32
 
 Key = tuple[str, bool]  # column name, ascending
@@ -33,7 +34,12 @@ def _precedes(left: Column, right: Column, keys: Sequence[Key]) -> Column:
     return out
 
 
-def with_range(df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, name: str = "_range") -> DataFrame:
+def range_count(rows: int) -> int:
+    """Ranges that keep a range near ``ROWS_PER_RANGE`` rows; results do not depend on it."""
+    return min(MOST_RANGES, max(LEAST_RANGES, -(-rows // ROWS_PER_RANGE)))
+
+
+def with_range(df: DataFrame, keys: Sequence[Key], ranges: int, name: str = "_range") -> DataFrame:
     """Add the number of the key range a row falls in (ranges follow the key order).
 
     Key columns must be non-null.
@@ -79,7 +85,7 @@ def with_range(df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, name: s
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: Sequence[Key], values: Mapping[str, str | Column], ranges: int = RANGES
+    df: DataFrame, by: Sequence[str], order: Sequence[Key], values: Mapping[str, str | Column], ranges: int | None = None
 ) -> DataFrame:
     """Add ``<name>_before`` (sum of earlier rows of the group) and ``<name>_total``.
 
@@ -90,7 +96,7 @@ def running_totals(
     # Sampled, summed by cell and scanned: written once instead of computed three times.
     # The group enters the key as a hash: any order of groups will do, and equal hashes only share a range.
     source = materialize(df.withColumn("_group", F.xxhash64(*by) if by else F.lit(0).cast("bigint")))
-    ranged = with_range(source, [("_group", True), *order], ranges).drop("_group")
+    ranged = with_range(source, [("_group", True), *order], ranges or range_count(source.count())).drop("_group")
     cells = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_cell_{n}") for n, c in cols.items()])
     across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -106,9 +112,14 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = ranged.withColumns({f"_in_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in cols.items()})
-    joined = local.join(offsets, [*by, "_range"])
+    # A group whose key is NULL is a group like any other.
+    here, there = local.alias("_l"), offsets.alias("_o")
+    same = F.col("_l._range") == F.col("_o._range")
+    for name in by:
+        same = same & F.col(f"_l.`{name}`").eqNullSafe(F.col(f"_o.`{name}`"))
+    joined = here.join(there, same)
     return joined.select(
-        *df.columns,
+        *[F.col(f"_l.`{c}`") for c in df.columns],
         *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(f"{n}_before") for n in cols],
         *[f"{n}_total" for n in cols],
     )

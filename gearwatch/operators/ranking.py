@@ -11,23 +11,36 @@ from gearwatch.functions.expressions import ratio
 from gearwatch.operators.ordered import row_numbers
 
 
+# Fixed value: default of spark.sql.optimizer.windowGroupLimitThreshold.
+WINDOW_LIMIT = 1000
+
+
 def daily_top_k(df: DataFrame, date: str, ids: Sequence[str], k: int, score: str = "score", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Per day: candidates, hits among the k highest scores (ties in id order) and what chance gives.
 
-    ``row_number <= k`` is a per-group limit Spark also applies before the shuffle,
-    so a day's rows never meet in one task; totals are a plain aggregate.
+    Up to ``WINDOW_LIMIT``, ``row_number <= k`` is a per-group limit Spark also applies before
+    the shuffle, so a day's rows never meet in one task; a larger k is ranked by ranges.
+    Totals are a plain aggregate.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     day = [*by, date]
-    w = Window.partitionBy(*day).orderBy(F.col(score).desc(), *[F.col(i).asc() for i in ids])
+    if k <= WINDOW_LIMIT:
+        w = Window.partitionBy(*day).orderBy(F.col(score).desc(), *[F.col(i).asc() for i in ids])
+        ranked = df.withColumn("_r", F.row_number().over(w))
+    else:
+        ranked = row_numbers(df, day, [(score, False), *[(i, True) for i in ids]], "_r")
     chosen = (
-        df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+        ranked.filter(F.col("_r") <= k)
         .groupBy(*day)
         .agg(F.count(F.lit(1)).alias("inspected"), F.sum(F.col(label).cast("bigint")).alias("hits"))
     )
     totals = df.groupBy(*day).agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.col(label).cast("bigint")).alias("positives"))
-    out = totals.join(chosen, day)
+    picked = chosen.select(*[F.col(c).alias(f"_{c}") for c in day], "inspected", "hits")
+    same = F.lit(True)
+    for c in day:
+        same = same & totals[c].eqNullSafe(picked[f"_{c}"])
+    out = totals.join(picked, same).drop(*[f"_{c}" for c in day])
     return out.withColumns(
         {
             "precision_at_k": ratio("hits", "inspected"),

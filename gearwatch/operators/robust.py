@@ -30,8 +30,7 @@ def robust_stats(counts: DataFrame, by: Sequence[str], value: str = "value") ->
     """rows, median, mad and population std per group from (group, value, n) rows."""
     counts = materialize(counts)
     mid = quantiles_of_counts(counts, by, value, {"median": 0.5}).withColumnRenamed("n", "normal_rows")
-    mid = materialize(mid)
-    around = counts.join(mid, list(by)).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
+    around = counts.join(materialize(mid), list(by)).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     spread = quantiles_of_counts(
         around.groupBy(*by, "_dev").agg(F.sum("n").alias("n")), by, "_dev", {"mad": 0.5}
     ).drop("n")
@@ -58,6 +57,15 @@ def bounded_stats(counts: DataFrame, by: Sequence[str], value: str = "value") ->
     return materialize(mid.join(spread, list(by)))
 
 
+def _text_key(column: str) -> Column:
+    """A key in text with a mark in front, so that NULL is a key of its own ("-") and joins like the others."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
+
+
+def _from_key(key: Column, kind: str) -> Column:
+    return F.when(key.startswith("="), F.substring(key, 2, 1 << 30)).cast(kind)
+
+
 def fit_baseline(
     clean: DataFrame, measures: Sequence[str], entity: str = "entity", etype: str = "etype",
     min_rows: int = MIN_ROWS, epsilon: float = EPSILON,
@@ -75,15 +83,14 @@ def fit_baseline(
     )
     exact = materialize(exact)
     levels = F.array(
-        F.struct(F.lit("machine_type").alias("level"), F.col(etype).cast("string").alias("tkey")),
+        F.struct(F.lit("machine_type").alias("level"), _text_key(etype).alias("tkey")),
         F.struct(F.lit("global").alias("level"), F.lit("").alias("tkey")),
     )
     by = ["level", "tkey", "sensor"]
     counts = exact.select("sensor", "value", "n", F.inline(levels)).groupBy(*by, "value").agg(F.sum("n").alias("n"))
     stats = robust_stats(counts, by)
-    entities = bounded_stats(exact, [etype, entity, "sensor"]).withColumns(
-        {"tkey": F.col(etype).cast("string"), "ekey": F.col(entity).cast("string")}
-    )
+    keyed = exact.select(_text_key(etype).alias("tkey"), _text_key(entity).alias("ekey"), "sensor", "value", "n")
+    entities = bounded_stats(keyed, ["tkey", "ekey", "sensor"])
 
     def level(name: str, prefix: str, keys: Sequence[str]) -> DataFrame:
         packed = F.struct("normal_rows", "median", "mad", "std").alias(prefix)
@@ -115,12 +122,12 @@ def fit_baseline(
             .otherwise(stat["mad"] * MAD_SCALE)
         )
         return frame.select(
-            e.cast(types[entity]).alias(entity), t.cast(types[etype]).alias(etype), "sensor",
+            _from_key(e, types[entity]).alias(entity), _from_key(t, types[etype]).alias(etype), "sensor",
             stat["normal_rows"].alias("normal_rows"), stat["median"].alias("median"), stat["mad"].alias("mad"),
             scale.alias("scale"), scope.alias("selected_scope"), why.alias("fallback_reason"),
         )
 
-    none = F.lit(None)
+    none = F.lit(None).cast("string")
     by_type = level("machine_type", "t", ["tkey"]).join(whole, "sensor")
     t = F.col("t")
     t_stat, t_scope = F.when(usable(t), t).otherwise(g), F.when(usable(t), "machine_type").otherwise(g_scope)

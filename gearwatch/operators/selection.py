@@ -82,8 +82,19 @@ def sequence_gate(metrics: DataFrame, target: str = "affected", min_families: in
     """Do history features earn a sequence model? One row with the figures and the reasons against.
 
     ``metrics``: family, target, feature_set, split, average_precision, temporal_importance.
+    Of a table that has them, only rows of the overall scope, of the F1 policy, of the selected
+    model and of runs that ended well (or reused an identical target) count.
     """
     rows = metrics.filter((F.col("target") == target) & F.col("average_precision").isNotNull())
+    wanted = {
+        "scope_kind": F.col("scope_kind") == "overall",
+        "threshold_policy": F.col("threshold_policy") == "f1",
+        "selected_model": F.coalesce(F.col("selected_model"), F.lit(False)),
+        "status": F.col("status").isin("ok", "identical_target"),
+    }
+    for name, keep in wanted.items():
+        if name in metrics.columns:
+            rows = rows.filter(keep)
     best = rows.groupBy("family", "feature_set", "split").agg(
         F.max("average_precision").alias("ap"), F.max("temporal_importance").alias("importance")
     )

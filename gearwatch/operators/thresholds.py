@@ -120,7 +120,9 @@ def grid_cutoff(
 
 def apply_cutoffs(rows: DataFrame, cutoffs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Scored rows once per policy with the 0/1 (or NULL) prediction of that policy."""
-    joined = rows.join(cutoffs, list(by), "left") if by else rows.withColumn("_k", F.lit(1)).join(
-        cutoffs.withColumn("_k", F.lit(1)), "_k", "left"
-    ).drop("_k")
+    if by:
+        joined = rows.join(cutoffs, list(by), "left")
+    else:  # a few rows, one per policy: carried as one array, not joined on a constant
+        table = cutoffs.agg(F.collect_list(F.struct(*cutoffs.columns))).scalar()
+        joined = rows.withColumn("_cut", F.explode_outer(table)).select(*rows.columns, *[F.col("_cut").getField(c).alias(c) for c in cutoffs.columns])
     return joined.withColumn("predicted", F.when(F.col("cutoff").isNotNull(), (F.col("score") >= F.col("cutoff")).cast("int")))

@@ -14,7 +14,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gearwatch.functions.expressions import SEVERITY_LEVELS, ratio
@@ -89,25 +89,32 @@ def ready(df: DataFrame, task: Task) -> DataFrame:
     return df.withColumns({**cols, "label": F.col(task.target).cast("double")})
 
 
-def classifier(name: str, rows: int, weighted: bool = False):
-    """``lr``: L2 strength 1/(C n) with C = 1; ``rf`` and ``gbt``: tree ensembles."""
+# Work of the estimators unless a caller sets it otherwise.
+LR_ITERATIONS, TREES, TREE_DEPTH, BOOSTING_ROUNDS, BOOSTING_DEPTH, LEARNING_RATE = 1000, 100, 30, 100, 5, 0.1
+
+
+def classifier(name: str, rows: int, weighted: bool = False, **options):
+    """``lr``: L2 strength 1/(C n) with C = 1 on the columns as they are; ``rf`` and ``gbt``: tree ensembles.
+
+    ``options`` go to the estimator and override the fixed values.
+    """
     weight = {"weightCol": "weight"} if weighted else {}
     if name == "lr":
-        return LogisticRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0, maxIter=100, **weight)
+        return LogisticRegression(**{"regParam": 1.0 / max(rows, 1), "elasticNetParam": 0.0, "maxIter": LR_ITERATIONS, "standardization": False, **weight, **options})
     if name == "rf":
-        return RandomForestClassifier(numTrees=40, maxDepth=8, seed=SEED, **weight)
+        return RandomForestClassifier(**{"numTrees": TREES, "maxDepth": TREE_DEPTH, "seed": SEED, **weight, **options})
     if name == "gbt":
-        return GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, seed=SEED, **weight)
+        return GBTClassifier(**{"maxIter": BOOSTING_ROUNDS, "maxDepth": BOOSTING_DEPTH, "stepSize": LEARNING_RATE, "seed": SEED, **weight, **options})
     raise ValueError(f"unknown classifier: {name}")
 
 
-def regressor(name: str, rows: int):
+def regressor(name: str, rows: int, **options):
     if name == "ridge":
-        return LinearRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0)
+        return LinearRegression(**{"regParam": 1.0 / max(rows, 1), "elasticNetParam": 0.0, "standardization": False, **options})
     if name == "rf":
-        return RandomForestRegressor(numTrees=40, maxDepth=8, seed=SEED)
+        return RandomForestRegressor(**{"numTrees": TREES, "maxDepth": TREE_DEPTH, "seed": SEED, **options})
     if name == "gbt":
-        return GBTRegressor(maxIter=20, maxDepth=4, stepSize=0.1, seed=SEED)
+        return GBTRegressor(**{"maxIter": BOOSTING_ROUNDS, "maxDepth": BOOSTING_DEPTH, "stepSize": LEARNING_RATE, "seed": SEED, **options})
     raise ValueError(f"unknown regressor: {name}")
 
 
@@ -184,24 +191,29 @@ def comparison(task: Task, models: Mapping[str, tuple[str, bool]], keep: Sequenc
     return table.withColumn("_c", chosen).withColumn("selected_model", F.col("model") == F.col("_c")).drop("_c")
 
 
-def coefficients(model: PipelineModel, names: Sequence[str]) -> DataFrame:
-    """Coefficient table of a linear model (one row per model column)."""
-    last = model.stages[-1]
-    values = [float(v) for v in last.coefficients.toArray()]
-    from pyspark.sql import SparkSession
+def column_names(model: PipelineModel, df: DataFrame, task: Task) -> list[str]:
+    """Name of every model column, from the attributes of the feature vector."""
+    attrs = model.transform(ready(df, task).limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
+    named = {a["idx"]: a.get("name", f"column_{a['idx']}") for kind in attrs.values() for a in kind}
+    scaled = [*task.numeric, *[f"{c}__missing" for c in task.numeric]]  # the scaler keeps the order but not the names
+    tidy = lambda i, name: scaled[i] if i < len(scaled) and name.startswith("numeric__scaled") else name.replace("__hot_", "=")
+    return [tidy(i, named[i]) for i in sorted(named)]
+
 
-    spark = SparkSession.getActiveSession()
-    labels = [names[i] if i < len(names) else f"column_{i}" for i in range(len(values))]
-    return spark.createDataFrame(list(zip(labels, values)), "feature string, coefficient double")
+def coefficients(model: PipelineModel, names: Sequence[str]) -> DataFrame:
+    """Coefficient table of a linear model (one row per model column; see ``column_names``)."""
+    return _by_column("coefficient", model.stages[-1].coefficients.toArray(), names)
 
 
 def importances(model: PipelineModel, names: Sequence[str]) -> DataFrame:
     """Importance table of a tree model."""
-    from pyspark.sql import SparkSession
+    return _by_column("importance", model.stages[-1].featureImportances.toArray(), names)
+
 
-    values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
-    labels = [names[i] if i < len(names) else f"column_{i}" for i in range(len(values))]
-    return SparkSession.getActiveSession().createDataFrame(list(zip(labels, values)), "feature string, importance double")
+def _by_column(value: str, values, names: Sequence[str]) -> DataFrame:
+    if len(names) != len(values):
+        raise ValueError(f"{len(names)} names for {len(values)} model columns")
+    return SparkSession.getActiveSession().createDataFrame([(n, float(v)) for n, v in zip(names, values)], f"feature string, {value} double")
 
 
 def permutation_importance(model: PipelineModel, task: Task, part: str, ids: Sequence[str], features: Sequence[str], repeats: int = 3) -> DataFrame:
@@ -241,14 +253,14 @@ def permutation_importance(model: PipelineModel, task: Task, part: str, ids: Seq
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance"), F.coalesce(F.stddev_pop("drop"), F.lit(0.0)).alias("importance_std"))
 
 
-def save_and_verify(model: PipelineModel, path: str, sample: DataFrame) -> PipelineModel:
-    """Save, reload and compare the reloaded predictions with the original ones."""
+def save_and_verify(model: PipelineModel, path: str, sample: DataFrame, ids: Sequence[str]) -> PipelineModel:
+    """Save, reload and compare the predictions of both models row by row; ``ids`` identify a row of ``sample``."""
     model.write().overwrite().save(path)
     again = PipelineModel.load(path)
-    cols = ["prediction"]
-    left = model.transform(sample).agg(*[F.sum(c).alias(c) for c in cols]).first()
-    right = again.transform(sample).agg(*[F.sum(c).alias(c) for c in cols]).first()
-    if any(abs((a or 0.0) - (b or 0.0)) > 1e-9 for a, b in zip(left, right)):
+    left = model.transform(sample).select(*ids, F.col("prediction").alias("_a"))
+    right = again.transform(sample).select(*ids, F.col("prediction").alias("_b"))
+    apart = left.join(right, list(ids), "full").filter(~F.coalesce(F.abs(F.col("_a") - F.col("_b")) <= 1e-9, F.lit(False)))
+    if not apart.isEmpty():
         raise ValueError("the reloaded model predicts differently")
     return again
 

@@ -26,7 +26,8 @@ def read_panel_csv(spark: SparkSession, path: str, spec: PanelSpec = EQUIPMENT,
     missing = sorted({f.name for f in schema} - set(names))
     if missing:
         raise PanelError(f"missing columns: {missing}")
-    raw = reader.option("header", True).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+    # Each file's header is held against these names: a file with another order of columns is an error.
+    raw = reader.option("header", True).option("enforceSchema", False).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
     typed = raw.select(*[_cast(f).alias(f.name) for f in schema])
     bad = raw.agg(
         *[
@@ -49,7 +50,9 @@ def _cast(field: T.StructField):
     if isinstance(field.dataType, T.StringType):
         return F.col(field.name)
     if isinstance(field.dataType, T.IntegerType):
-        return text.try_cast("double").try_cast("int")
+        number = text.try_cast("double")
+        whole = number.try_cast("int")
+        return F.when(number == whole, whole)
     return text.try_cast(field.dataType)
 
 

@@ -32,9 +32,9 @@ def alerts_of(daily: DataFrame, rules: Mapping[str, float] = RULES, spec: PanelS
 
 
 def store_new(rows: DataFrame, path: str, key: list[str]) -> tuple[int, int]:
-    """Insert-if-absent into a parquet table; returns (observed, created)."""
+    """Insert-if-absent into a parquet table; returns (observed, created). Of rows of one key the largest values count."""
     spark = rows.sparkSession
-    unique = rows.dropDuplicates(key)
+    unique = rows.groupBy(*key).agg(*[F.max(c).alias(c) for c in rows.columns if c not in key]).select(*rows.columns)
     try:
         stored = spark.read.schema(rows.schema).parquet(path)
         fresh = only_new(unique, stored, key)

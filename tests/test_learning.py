@@ -31,8 +31,19 @@ def test_importance_and_reload(spark, task, tmp_path):
     model = L.fit(task, L.classifier("lr", task.part("train").count()))
     drops = L.permutation_importance(model, task, "valid", ["id"], ["x", "noise"], 2).toPandas().set_index("feature").importance
     assert drops["x"] > 0.1 > abs(drops["noise"])
-    L.save_and_verify(model, str(tmp_path / "m"), L.ready(task.part("test"), task))
-    assert L.coefficients(model, ["x", "noise"]).count() >= 4
+    L.save_and_verify(model, str(tmp_path / "m"), L.ready(task.part("test"), task), ["id"])
+    names = L.column_names(model, task.part("train"), task)
+    assert names[:4] == ["x", "noise", "x__missing", "noise__missing"] and names[4:] == ["c=u", "c=v"]
+    table = L.coefficients(model, names).toPandas().set_index("feature").coefficient
+    assert table["x"] > abs(table["noise"])
+    with pytest.raises(ValueError):
+        L.coefficients(model, ["x", "noise"])
+
+
+def test_estimators_take_the_fixed_values_or_options():
+    assert L.classifier("rf", 1).getNumTrees() == 100 and L.classifier("rf", 1, numTrees=3).getNumTrees() == 3
+    assert L.classifier("gbt", 1).getMaxIter() == 100 and L.classifier("lr", 10).getMaxIter() == 1000
+    assert not L.classifier("lr", 10).getStandardization() and L.regressor("rf", 1).getMaxDepth() == 30
 
 
 def test_leaks_are_refused(spark, task):
