@@ -45,6 +45,8 @@ COMBINE_BYTES = 16 << 20  # text bytes whose documents are looked at together in
 BUCKET_BYTES = 16 << 20
 FREQUENT_HERE = 8  # times an element must be seen among the documents looked at together to be counted as frequent
 FREQUENT_MOST = 1 << 17  # frequent elements that are broadcast, 8 bytes each
+FILTER_BITS = 1 << 23  # one mebibyte
+TILE = 2048  # members of a group that a task compares with as many others
 SKETCHES = 4  # the first without frequent elements
 BAND = 1.6
 _NODE, _BLOCK, _CODE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -115,7 +117,7 @@ class Keys:
     def reset(self) -> None:
         self.seen: set[int] = set()
         self.rows: list[tuple[np.ndarray, np.ndarray]] = []
-        self.mostly_frequent: list[tuple[np.ndarray, np.ndarray]] = []
+        self.mostly_frequent: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, sets: Sets) -> None:
         node = sets.node.view(np.int64)
@@ -162,7 +164,11 @@ class Keys:
             gaps = np.flatnonzero(missing & open_[holder])
             owner = np.concatenate([owner, holder[gaps]])
             keys = np.concatenate([keys, self._key(np.zeros(len(gaps), np.uint64), band[holder[gaps]], gaps - start[holder[gaps]], number)])
-        (self.rows if number == 0 else self.mostly_frequent).append((keys, node[owner]))
+        if number == 0:
+            self.rows.append((keys, node[owner]))
+        else:
+            own_rare = np.bincount(sets.text, rare, minlength=len(m)).astype(np.int64)
+            self.mostly_frequent.append((keys, node[owner], own_rare[owner]))
         if number < SKETCHES - 1:
             self._meet(sets, node, open_, band, k, m, rare, number + 1)
 
@@ -173,29 +179,25 @@ class Keys:
     def flush(self, buckets: int, turn: int) -> pa.RecordBatch:
         """Rows (bucket, kind, nodes, counts, keys): keys of kind 1 by bucket; of kind 2 to any bucket."""
         out: list[tuple[int, int, bytes, bytes, bytes]] = []
-        keys, nodes = self._all(self.rows)
-        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((nodes, bucket))
-        keys, nodes = keys[order], nodes[order]
-        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(at)):
-            own, count = _runs(nodes[at[b] : at[b + 1]])
-            out.append((int(b), 1, own.tobytes(), count.astype(np.uint32).tobytes(), keys[at[b] : at[b + 1]].tobytes()))
-        keys, nodes = self._all(self.mostly_frequent)
-        for part in range(0, len(keys), 1 << 16):
-            k, n = keys[part : part + (1 << 16)], nodes[part : part + (1 << 16)]
-            out.append(((turn + part) % buckets, 2, n.tobytes(), b"", k.tobytes()))
+        if self.rows:
+            keys, nodes = (np.concatenate(x) for x in zip(*self.rows))
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((nodes, bucket))
+            keys, nodes = keys[order], nodes[order]
+            at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(at)):
+                own, count = _runs(nodes[at[b] : at[b + 1]])
+                out.append((int(b), 1, own.tobytes(), count.astype(np.uint32).tobytes(), keys[at[b] : at[b + 1]].tobytes()))
+        if self.mostly_frequent:
+            keys, nodes, rare = (np.concatenate(x) for x in zip(*self.mostly_frequent))
+            for part in range(0, len(keys), 1 << 16):
+                k, n, r = (x[part : part + (1 << 16)] for x in (keys, nodes, rare))
+                out.append(((turn + part) % buckets, 2, n.tobytes(), r.tobytes(), k.tobytes()))
         self.reset()
         names = ["bucket", "kind", "nodes", "counts", "keys"]
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
-    @staticmethod
-    def _all(rows):
-        if not rows:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate([k for k, _ in rows]), np.concatenate([n for _, n in rows])
-
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
@@ -269,14 +271,17 @@ def _keys(percent: int, frequent, buckets: int):
 
 
 def _groups(_key, table):
-    """Of one bucket: rows (0, least node of a group, node), (1, group, node) of groups over two, (2, key, node) passed on."""
-    kinds = np.array(table.column("kind").to_pylist())
+    """Of one bucket: rows (0, least node of a group, node), (1, group, node) of groups over two, (2, key, node) passed on.
+
+    The rows passed on also have the number of the node's elements that are not frequent.
+    """
+    kinds = table.column("kind").to_pylist()
     cols = {name: table.column(name).to_pylist() for name in ("nodes", "counts", "keys")}
-    keys, nodes, passed = [], [], [np.zeros((0, 2), np.int64)]
+    keys, nodes, passed = [], [], [np.zeros((0, 3), np.int64)]
     for i, kind in enumerate(kinds):
         own, k = np.frombuffer(cols["nodes"][i], np.int64), np.frombuffer(cols["keys"][i], np.uint64)
         if kind == 2:
-            passed.append(np.stack([k.view(np.int64), own], axis=1))
+            passed.append(np.stack([k.view(np.int64), own, np.frombuffer(cols["counts"][i], np.int64)], axis=1))
         else:
             keys.append(k)
             nodes.append(np.repeat(own, np.frombuffer(cols["counts"][i], np.uint32)))
@@ -309,6 +314,7 @@ def _groups(_key, table):
             "kind": pa.array(np.concatenate([np.full(len(x), k, np.int32) for k, x in out])),
             "a": pa.array(np.concatenate([x[:, 0] for _, x in out])),
             "b": pa.array(np.concatenate([x[:, 1] for _, x in out])),
+            "rare": pa.array(np.concatenate([x[:, 2] if k == 2 else np.zeros(len(x), np.int64) for k, x in out])),
         }
     )
 
@@ -325,6 +331,56 @@ def _near_by_sketch(percent: int):
     return run
 
 
+def _across(percent: int):
+    """Pairs of one tile of a group that may link and lie in different components.
+
+    Members of the most frequent component are compared with the others only.
+    """
+
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        chunk, node, c, size = (table.column(x).to_numpy() for x in ("chunk", "node", "c", "size"))
+        sketches = table.column("sketch").to_pylist()
+        width = min(len(x) for x in sketches)
+        folded = [np.frombuffer(x, np.uint64).reshape(-1, width // 8) for x in sketches]
+        bits = np.stack([np.bitwise_xor.reduce(x, axis=0) for x in folded])
+        value, times = np.unique(c, return_counts=True)
+        major = c == value[times.argmax()]
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        sides = [(left[~major[left]], right)]
+        if i != j:
+            sides.append((left[major[left]], right[~major[right]]))
+        found = []
+        for x, y in sides:
+            step = max(1, (1 << 21) // max(1, len(y) * bits.shape[1]))
+            for low in range(0, len(x), step):
+                a = x[low : low + step]
+                least = np.bitwise_count(bits[a][:, None, :] ^ bits[y][None, :, :]).sum(axis=2, dtype=np.int64)
+                over = least - (size[a][:, None] + size[y][None, :]) * (100 - percent) // (100 + percent)
+                at, to = np.nonzero((over <= 0) & (c[a][:, None] != c[y][None, :]))
+                found.append((a[at], y[to]))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
+def _apart(member: DataFrame, nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (g, node) of one group that may link, in different components so far.
+
+    A group is compared in tiles of ``TILE`` members against ``TILE`` members.
+    """
+    labelled = materialize(member.join(label, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c")))
+    apart = labelled.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
+    chunks = F.ceil(F.col("n") / TILE).cast("long")
+    placed = labelled.join(apart, "g").select("g", "node", "c", F.pmod(F.xxhash64("node"), chunks).alias("chunk"), chunks.alias("chunks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    tiles = placed.select("g", "node", "c", "chunk", F.explode(every).alias("other"))
+    tiles = tiles.select("g", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "c", "chunk")
+    return tiles.join(nodes.select("node", "size", "sketch"), "node").groupBy("g", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct()
+
+
 def _linked(percent: int):
     def run(_key, table):
         """Links between each leader and the members that came with it."""
@@ -353,19 +409,47 @@ def _linked(percent: int):
     return run
 
 
+def _mostly(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of these ids and few others, so that a join after it does not shuffle all texts.
+
+    A bit map of hashed ids, of ``FILTER_BITS`` at most and so of a fixed size, is broadcast.
+    With more ids than fit it would let most documents through, and is left out.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
+    words = materialize(words)
+    if words.count() > FILTER_BITS // 128:
+        return docs
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words.collect():
+        bits[r["word"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.select(["id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    return docs.select("id", "text", place.alias("place")).mapInArrow(run, docs.schema)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, each: int = 128) -> DataFrame:
     """The pairs (a, b) of nodes that link: by narrow sketch, then by the texts, which travel once per leader a and member b."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("doc").alias(f"doc_{s}"), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     near = materialize(
         pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near_by_sketch(percent), "a long, b long, doc_a long, doc_b long")
     )
+    n_near = near.count()
+    if not n_near:
+        return near.select("a", "b")
     count = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     chunked = near.join(count, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / each)).cast("long"))
     heads = chunked.select("a", "chunk", "doc_a").distinct().select(F.col("doc_a").alias("id"), F.col("a").alias("leader"), "chunk", F.col("a").alias("node"))
     members = chunked.select(F.col("doc_b").alias("id"), F.col("a").alias("leader"), "chunk", F.col("b").alias("node"))
-    parts = max(64, near.count() // each)
+    parts = max(64, n_near // each)
     asked = heads.union(members).withColumn("part", F.pmod(F.xxhash64("leader", "chunk"), F.lit(parts)))
-    return docs.select("id", "text").join(asked, "id").groupBy("part").applyInArrow(_linked(percent), "a long, b long")
+    return _mostly(docs.select("id", "text"), asked.select("id")).join(asked, "id").groupBy("part").applyInArrow(_linked(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -388,7 +472,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = materialize(
         known.mapInArrow(_keys(percent, frequent, buckets), "bucket long, kind int, nodes binary, counts binary, keys binary")
         .groupBy("bucket")
-        .applyInArrow(_groups, "kind int, a long, b long")
+        .applyInArrow(_groups, "kind int, a long, b long, rare long")
     )
     nodes = materialize(
         sets.where("node IS NOT NULL AND doc IS NOT NULL")
@@ -396,31 +480,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("doc").alias("doc"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
     )
     passed = met.where("kind = 2").select("a", "b").distinct()
-    least = passed.groupBy("a").agg(F.min("b").alias("leader"))
+    # The leader has fewest elements of its own, so it is near most of its group.
+    least = met.where("kind = 2").groupBy("a").agg(F.min(F.struct("rare", "b"))["b"].alias("leader"))
     stars = passed.join(least, "a").where("leader != b").select(F.col("leader").alias("a"), "b")
     tested = materialize(met.where("kind = 0").select("a", "b").union(stars).distinct())
     links = materialize(_verified(tested, nodes, known, percent))
 
     # Members of a group that are still apart: those pairs, and no others, remain to be tested.
-    label = components(links)
     member = met.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node")).union(passed.select("a", "b"))
-    member = member.join(label, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
-    apart = member.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("g")
-    left = materialize(member.join(apart, "g", "left_semi"))
-    x, y = left.alias("x"), left.alias("y")
-    rest = (
-        x.join(y, F.col("x.g") == F.col("y.g"))
-        .where("x.node < y.node AND x.c != y.c")
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    links = materialize(links.union(_verified(rest, nodes, known, percent)))
+    label = components(links)
+    rest = materialize(_apart(member, nodes, label, percent).join(tested, ["a", "b"], "left_anti"))
+    found = materialize(_verified(rest, nodes, known, percent))
+    if not found.isEmpty():
+        links = links.union(found)
+        label = components(links)
 
     # Sets of one doc_id hang together as well.
-    label = components(
-        links.union(sets.where("node IS NOT NULL AND doc IS NOT NULL").groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b"))
-    )
+    both = sets.where("node IS NOT NULL AND doc IS NOT NULL").groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
+    if not both.isEmpty():
+        label = components(links.union(sets.join(both, "doc").where("node != a").select("a", F.col("node").alias("b"))))
     whole = nodes.join(label, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("c"))
     smallest = whole.groupBy("c").agg(F.min("doc").alias("component_id"))
     of_node = whole.join(smallest, "c").select("node", "component_id")
