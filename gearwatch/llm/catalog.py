@@ -51,7 +51,7 @@ def op3_token_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     revised = rows.select(*rollup.change("revise", new=pieces, old=words))
     store.commit("revise", revised)
     store.commit("revise", revised)  # delivered twice, counted once
-    first = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"))
+    first = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key", "first")
     store.commit("delete", rows.join(first, "text_key").where("doc_id != first").select(*rollup.change("delete", old=pieces)))
     return store.totals()
 

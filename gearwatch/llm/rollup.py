@@ -75,7 +75,7 @@ class Rollup:
             return False
         attempt = uuid.uuid4().hex
         part = f"{self.folder}/amounts/{attempt}"
-        signed(changes).coalesce(1).write.parquet(part)
+        signed(changes).repartition(1).write.parquet(part)  # a row per key
         self._publish([(batch, attempt, part)])
         return True
 
@@ -94,7 +94,7 @@ class Rollup:
         attempt = f"-{uuid.uuid4().hex}"  # sorts before all attempts of single batches
         part = f"{self.folder}/amounts/{attempt}"
         batches = [r["batch"] for r in self.commits().select("batch").collect()]
-        self.totals().coalesce(1).write.parquet(part)
+        self.totals().repartition(1).write.parquet(part)
         self._publish([(b, attempt, part) for b in batches])
 
 
