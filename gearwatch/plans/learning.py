@@ -146,21 +146,21 @@ def ordered_probabilities(model: PipelineModel, df: DataFrame, task: Task, keep:
     return out.select(*keep, F.col(task.target).alias("y"), *cells, F.get(level, F.col("prediction").cast("int")).alias("predicted_level"))
 
 
-def suite_predictions(task: Task, models: Mapping[str, tuple[str, bool]], keep: Sequence[str], parts: Sequence[str] = ("valid", "test")) -> DataFrame:
+def suite_predictions(task: Task, models: Mapping[str, tuple], keep: Sequence[str], parts: Sequence[str] = ("valid", "test")) -> DataFrame:
     """Fit every model on train and stack the predictions of the other parts with a model column.
 
-    A model maps to (classifier, balanced); ``prior`` is the constant training rate.
+    A model maps to (classifier, balanced) or (classifier, balanced, options); ``prior`` is the constant training rate.
     """
     task = written(task)
     rows = task.part("train").count()
     held = task.frame.filter(F.col(task.split).isin(*parts))
     out = None
-    for name, (kind, weighted) in models.items():
+    for name, (kind, weighted, *options) in models.items():
         if kind == "prior":
             rate = task.part("train").agg(F.avg(F.col(task.target).cast("double"))).scalar()
             scored = held.select(*keep, F.col(task.target).alias("y"), rate.alias("score"))
         else:
-            scored = predict(fit(task, classifier(kind, rows, weighted), weighted), held, task, keep)
+            scored = predict(fit(task, classifier(kind, rows, weighted, **dict(*options)), weighted), held, task, keep)
         scored = scored.withColumn("model", F.lit(name))
         out = scored if out is None else out.unionByName(scored)
     return materialize(out)
