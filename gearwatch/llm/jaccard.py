@@ -457,8 +457,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents without words link with nothing. Rows of one doc_id count as one document
     for its component, whichever of their texts links. A row with a null doc_id takes no
-    part and has a null component. ``percent`` must lie between 50 and 100.
+    part and has a null component. ``percent`` must lie between 63 and 100,
+    so that the sizes of linked sets lie in one size band or in adjacent ones.
     """
+    if not 63 <= percent <= 100:
+        raise ValueError("percent must lie between 63 and 100")
     source = packed(docs, id_col, text_col).select("id", "text")
     known = source.where("id IS NOT NULL")
     spark = docs.sparkSession
