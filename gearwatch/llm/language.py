@@ -38,6 +38,7 @@ CHAIN = 64
 TABLE = 1 << 15
 LEXICON = 2000  # words of each language's lexicon at most
 UNKNOWN = "und"
+SLICE = 1 << 19  # text bytes labelled at once; each takes about a hundred bytes of memory
 SEED = 11
 _LETTER = regex.compile(r"\p{L}").search
 
@@ -295,7 +296,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 if shared.value is None or not shared.value.languages:
                     name, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 else:
