@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearwatch.llm import bpe, ctph, jaccard, language, mixing, packing, resample, rollup, substrings, topk
+from gearwatch.llm import align, bpe, ctph, jaccard, language, licenses, mixing, packing, resample, rollup, substrings, topk, whitening
 from gearwatch.llm.common import table
 from gearwatch.llm.rollup import measured as rollup_rows
 from gearwatch.session import checkpoint_dir
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+BYTE_LEVEL_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -126,3 +127,22 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.load(spark, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer)
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+SQL["op12_license_scan"] = licenses.oracle()
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = align.load(spark, public_tokenizers.path(BYTE_LEVEL_FILE), public_tokenizers.path(PIECE_FILE))
+    return align.digests(table(spark, sf_dir, "documents"), tokenizers)
