@@ -2,8 +2,9 @@
 
 A word is a maximal run of characters other than space, tab, line feed, vertical
 tab, form feed and carriage return. All of these are single bytes in UTF-8, so
-words are found on bytes. A word's hash is a polynomial over its bytes, taken
-from running sums of the slice, so no Python code runs per word.
+words are found on bytes. A word's hash adds a random-looking value for each (byte, place)
+and a run's hash joins the hashes of its halves; both mix without linear structure, so
+texts made to defeat polynomials do not collide, and no Python code runs per word.
 """
 
 from __future__ import annotations
@@ -33,11 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] = _LOWERED[97:123]
+_PLACES = 256  # places of a word's bytes whose values are looked up
+_AT_PLACE = mix(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64) * np.uint64(_BASE))
+_BEYOND = np.uint64(0x2545F4914F6CDD1D)  # stands for a word behind a text's end
+_HASH_BYTES = 1 << 18  # bytes hashed at once
 
 
-@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
@@ -47,9 +51,12 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_kept_powers = lru_cache(maxsize=1)(_powers)
+
+
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least ``size`` of each."""
-    return _powers(max(SLICE_BYTES, 1 << max(0, size - 1).bit_length()) + 1)
+    """Powers of the base and of its inverse modulo 2^64, at least ``size`` of each; those of a slice are kept, more are not."""
+    return _kept_powers(SLICE_BYTES // 4) if size <= SLICE_BYTES // 4 else _powers(size)
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,22 +112,53 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; with ``lower``, A to Z count as a to z."""
-        power, inverse = powers(len(self.data))
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * power[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        for low in range(0, len(self.data), _HASH_BYTES):
+            high = min(low + _HASH_BYTES, len(self.data))
+            byte = self.data[low:high]
+            first, last = np.searchsorted(self.start, (low + 1, high))
+            begun = low - self.start[first - 1] if first and self.end[first - 1] > low else 0  # bytes of a word before this stretch
+            kind = np.int32 if begun < 1 << 22 else np.int64
+            begin = np.zeros(high - low, dtype=kind)  # of each byte's word, in this stretch
+            begin[self.start[first:last] - low] = self.start[first:last] - low
+            place = np.arange(high - low, dtype=kind) - np.maximum.accumulate(begin)
+            if begun:
+                place[: min(high, self.end[first - 1]) - low] += kind(begun)
+            code = place << 8
+            code |= _LOWERED[byte] if lower else byte
+            far = np.flatnonzero(place >= _PLACES)
+            if len(far):
+                exact = code[far]
+                code[far] = 0
+            value = _AT_PLACE[code]
+            if len(far):
+                value[far] = mix((exact + 1).astype(np.uint64) * np.uint64(_BASE))
+            np.cumsum(value, out=sums[low + 1 : high + 1])
+            sums[low + 1 : high + 1] += sums[low]
+        return mix(sums[self.end] - sums[self.start])
 
     def windows(self, hashes: np.ndarray, width: int) -> np.ndarray:
         """A hash of the ``width`` words from each word on, or of fewer where the text ends sooner.
 
-        Sums of word hashes times powers of a base, so the cost does not depend on the width.
+        Runs of 1, 2, 4, ... words are hashed from runs half as long, and a window from the runs that make it up.
         """
-        power, inverse = powers(len(hashes))
-        sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
-        begin = np.arange(len(hashes))
-        last = np.minimum(begin + width, np.repeat(self.first[1:], self.count))
-        return mix((sums[last] - sums[:-1]) * inverse[: len(hashes)] + (last - begin).astype(np.uint64))
+        where = np.arange(len(hashes)) + self.text * (width - 1)
+        run = np.full(len(hashes) + self.n_texts * (width - 1), _BEYOND, dtype=np.uint64)
+        run[where] = hashes
+        size, done, out = 1, 0, None
+        while True:
+            if width & size:
+                out = run if out is None else _joined(out, run[done:])
+                done += size
+            if done == width:
+                return out[where]
+            run, size = _joined(run, run[size:]), 2 * size
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of runs and the runs that follow them, as far as both go."""
+    n = min(len(left), len(right))
+    return mix(left[:n] * np.uint64(_BASE) + right[:n] + np.uint64(1))
 
 
 def long(values: np.ndarray) -> pa.Array:
