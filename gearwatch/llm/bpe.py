@@ -20,15 +20,20 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
+from gearwatch.llm.common import tidy
 from gearwatch.llm.words import mix, slices
 
-MEMO_PIECES, MEMO_CHUNKS = 1 << 19, 1 << 18  # strings remembered by a Python worker; only saves repeated work
+MEMO_BYTES = 24 << 20  # of strings and results in each of a task's two memos, about; only saves repeated work
+_MEMO_ENTRY = 200  # bytes of an entry besides its string and result
+_MEMO_LONGEST = 256  # characters of a string that is remembered
 KEYS_PER_BUCKET = 4
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
@@ -91,22 +96,32 @@ class PerfectHash:
 
 
 class Memo(dict):
-    """Remembered results of a function of a string; the lesser used half goes when it is full."""
+    """Remembered results of a function of a string; the lesser used half goes when ``MEMO_BYTES`` are reached."""
 
-    def __init__(self, fn, limit: int):
+    def __init__(self, fn):
         super().__init__()
-        self.fn, self.limit, self.old = fn, limit, {}
+        self.fn, self.old, self.bytes = fn, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if len(key) <= _MEMO_LONGEST:
+            self.bytes += _MEMO_ENTRY + len(key) + len(value)
+            if self.bytes > MEMO_BYTES // 2:
+                self.old = dict(self)
+                self.forget_young()
+            self[key] = value
         return value
 
+    def forget_young(self) -> None:
+        self.clear()
+        self.bytes = 0
+
+    def forget(self) -> None:
+        self.old = {}
+        self.forget_young()
+
 
 class Tokenizer:
     """Encodes and decodes by ranks and a pattern; safe to broadcast."""
@@ -116,8 +131,10 @@ class Tokenizer:
         self.ranks = ranks
         self.hash = PerfectHash(list(ranks))
         self.token_at: list[bytes] = [b""] * self.hash.size
-        for token in ranks:
-            self.token_at[self.hash.slot(token)] = token
+        self.rank_at = [0] * self.hash.size  # packed as an id
+        for token, rank in ranks.items():
+            slot = self.hash.slot(token)
+            self.token_at[slot], self.rank_at[slot] = token, _IDS[1](rank)
         self.none = max(ranks.values(), default=0) + 1  # no token's rank
         self.byte_pairs = [ranks.get(bytes((a, b)), self.none) for a in range(256) for b in range(256)]
         self.bytes_of = {rank: token for token, rank in ranks.items()}
@@ -126,11 +143,18 @@ class Tokenizer:
     def _ready(self) -> None:
         self.find = regex.compile(self.pattern).findall
         self.odd_space = regex.compile(r" (?:\s|\Z)").search
-        self.pieces = Memo(self.piece_ids, MEMO_PIECES)
-        self.chunks = Memo(lambda chunk: self.chunk_ids(" " + chunk), MEMO_CHUNKS)
+        self.pieces = Memo(self.piece_ids)
+        self.chunks = Memo(lambda chunk: self.chunk_ids(" " + chunk))
+        # Only of the pattern given with the vocabularies is it known that it can be cut at spaces.
+        self.cuts = self.pattern == public_tokenizers.PATTERN
+
+    def forget(self) -> None:
+        """Drop what was remembered of earlier texts."""
+        self.pieces.forget()
+        self.chunks.forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("find", "odd_space", "pieces", "chunks")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("find", "odd_space", "pieces", "chunks", "cuts")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -180,7 +204,7 @@ class Tokenizer:
         key = piece.encode()
         slot = self.hash.slot(key)
         if self.token_at[slot] == key:
-            return _IDS[1](self.ranks[key])
+            return self.rank_at[slot]
         ids = self.merge(key)
         return _IDS[len(ids)](*ids) if len(ids) < len(_IDS) else np.array(ids, dtype="<u4").tobytes()
 
@@ -190,13 +214,14 @@ class Tokenizer:
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers.
 
-        A space before a character that is no white space always begins a pre-token,
-        so a text can be cut there, and a chunk that was met before needs no
-        matching. Texts with a space before other white space are matched whole.
+        By the pattern of the vocabularies a space before a character that is no white space
+        always begins a pre-token, so a text can be cut there, and a chunk that was met before
+        needs no matching. Texts with a space before other white space are matched whole, and so are
+        all texts by another pattern.
         """
         if not text:
             return b""
-        if self.odd_space(text):
+        if not self.cuts or self.odd_space(text):
             return self.chunk_ids(text)
         first, *others = text.split(" ")
         return self.chunk_ids(first) + b"".join(map(self.chunks.__getitem__, others))
@@ -216,27 +241,31 @@ def load(spark, path: str, pattern: str):
 def encode(docs: DataFrame, tokenizer, column: str = "text", out: str = "token_ids", checked: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``out``: ids as little-endian unsigned 32-bit integers, four bytes a token.
 
-    With ``checked`` also ``n_tokens``, and ``round_trip``: whether the ids decode to the text.
-    ``docs`` must not have columns of these names yet.
+    With ``checked`` also ``n_tokens``, and ``round_trip``: whether the ids decode to the text. Columns of
+    these names that ``docs`` has already give way to the new ones.
     """
-    kept = docs.columns
-    made = [StructField(out, BinaryType())]
-    if checked:
-        made += [StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())]
+    made = {out: BinaryType()} | ({"n_tokens": LongType(), "round_trip": BooleanType()} if checked else {})
+    kept = [c for c in docs.columns if c not in made or c == column]
+    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])  # own names: kept ones may repeat
+    own_text = f"c{kept.index(column)}"
+    names = [*source.columns, *[f"made{i}" for i in range(len(made))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer.value
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, own_text):
                 texts = part.column(kept.index(column)).to_pylist()
                 ids = own.encode_all(texts)
                 columns = [*part.columns, pa.array(ids, pa.binary())]
                 if checked:
                     columns.append(pa.array([len(x) // 4 for x in ids], pa.int64()))
                     columns.append(pa.array([own.decode(x) == (t or "").encode() for x, t in zip(ids, texts)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, [*kept, *[f.name for f in made]])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *made]))
+    schema = StructType([*source.schema.fields, *[StructField(f"made{i}", kind) for i, kind in enumerate(made.values())]])
+    found = source.mapInArrow(tidy(run, lambda: tokenizer.value.forget()), schema)
+    shown = [(n, c) for n, c in zip(names, [*kept, *made]) if c not in made or n.startswith("made")]
+    return found.select(*[F.col(n).alias(c) for n, c in shown])
 
 
 def decode(encoded: DataFrame, tokenizer, column: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -274,4 +303,4 @@ def round_trip_digests(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_
         [StructField("doc_id", LongType()), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     )
     narrow = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"CAST(`{text_col}` AS STRING) AS text")
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run, lambda: tokenizer.value.forget()), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,3 +41,25 @@ def sliced(column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Calla
                 yield fn(part)
 
     return run
+
+
+def give_back() -> None:
+    """Return freed memory to the machine; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None):
+    """``run`` for mapInArrow; when a task ends, ``forget`` is called and freed memory returned."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            give_back()
+
+    return tidied

@@ -7,8 +7,8 @@ learned matrix scores the step from one word's language to the next one's, so a
 words is labelled together, and text that switches language inside is labelled part by part.
 Posteriors come from forward-backward. Chains are runs of up to ``CHAIN`` words of one text.
 
-The model is fitted to at most ``per_language`` labelled texts of each language (lowest hashes of the id)
-by stochastic gradient of the conditional likelihood. Documents carry one label, so
+The model is fitted to at most ``per_language`` labelled texts of each language (lowest hashes of the id, texts above
+``fit_bytes`` last) that come to ``fit_bytes`` bytes together; if the first one alone is longer, to as many of its characters. It is fitted by stochastic gradient of the conditional likelihood. Documents carry one label, so
 training chains are spliced from runs of words of different documents; where the runs meet, steps
 between languages are seen. Fitting takes one task, whose input is bounded as said; the
 model has a fixed size and is broadcast. All texts are labelled whole, where they are read.
@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from gearwatch.llm.common import tidy
 from gearwatch.llm.words import Words, mix, powers, slices
 from gearwatch.llm.words import _BYTE
 
 PER_LANGUAGE = 200
+FIT_BYTES = 1 << 19  # UTF-8 bytes of one language's training texts at most
 CHAIN = 64
 TABLE = 1 << 15
 LEXICON = 2000  # words of each language's lexicon at most
@@ -79,7 +81,7 @@ class Features:
 class Model:
     """Weights by language: affixes, grams, lexicon membership, bias; and the step matrix."""
 
-    def __init__(self, languages: list[str], lexicon: dict[int, int]):
+    def __init__(self, languages: list[str], lexicon: dict[int, list[int]]):
         k = len(languages)
         self.languages = languages
         self.affix = np.zeros((TABLE, k), np.float32)
@@ -89,8 +91,9 @@ class Model:
         self.step = np.zeros((k, k), np.float32)
         known = np.array(sorted(lexicon), dtype=np.uint64)
         self.lex_hash = known
-        bits = np.array([lexicon[int(h)] for h in known], dtype=np.int64)
-        self.lex_in = ((bits[:, None] >> np.arange(k)) & 1).astype(np.float32) if len(known) else np.zeros((0, k), np.float32)
+        self.lex_in = np.zeros((len(known), k), np.float32)
+        for row, h in enumerate(known.tolist()):
+            self.lex_in[row, lexicon[h]] = 1
 
     def lexicon_rows(self, word: np.ndarray) -> np.ndarray:
         """Row of ``lex_in`` for each word, -1 for unknown words."""
@@ -178,12 +181,12 @@ def fit(texts: list[str], labels: list[str], rounds: int = 6, batch: int = 256,
     features = Features(pa.array(texts, pa.large_string()))
     words = features.words
     label = np.repeat(of_text, words.count)
-    lexicon: dict[int, int] = {}
+    lexicon: dict[int, list[int]] = {}  # languages of each word
     for i in range(k):
         value, times = np.unique(features.word[label == i], return_counts=True)
         common = value[np.argsort(-times, kind="stable")[:LEXICON]]
         for h in common[np.sort(times)[::-1][: len(common)] > 1].tolist():
-            lexicon[h] = lexicon.get(h, 0) | 1 << i
+            lexicon.setdefault(h, []).append(i)
     model = Model(languages, lexicon)
     if not len(label):
         return model
@@ -254,13 +257,17 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, fit_bytes: int = FIT_BYTES) -> Model | None:
     """The model of the labelled documents that are not held out; None if there are none."""
     ident, text, lang = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     usable = docs.where(ident.isNotNull() & ~held_out(id_col) & lang.isNotNull() & text.isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "text")
+    long = F.octet_length("text") > fit_bytes
+    order = Window.partitionBy("lang").orderBy(long, F.xxhash64("id"), "text")
+    sofar = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sample = usable.select(ident.cast("long").alias("id"), text.alias("text"), lang.cast("string").alias("lang"))
-    sample = sample.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "text", "lang").repartition(1)
+    sample = sample.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    sample = sample.withColumn("sofar", sofar).where((F.col("sofar") <= fit_bytes) | (F.col("n") == 1))
+    sample = sample.select("id", F.when(long, F.substring("text", 1, fit_bytes)).otherwise(F.col("text")).alias("text"), "lang").repartition(1)
 
     def run(batches):
         rows = [r for batch in batches for r in batch.to_pylist()]
@@ -268,7 +275,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r["text"] for r in rows], [r["lang"] for r in rows]))])], ["model"])
 
-    made = sample.mapInArrow(run, "model binary").collect()
+    made = sample.mapInArrow(tidy(run), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else None
 
 
@@ -306,4 +313,4 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     schema = StructType([*source.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     row = F.struct(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
-    return source.mapInArrow(run, schema).select(row.alias("row"), "lang_pred", "score")
+    return source.mapInArrow(tidy(run), schema).select(row.alias("row"), "lang_pred", "score")
