@@ -9,7 +9,8 @@ point to a source, so any stretch of the schedule holds the sources in proportio
 are ranked within their source. A source's documents, shuffled by a hash of their id, form
 a line of words that repeats; its blocks are equal runs of ``block`` words of that line, the
 last one shorter so that the target is met to the word. Slot and block meet on (source,
-rank). Blocks that find no slot, as a stretch of points is not exact, follow at the end.
+rank), and only what meets is taken. A stretch of points is not exact: where it holds too few slots of a
+source, the schedule closes with the missing ones, and slots beyond a source's last block are left out.
 
 No window spans a source: ranks and places within a source are sums over small cells
 plus offsets by cell, so one source may hold any share of the rows. Only tables with a
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from gearwatch.llm.common import tidy
 from gearwatch.llm.words import Words, slices
 from gearwatch.session import materialize
 
@@ -41,9 +43,10 @@ SPAN = 1 << 20
 PHI_SPAN = 0.607787409740351  # frac(SPAN * phi), see golden_point
 
 
-def shuffled(id_col: str):
-    """Place of an id in the shuffled order of its source."""
-    return F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+def shuffled(id_col: str, text_col: str):
+    """Place of an id in the shuffled order of its source; documents without an id are placed by their text."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("t"), F.md5(text))))
 
 
 def tie(text_col: str):
@@ -62,7 +65,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     narrow = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
-        shuffled(id_col).alias("order"),
+        shuffled(id_col, text_col).alias("order"),
         tie(text_col).alias("tie"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
     )
@@ -110,34 +113,41 @@ def _ranked(df: DataFrame, by: str, cell: str, order: list, amount: str, before:
     return local.join(offsets, [by, cell]).withColumn(before, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside", cell)
 
 
-def schedule(spark, goals: DataFrame, total: int, n_sources: int, block: int = BLOCK) -> DataFrame:
-    """Slots (slot, number, rank) of the sources in ``goals`` (number, words); as many as there are blocks or a few more."""
+def schedule(spark, goals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Slots (slot, number, rank) of the sources in ``goals`` (number, words): one for each block of each source."""
+    blocks = goals.where("words > 0").select("number", "words", F.ceil(F.col("words") / block).alias("blocks"))
+    seen = blocks.agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n")).first()
+    n_sources, n_points = seen["n"], -(-(seen["words"] or 0) // block) + 2 * seen["n"]
     cells = 4 * max(1, n_sources)
     until = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = goals.where("words > 0").select("number", (F.sum("words").over(until) / F.sum("words").over(whole)).alias("high"), (F.col("words") / F.sum("words").over(whole)).alias("part"))
-    share = share.select("number", F.lag("high", 1, 0.0).over(Window.orderBy("number")).alias("low"), "high")
+    high = F.sum("words").over(until) / F.lit(float(seen["words"] or 1))
+    share = blocks.select("number", "blocks", high.alias("high"))
+    share = share.select("number", "blocks", F.lag("high", 1, 0.0).over(Window.orderBy("number")).alias("low"), "high")
     reach = F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))
     share = share.withColumn("cell", F.explode(reach))
-    slots = -(-total // block) + 2 * n_sources
-    points = spark.range(slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point")).withColumn("cell", F.floor(F.col("point") * cells))
+    points = spark.range(n_points).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point")).withColumn("cell", F.floor(F.col("point") * cells))
     mapped = points.join(share, "cell").where("point >= low AND point < high").select("slot", "number", F.lit(1).alias("one"), F.floor(F.col("slot") / CELL_SLOTS).alias("stretch"))
-    return _ranked(mapped, "number", "stretch", ["slot"], "one", "rank").select("slot", "number", "rank")
+    ranked = _ranked(mapped, "number", "stretch", ["slot"], "one", "rank").select("slot", "number", "rank")
+    # What the points leave open is a few slots a source.
+    found = mapped.groupBy("number").agg(F.count(F.lit(1)).alias("found"))
+    missing = blocks.join(found, "number", "left").withColumn("found", F.coalesce("found", F.lit(0))).where("found < blocks")
+    missing = missing.select("number", F.explode(F.sequence(F.col("found"), F.col("blocks") - 1)).alias("rank"))
+    closing = missing.select((F.lit(n_points) + F.row_number().over(Window.orderBy("number", "rank")) - 1).alias("slot"), "number", "rank")
+    return ranked.join(blocks.select("number", "blocks"), "number").where("rank < blocks").select("slot", "number", "rank").union(closing)
 
 
 def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS, **columns: str) -> tuple[DataFrame, DataFrame]:
     """The documents with size, source_size and target, and the mix itself.
 
-    The mix has a row per run of words: ``slot`` (null at the end of the schedule), ``rank``
+    The mix has a row per run of words: ``slot`` of the schedule, ``rank``
     of the block in its source, ``turn`` of the line, ``start`` of the document on it, id, order, tie and source of the document, ``begin`` and ``length`` of the run in words.
     """
     spark = docs.sparkSession
     rows = materialize(sized(docs, **columns))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goals = materialize(targets(sums.select("source", "source_size"), weights, most_repeats))
-    seen = rows.agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).first()
-    n_sources = goals.count()
-    total, n_cells = seen["words"] or 0, max(1, seen["docs"] // CELL_ROWS)
+    seen = rows.agg(F.count(F.lit(1)).alias("docs")).first()
+    n_cells = max(1, seen["docs"] // CELL_ROWS)
     placed = rows.join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # Cells are ranges of the shuffled order, so the order of cells is that of the rows.
     cell = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.lit(n_cells) / F.lit(1 << 32))
@@ -149,22 +159,22 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS,
     cut = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))
     begin, end = F.greatest("low", F.col("rank") * block), F.least("high", (F.col("rank") + 1) * block)
     runs = cut.select("number", "rank", "turn", "start", "id", "order", "tie", "source", (begin - F.col("low")).alias("begin"), (end - begin).alias("length"))
-    slots = schedule(spark, goals.select("number", "words"), total, n_sources, block)
-    mixed = runs.join(slots, ["number", "rank"], "left").select("slot", "rank", "turn", "start", "id", "order", "tie", "source", "begin", "length")
+    slots = schedule(spark, goals.select("number", "words"), block)
+    mixed = runs.join(slots, ["number", "rank"]).select("slot", "rank", "turn", "start", "id", "order", "tie", "source", "begin", "length")
     return placed.drop("number", "weight", "words"), mixed
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words of the document in the mix, repeats counted)."""
+    """doc_id, size, source_size, target, taken (words of the document in the mix, repeats counted) and first_slot (null if none)."""
     placed, mixed = mix(docs, **options)
-    sums = mixed.groupBy(F.col("id").alias("_id"), F.col("order").alias("_o"), F.col("tie").alias("_t"), F.col("source").alias("_s")).agg(F.sum("length").alias("taken"))
+    sums = mixed.groupBy(F.col("id").alias("_id"), F.col("order").alias("_o"), F.col("tie").alias("_t"), F.col("source").alias("_s")).agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"))
     # Equal rows share what was taken of them: each is on the line by itself, so the sum divides among them.
     same = Window.partitionBy("id", "order", "tie", "source")
     counted = placed.withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("_k", F.row_number().over(same.orderBy("size")))
     key = F.col("id").eqNullSafe(F.col("_id")) & (F.col("order") == F.col("_o")) & (F.col("tie") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s"))
     part = F.floor((F.col("taken") + F.col("_n") - F.col("_k")) / F.col("_n"))
     return counted.join(sums, key, "left").select(
-        F.col("id").cast(LongType()).alias("doc_id"), "size", "source_size", "target", F.coalesce(part, F.lit(0)).cast("long").alias("taken")
+        F.col("id").cast(LongType()).alias("doc_id"), "size", "source_size", "target", F.coalesce(part, F.lit(0)).cast("long").alias("taken"), F.col("first_slot").cast("long").alias("first_slot")
     )
 
 
@@ -183,14 +193,21 @@ def first_words(batches):
             yield pa.RecordBatch.from_arrays(columns, [n for n in part.schema.names if n != "take"])
 
 
-def mixed_texts(rows: DataFrame, runs: DataFrame) -> DataFrame:
+def mixed_texts(rows: DataFrame, runs: DataFrame, source_col: str = "source") -> DataFrame:
     """Packed documents (id, text, rest) as the mix takes them: one row per document and turn.
 
-    Where a source's target ends inside a text, that row has the first words only.
+    Where a source's target ends inside a text, that row has the first words only. The rows of each file
+    follow the schedule.
     """
-    same = Window.partitionBy("order", "tie")
-    turns = runs.groupBy("order", "tie", "start", "turn").agg(F.sum("length").alias("take"))
+    same = Window.partitionBy("order", "tie", "source")
+    turns = runs.groupBy("order", "tie", "source", "start", "turn").agg(F.sum("length").alias("take"), F.min("slot").alias("slot"))
     turns = turns.withColumn("copy", F.dense_rank().over(same.orderBy("start"))).drop("start", "turn")
-    keyed = rows.withColumn("order", shuffled("id")).withColumn("tie", tie("text")).withColumn("copy_", F.row_number().over(same.orderBy("id")))
-    met = keyed.join(turns, ["order", "tie"]).where("copy = copy_").select("id", "text", "rest", "take")
-    return met.mapInArrow(first_words, met.select("id", "text", "rest").schema)
+    turns = turns.select(*[F.col(c).alias(f"_{c}") for c in turns.columns])
+    source = F.col("rest").getField(source_col).cast("string")
+    keyed = rows.select("id", "text", "rest", shuffled("id", "text").alias("order"), tie("text").alias("tie"), source.alias("source"))
+    keyed = keyed.withColumn("copy", F.row_number().over(same.orderBy("id")))
+    # no null in a key that texts are joined by: a null source has a name that no other has
+    named = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("n"))
+    met = keyed.join(turns, (F.col("order") == F.col("_order")) & (F.col("tie") == F.col("_tie")) & (named("source") == named("_source")) & (F.col("copy") == F.col("_copy")))
+    met = met.select("id", "text", "rest", F.col("_take").alias("take"), F.col("_slot").alias("slot")).sortWithinPartitions("slot").drop("slot")
+    return met.mapInArrow(tidy(first_words), met.select("id", "text", "rest").schema)
