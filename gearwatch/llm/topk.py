@@ -7,7 +7,8 @@ lists are merged level by level in a tree, so no task sees more than ``FAN`` lis
 a query. Work is queries x vectors; a task holds one tile.
 
 Products are exact: in double precision while every sum stays below 2^53, else in
-unlimited integers; a score beyond 64 bits is held at the nearest 64-bit integer.
+unlimited integers; a score beyond 64 bits is held at the nearest 64-bit integer, and a
+scaled component beyond the largest double at that.
 
 Vectors that are null, or hold a null or a non-finite component, take no part, nor do
 rows without an id. Vectors of different length are not compared. A vector is no
@@ -35,7 +36,9 @@ def _packed(rows: DataFrame, part: str, scale: int) -> DataFrame:
 
     def run(key, table):
         ids = table.column("id").to_numpy()
-        values = np.floor(scale * table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False))
+        with np.errstate(over="ignore"):
+            values = np.floor(scale * table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False))
+        values = np.clip(values, -np.finfo(float).max, np.finfo(float).max)
         return pa.table(
             {
                 part: pa.array([key[0].as_py()], pa.int64()),
@@ -50,7 +53,8 @@ def _packed(rows: DataFrame, part: str, scale: int) -> DataFrame:
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products of all rows as 64-bit integers, exactly."""
-    most = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]
+    with np.errstate(over="ignore"):
+        most = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]
     if most < _EXACT:
         return (q @ c.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m.tolist()], dtype=object).reshape(m.shape)
