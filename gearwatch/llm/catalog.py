@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 
 from gearwatch.llm import align, bpe, ctph, jaccard, language, licenses, mixing, packing, resample, rollup, substrings, topk, whitening
 from gearwatch.llm.common import table
-from gearwatch.llm.rollup import measured as rollup_rows
-from gearwatch.session import checkpoint_dir
+from gearwatch.session import checkpoint_dir, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+RANK_FILE, FIRST_RANK_FILE = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"
 BYTE_LEVEL_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
@@ -42,28 +41,33 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_token_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents by words; all revised to a tokenizer of four-byte pieces; repeated texts deleted."""
-    rows = rollup_rows(table(spark, sf_dir, "documents"))
+    """Each document's amounts and its group's totals after three batches.
+
+    The batches: all documents by the first tokenizer; all revised to the second one (delivered twice, counted once);
+    documents whose text an earlier document has deleted. Per document: doc_id, source, lang, its tokens by
+    either tokenizer, whether it was deleted, what it adds to its group in the end, and its group's
+    documents and tokens by either tokenizer.
+    """
+    versions = {"byte-bpe-50k": bpe.load(spark, public_tokenizers.path(FIRST_RANK_FILE), public_tokenizers.PATTERN), "byte-bpe-multi-50k": bpe.load(spark, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)}
+    rows = materialize(rollup.copies(rollup.measured(table(spark, sf_dir, "documents"), versions)))
     store = rollup.Rollup(spark, f"{checkpoint_dir(spark)}/rollup/{uuid.uuid4().hex}")
     key = {k: F.col(k) for k in ("source", "lang")}
-    words = {**key, "tokenizer": F.lit("words-1"), "tokens": F.col("words")}
-    pieces = {**key, "tokenizer": F.lit("pieces-2"), "tokens": F.ceil(F.col("size") / 4)}
-    store.commit("load", rows.select(*rollup.change("insert", new=words)))
-    revised = rows.select(*rollup.change("revise", new=pieces, old=words))
+    first, second = [{**key, "tokenizer": F.lit(name), "tokens": F.col(f"tokens_{k}")} for k, name in enumerate(versions)]
+    store.commit("load", rows.select(*rollup.change("insert", new=first)))
+    revised = rows.select(*rollup.change("revise", new=second, old=first))
     store.commit("revise", revised)
-    store.commit("revise", revised)  # delivered twice, counted once
-    first = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key", "first")
-    store.commit("delete", rows.join(first, "text_key").where("doc_id != first").select(*rollup.change("delete", old=pieces)))
-    return store.totals()
-
-
-SQL["op3_token_count_rollup"] = r"""
-WITH d AS (SELECT source, lang, doc_id, text, min(doc_id) OVER (PARTITION BY text) AS first, strlen(text) AS size FROM documents)
-SELECT source, lang, 'pieces-2' AS tokenizer, count(*) FILTER (doc_id = first) AS docs,
-  CAST(sum(CASE WHEN doc_id = first THEN (size + 3) // 4 ELSE 0 END) AS BIGINT) AS tokens FROM d GROUP BY source, lang
-UNION ALL
-SELECT DISTINCT source, lang, 'words-1', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM d
-"""
+    store.commit("revise", revised)
+    store.commit("delete", rows.where("copy").select(*rollup.change("delete", old=second)))
+    totals = store.totals().groupBy(F.col("source").alias("_source"), F.col("lang").alias("_lang")).agg(
+        *[F.sum(F.when(F.col("tokenizer") == name, F.col(a))).alias(f"group_{a}_{k}") for k, name in enumerate(versions) for a in rollup.AMOUNTS]
+    )
+    # a row per source and language
+    met = rows.join(totals, F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")))
+    amount = F.when(F.col("copy"), F.lit(0)).otherwise(F.col("tokens_1")).cast("long")
+    return met.select(
+        "doc_id", "source", "lang", "tokens_0", "tokens_1", F.col("copy").alias("deleted"), amount.alias("amount"),
+        *[f"group_{a}_{k}" for k in range(len(versions)) for a in rollup.AMOUNTS],
+    )
 
 
 @query
@@ -87,9 +91,19 @@ f AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OV
 l AS (SELECT (SELECT level FROM f WHERE level * weight < 3 * source_size ORDER BY source_size / weight, number LIMIT 1) AS level),
 t AS (SELECT source, source_size, CASE WHEN f.level * weight >= 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE l.level * weight END AS target FROM f, l),
 w AS (SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS words, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id) - size AS BIGINT) AS start
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size
-    + greatest(0, least(start + size, words % source_size) - start) END AS BIGINT) AS taken FROM w
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size
+    + greatest(0, least(start + size, words % source_size) - start) END AS BIGINT) AS taken FROM w),
+b AS (SELECT source, number, words, (words + 1023) // 1024 AS blocks, CAST(sum(words) OVER (ORDER BY number) AS DOUBLE) / CAST(sum(words) OVER () AS DOUBLE) AS high
+    FROM (SELECT t.source, number, CAST(round(target) AS BIGINT) AS words FROM t JOIN n ON t.source IS NOT DISTINCT FROM n.source) WHERE words > 0),
+c AS (SELECT *, lag(high, 1, 0.0) OVER (ORDER BY number) AS low FROM b),
+e AS (SELECT i AS slot, x - floor(x) AS point FROM (SELECT i, floor(i / 1048576) * CAST(0.607787409740351 AS DOUBLE) + (i % 1048576) * CAST(0.6180339887498949 AS DOUBLE) AS x
+    FROM (SELECT unnest(range(CAST((SELECT (sum(words) + 1023) // 1024 + 2 * count(*) FROM b) AS BIGINT))) AS i))),
+g AS (SELECT slot, number, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS rank FROM e JOIN c ON point >= low AND point < high),
+h AS (SELECT c.number, unnest(range(CAST(coalesce(f.found, 0) AS BIGINT), CAST(c.blocks AS BIGINT))) AS rank FROM c LEFT JOIN (SELECT number, count(*) AS found FROM g GROUP BY number) f USING (number)),
+z AS (SELECT slot, number, rank FROM g UNION ALL SELECT (SELECT count(*) FROM e) + row_number() OVER (ORDER BY number, rank) - 1, number, rank FROM h)
+SELECT doc_id, size, source_size, target, taken, CAST(z.slot AS BIGINT) AS first_slot
+FROM k LEFT JOIN c ON k.source IS NOT DISTINCT FROM c.source LEFT JOIN z ON taken > 0 AND z.number = c.number AND z.rank = k.start // 1024
 """
 
 

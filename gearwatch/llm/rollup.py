@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gearwatch.llm.words import Words, slices
+from gearwatch.llm.common import tidy
+from gearwatch.llm.words import slices
 from gearwatch.session import materialize
 
 KEYS = ("source", "lang", "tokenizer")
@@ -98,16 +99,41 @@ class Rollup:
         self._publish([(b, attempt, part) for b in batches])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, words, size (UTF-8 bytes) and a hash of the text of each document."""
-    text = F.col("text").cast("string")
-    narrow = docs.select("doc_id", "source", "lang", F.octet_length(text).cast("long").alias("size"), F.md5(text).alias("text_key"), text.alias("text"))
+def measured(docs: DataFrame, tokenizers: dict[str, object], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """doc_id, source, lang, a hash of the text, and the text's tokens by each of the (broadcast) tokenizers; written.
+
+    A null text has no tokens; its hash is null.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    narrow = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        F.col(f"`{lang_col}`").cast("string").alias("lang"),
+        F.md5(text).alias("text_key"),
+        text.alias("text"),
+    )
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                words = pa.array(Words(part.column("text")).count, pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], words], [*part.schema.names[:-1], "words"])
+                texts = part.column("text").to_pylist()
+                counts = [pa.array([len(x) // 4 for x in t.value.encode_all(texts)], pa.int64()) for t in tokenizers.values()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *counts], [*part.schema.names[:-1], *[f"tokens_{k}" for k in range(len(counts))]])
+
+    def forget():
+        for t in tokenizers.values():
+            t.value.forget()
+
+    schema = StructType([*narrow.schema.fields[:-1], *[StructField(f"tokens_{k}", LongType()) for k in range(len(tokenizers))]])
+    return materialize(narrow.mapInArrow(tidy(run, forget), schema))
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """Add ``copy``: whether a row of an equal text (null texts are equal) has a smaller id, a null id counting as the largest.
 
-    schema = StructType([*narrow.schema.fields[:-1], StructField("words", LongType())])
-    return materialize(narrow.mapInArrow(run, schema))
+    Texts that occur once, most of them, are not joined; a text that fills a third of the rows is one row of the small side.
+    Of rows that agree in text and id, all are kept or all are copies.
+    """
+    first = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("text_key").alias("_key"), "first")
+    met = rows.join(first, F.col("text_key").eqNullSafe(F.col("_key")), "left")
+    return met.withColumn("copy", F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first"))).drop("_key", "first")
