@@ -27,6 +27,7 @@ import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,13 @@ class Side:
 
     def __post_init__(self):
         self.size = np.array([len(t) for t in self.token], dtype=np.int64)
+        self._letters, self._start = np.frombuffer(b"".join(self.token), dtype=np.uint8), np.cumsum(self.size) - self.size
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of tokens one after another."""
+        size = self.size[ids]
+        to = np.cumsum(size) - size
+        return self._letters[np.arange(int(size.sum())) + np.repeat(self._start[ids] - to, size)]
 
 
 def byte_level_side(definition: str) -> Side:
@@ -177,18 +185,26 @@ class Aligned:
 
 
 def _ids(lists: list[list[int]]) -> np.ndarray:
-    return np.fromiter((k for ids in lists for k in ids), dtype=np.int64, count=sum(map(len, lists)))
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=sum(map(len, lists)))
 
 
 def align(texts: list[str | None], a: Side, b: Side) -> Aligned:
     """Align all texts of a slice at once: their bytes follow each other, and each text's end is a common end."""
     asked = [t or "" for t in texts]
+    whole = [(" " + t).encode() if t else b"" for t in asked]
     lists = [side.encode(asked) for side in (a, b)]
-    for k, text in enumerate(asked):
-        whole = (" " + text).encode() if text else None
-        if any(b"".join(map(side.token.__getitem__, own[k])) != whole or not all(map(side.token.__getitem__, own[k])) for side, own in ((a, lists[0]), (b, lists[1]))):
+    for k, t in enumerate(asked):
+        if not t:
             lists[0][k] = lists[1][k] = []
     ids = tuple(_ids(own) for own in lists)
+    given = np.frombuffer(b"".join(whole), dtype=np.uint8)
+    if not all((side.size[x] > 0).all() and np.array_equal(side.spelled(x), given) for side, x in zip((a, b), ids)):
+        for k, text in enumerate(whole):  # some text of the slice is spelled otherwise: find which
+            for side, own in ((a, lists[0][k]), (b, lists[1][k])):
+                spelled = [side.token[i] for i in own]
+                if b"".join(spelled) != text or not all(spelled):
+                    lists[0][k] = lists[1][k] = []
+        ids = tuple(_ids(own) for own in lists)
     count = tuple(np.array([len(x) for x in own], dtype=np.int64) for own in lists)
     ends = tuple(np.cumsum(side.size[x]) for side, x in zip((a, b), ids))
     s, t = (0, 1) if len(ids[0]) <= len(ids[1]) else (1, 0)  # the shorter and the longer list
