@@ -177,41 +177,93 @@ def part_profile(spark, sf):
     return C.part_profile(days, list(PART_MEMBERS))
 
 
-@query(
-    "operating_residuals",
-    R_SQL + f""", n AS (SELECT *, isodow(d) - 1 AS dow, sin(2 * pi() * month(d) / 12) AS ms, cos(2 * pi() * month(d) / 12) AS mc FROM daily)
- SELECT count(*) AS rows, CAST(5 AS BIGINT) AS entities, CAST(2 AS BIGINT) AS sensors, true AS centred FROM n WHERE points <= 2 AND d < DATE '{VALID}'""",
-)
-def operating_residuals_check(spark, sf):
-    """Least squares leaves residuals that sum to zero over each entity's training rows."""
-    daily = U.entity_daily(region_panel(spark, sf))
-    train = (F.col("points") <= 2) & (F.col("d") < F.lit(VALID).cast("date"))
-    out, artifacts = operating_residuals(daily, ["m1", "m2"], ["m3", "m4"], train)
-    sums = out.filter(train).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n"), F.abs(F.sum("m1_residual")).alias("s1"), F.abs(F.sum("m2_residual")).alias("s2")
-    )
-    shape = artifacts.filter("selected_scope = 'asset_tag'").agg(F.countDistinct("sensor").alias("k")).scalar()
-    return sums.agg(
-        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("entities"), F.max(shape).alias("sensors"),
-        (F.max(F.greatest("s1", "s2")) < 0.01).alias("centred"),
-    )
-
-
-@query("residual_history")
+def residual_sql(base: str, measures, operating: str, min_rows: int) -> str:
+    """CTE ``res``: daily rows with <m>_expected, <m>_residual and <m>_residual_robust_z for one operating measure."""
+    out = base + f""", c AS (SELECT * FROM daily WHERE points = 0 AND d < DATE '{VALID}')"""
+    for m in measures:
+        out += f""",
+ own_{m} AS (SELECT entity, etype, count(*) AS n, regr_slope({m}, {operating}) AS b, regr_intercept({m}, {operating}) AS a, avg({m}) AS my, avg({operating}) AS mx,
+   covar_pop({m}, {operating}) * count(*) AS sxy, var_pop({operating}) * count(*) AS sxx FROM c GROUP BY entity, etype),
+ pool_{m} AS (SELECT sum(sxy) / sum(sxx) AS b FROM own_{m}),
+ ty_{m} AS (SELECT etype, avg({m}) - max(b) * avg({operating}) AS a FROM c, pool_{m} GROUP BY etype),
+ al_{m} AS (SELECT avg({m}) - max(b) * avg({operating}) AS a FROM c, pool_{m}),
+ e_{m} AS (SELECT daily.d, daily.entity, daily.etype, daily.{m} AS v, own.n >= {min_rows} AS is_own, points = 0 AND d < DATE '{VALID}' AS fit,
+   coalesce(own.my - p.b * own.mx, ty.a, al.a) + p.b * {operating} AS shared, CASE WHEN own.n >= {min_rows} THEN own.a + own.b * {operating} ELSE coalesce(own.my - p.b * own.mx, ty.a, al.a) + p.b * {operating} END AS expected
+   FROM daily LEFT JOIN own_{m} own ON own.entity = daily.entity AND own.etype = daily.etype LEFT JOIN ty_{m} ty ON ty.etype = daily.etype, pool_{m} p, al_{m} al),
+ sc_{m} AS (SELECT entity, median(v - expected) AS med, mad(v - expected) AS mad, stddev_pop(v - expected) AS std FROM e_{m} WHERE fit AND is_own GROUP BY entity),
+ sa_{m} AS (SELECT median(v - shared) AS med, mad(v - shared) AS mad, stddev_pop(v - shared) AS std FROM e_{m} WHERE fit),
+ r_{m} AS (SELECT e.d, e.entity, expected AS {m}_expected, v - expected AS {m}_residual, (v - expected - coalesce(s.med, g.med))
+   / CASE WHEN s.entity IS NOT NULL THEN CASE WHEN s.mad > 1e-12 THEN 1.4826 * s.mad ELSE s.std END ELSE CASE WHEN g.mad > 1e-12 THEN 1.4826 * g.mad ELSE g.std END END AS {m}_residual_robust_z
+   FROM e_{m} e LEFT JOIN sc_{m} s ON s.entity = e.entity, sa_{m} g)"""
+    joins = " ".join(f"JOIN r_{m} ON r_{m}.d = daily.d AND r_{m}.entity = daily.entity" for m in measures)
+    names = ", ".join(f"round({m}_{x}, 6) AS {m}_{x}" for m in measures for x in ("expected", "residual", "residual_robust_z"))
+    return out + f""",
+ res AS (SELECT daily.d, daily.entity, {names} FROM daily {joins})"""
+
+
+RESIDUAL_ROWS = 190  # own fits for a part of the entities, shared slopes for the others
+RESIDUAL_COLUMNS = [f"{m}_{x}" for m in ("m1", "m2") for x in ("expected", "residual", "residual_robust_z")]
+
+
+def residual_rows(spark, sf):
+    daily = U.entity_daily(supplier_panel(spark, sf))
+    train = (F.col("points") == 0) & (F.col("d") < F.lit(VALID).cast("date"))
+    out, artifacts = operating_residuals(daily, ["m1", "m2"], ["m3"], train, min_rows=RESIDUAL_ROWS, calendar=())
+    return rounded(out.select("d", "entity", *RESIDUAL_COLUMNS), RESIDUAL_COLUMNS, 6), artifacts
+
+
+RES_SQL = residual_sql(L_SQL, ("m1", "m2"), "m3", RESIDUAL_ROWS)
+
+
+@query("operating_residuals", RES_SQL + " SELECT * FROM res")
+def operating_residual_rows(spark, sf):
+    """Expected values, residuals and their z: own fits, or shared slopes with a level of its own per entity."""
+    return residual_rows(spark, sf)[0]
+
+
+@query("residual_scopes", RES_SQL + " SELECT 'm1' AS sensor, count(*) AS entities, count(*) FILTER (n >= 190) AS own_fits FROM own_m1 UNION ALL SELECT 'm2', count(*), count(*) FILTER (n >= 190) FROM own_m2")
+def residual_scopes(spark, sf):
+    """How many entities have a fit of their own."""
+    daily = U.entity_daily(supplier_panel(spark, sf))
+    clean = clean_train(daily)
+    artifacts = residual_rows(spark, sf)[1]
+    own = artifacts.filter("selected_scope = 'asset_tag'").groupBy("sensor").agg(F.count(F.lit(1)).alias("own_fits"))
+    return own.withColumn("entities", clean.agg(F.countDistinct("entity")).scalar()).select("sensor", "entities", "own_fits")
+
+
+def _residual_history_sql() -> str:
+    from gearwatch.catalog.history import _range, lag_sql, over
+
+    cols = []
+    for x in ("m1_residual", "m1_residual_robust_z"):
+        w = _range(-7, -1).format(by="entity")
+        cols += [f"{lag_sql(x, k)} AS {x}_lag{k}" for k in (1, 3, 7)]
+        cols += [f"round({over('median', x, -7, -1, 3)}, 9) AS {x}_median7", f"round({over('mad', x, -7, -1, 3)}, 9) AS {x}_mad7"]
+        cols.append(f"round(CASE WHEN count({x}) OVER {w} >= 7 THEN regr_slope({x}, date_diff('day', DATE '2024-01-01', d)) OVER {w} END, 6) AS {x}_slope7")
+    return ", ".join(cols)
+
+
+@query("residual_history", RES_SQL + f" SELECT d, entity, m1_residual, m1_residual_robust_z, {_residual_history_sql()} FROM res")
 def residual_history_rows(spark, sf):
-    daily = U.entity_daily(region_panel(spark, sf))
-    train = (F.col("points") <= 2) & (F.col("d") < F.lit(VALID).cast("date"))
-    out, _ = operating_residuals(daily, ["m1", "m2"], ["m3", "m4"], train)
-    return residual_history(out.select("d", "entity", "m1_residual", "m1_residual_robust_z"), ["entity"], "d", ["m1_residual", "m1_residual_robust_z"])
+    """History of residuals: lags, median, deviation and slope of the past week."""
+    names = ["m1_residual", "m1_residual_robust_z"]
+    out = residual_history(residual_rows(spark, sf)[0].select("d", "entity", *names), ["entity"], "d", names)
+    return rounded(rounded(out, [f"{c}_{x}" for c in names for x in ("median7", "mad7")]), [f"{c}_slope7" for c in names], 6)
 
 
-@query("case_control_residual")
+_RES_CASE = CASE_SQL.removeprefix(Z_SQL).replace(", abs(z3) AS m3, abs(z4) AS m4", "").replace("m1, m2, m3, m4", "m1, m2")
+
+
+@query(
+    "case_control_residual",
+    RES_SQL + ", z AS (SELECT d, entity, m1_residual_robust_z AS z1, m2_residual_robust_z AS z2 FROM res)" + _RES_CASE + f""", s AS ({_CASE_OUT}),
+ k AS (SELECT failed_part, sensor, z_threshold, count(*) AS n, count(DISTINCT sign(anomaly_rate_diff_pp)) FILTER (anomaly_rate_diff_pp <> 0) AS signs FROM s WHERE period <> 'overall' GROUP BY ALL)
+ SELECT s.*, CASE WHEN n < 2 THEN 'too_few_periods' WHEN signs <= 1 THEN 'consistent' ELSE 'mixed' END AS direction_status FROM s JOIN k USING (failed_part, sensor, z_threshold)""",
+)
 def case_control_residual(spark, sf):
     """The same comparison on operating-condition residuals."""
-    panel = region_panel(spark, sf)
-    daily = U.entity_daily(panel)
-    train = (F.col("points") <= 2) & (F.col("d") < F.lit(VALID).cast("date"))
-    z, _ = operating_residuals(daily, ["m1", "m2"], ["m3", "m4"], train)
-    single = U.single_failure_daily(panel).select("d", "entity", "status", "failed_part", "failed_family")
+    z = residual_rows(spark, sf)[0].select("d", "entity", "m1_residual_robust_z", "m2_residual_robust_z")
+    single = U.single_failure_daily(supplier_panel(spark, sf)).select("d", "entity", "status", "failed_part", "failed_family")
     days = C.with_periods(z.join(single, ["d", "entity"]), "d", VALID, TEST)
-    return C.direction(C.summarize(C.entity_effects(days, {m: f"{m}_residual_robust_z" for m in ("m1", "m2")})))
+    out = C.direction(C.summarize(C.entity_effects(days, {m: f"{m}_residual_robust_z" for m in ("m1", "m2")})))
+    return rounded(out, [*RATES[:5], "anomaly_rate_diff_pp"])
