@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gearwatch.catalog.base import E_SQL, R_SQL, period_sql, query, rounded
+from gearwatch.catalog.history import lag_sql
 from gearwatch.catalog.labels import ahead, binary_sql
 from gearwatch.functions.expressions import SEVERITY_LEVELS
-from gearwatch.operators import metrics, rollups, splits, thresholds
+from gearwatch.operators import history, metrics, rollups, splits, thresholds
 from gearwatch.operators.joins import scope_rows
 from gearwatch.plans import forecast as P
 from gearwatch.plans import learning as L
@@ -172,6 +173,31 @@ def learn_latest_scores(spark, sf):
     return L.predict(model, latest, task, ["d", "entity"])
 
 
+PREPARED = tuple(x for m in ("m1", "m2", "m3", "m4") for x in (m, f"{m}_lag1", f"{m}_lag7"))
+
+
+def _prepared_sql() -> str:
+    columns = ", ".join(f"CAST({m if x == m else lag_sql(m, int(x[-1]))} AS DOUBLE) AS {x}" for m in ("m1", "m2", "m3", "m4") for x in (m, f"{m}_lag1", f"{m}_lag7"))
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS v FROM t" for c in PREPARED)
+    return E_SQL + f""", t AS (SELECT * FROM (SELECT d, entity, etype, {period_sql(*EVENT_SPLIT)} AS split, {columns} FROM daily) WHERE split = 'train'), c AS ({cells}),
+ md AS (SELECT col, coalesce(median(v), 0) AS fill FROM c GROUP BY col),
+ s AS (SELECT c.col, any_value(fill) AS fill, avg(coalesce(v, fill)) AS mean, stddev_samp(coalesce(v, fill)) AS sd, avg(CAST(v IS NULL AS INTEGER)) AS gone, stddev_samp(CAST(v IS NULL AS INTEGER)) AS gone_sd FROM c JOIN md USING (col) GROUP BY c.col)
+ SELECT col AS "column", CAST(fill AS DOUBLE) AS fill, round(mean, 6) AS mean, round(sd, 6) AS deviation, CAST(NULL AS VARCHAR) AS level, CAST(NULL AS INTEGER) AS place FROM s
+ UNION ALL SELECT col || '__missing', NULL, round(gone, 6), round(gone_sd, 6), NULL, NULL FROM s
+ UNION ALL SELECT 'etype', NULL, NULL, NULL, level, CAST(row_number() OVER (ORDER BY level) - 1 AS INTEGER) FROM (SELECT DISTINCT CAST(etype AS VARCHAR) AS level FROM t)"""
+
+
+@query("fitted_preprocessing", _prepared_sql())
+def fitted_preprocessing(spark, sf):
+    """Exact medians, means, deviations and categories that a pipeline learnt from the training rows."""
+    daily = rollups.entity_daily(events_panel(spark, sf))
+    rows = history.add_history(daily, ["entity"], "d", [history.lag(m, k) for m in ("m1", "m2", "m3", "m4") for k in (1, 7)])
+    rows = rows.withColumns({"split": splits.period_column("d", *EVENT_SPLIT), "risk": (F.col("points") >= 7).cast("int")})
+    task = L.written(L.Task(rows, PREPARED, "risk", ("etype",)))
+    model = L.fit(task, L.classifier("lr", task.part("train").count(), maxIter=1))
+    return rounded(L.preprocessing_table(model, task), ["mean", "deviation"], 6)
+
+
 from gearwatch.catalog.base import SQL  # noqa: E402
 
 SQL["task_part_within_7d"] = SQL["task_part_within_7d"].replace(

@@ -500,8 +500,12 @@ def operational_verdict(spark, sf):
    avg(ap) FILTER (split = 'test' AND fset = 'A') AS ta, avg(ap) FILTER (split = 'test' AND fset = 'B') AS tb, avg(ap) FILTER (split = 'test' AND fset = 'C') AS tc FROM q),
  w AS (SELECT count(*) FILTER (b > a) AS wb, count(*) FILTER (c > a) AS wc FROM (SELECT family, max(ap) FILTER (fset = 'A') AS a, max(ap) FILTER (fset = 'B') AS b, max(ap) FILTER (fset = 'C') AS c FROM q WHERE split = 'valid' GROUP BY family)),
  z AS (SELECT CASE WHEN vc > vb THEN 'C' ELSE 'B' END AS chosen, CASE WHEN vc > vb THEN vc ELSE vb END - va AS vd, CASE WHEN vc > vb THEN tc ELSE tb END - ta AS td, CASE WHEN vc > vb THEN wc ELSE wb END AS wins FROM m, w),
- y AS (SELECT *, concat_ws('; ', CASE WHEN vd < 0.02 - 1e-12 THEN 'validation gain below 0.02' END, CASE WHEN wins < 2 THEN 'too few families improved' END, CASE WHEN td < -1e-12 THEN 'worse on test' END) AS reasons FROM z)
- SELECT chosen, round(vd, 9) AS valid_delta, round(td, 9) AS test_delta, wins AS improved_families, 0.5::DOUBLE AS temporal_importance, reasons, reasons = '' AS eligible FROM y""",
+ gn AS (SELECT family, fset, greatest(max(ap) FILTER (split = 'valid') - 0.5, -1) AS gain FROM q GROUP BY ALL),
+ im AS (SELECT max(gain) FILTER (fset = 'B') AS ib, max(gain) FILTER (fset = 'C') AS ic FROM (SELECT fset, family, greatest(gain, 0) AS gain FROM gn)),
+ y AS (SELECT z.*, CASE WHEN chosen = 'C' THEN ic ELSE ib END AS ti FROM z, im),
+ x AS (SELECT *, concat_ws('; ', CASE WHEN vd < 0.02 - 1e-12 THEN 'validation gain below 0.02' END, CASE WHEN wins < 5 THEN 'too few families improved' END, CASE WHEN td < -1e-12 THEN 'worse on test' END,
+   CASE WHEN ti <= 0 THEN 'history features carry no importance' END) AS reasons FROM y)
+ SELECT chosen, round(vd, 9) AS valid_delta, round(td, 9) AS test_delta, wins AS improved_families, round(ti, 9) AS temporal_importance, reasons, reasons = '' AS eligible FROM x""",
 )
 def sequence_gate(spark, sf):
     rows = family_scores(spark, sf)
@@ -512,7 +516,10 @@ def sequence_gate(spark, sf):
         F.struct(F.lit("C").alias("feature_set"), F.round(F.lit(0.5) * F.col("score") + F.lit(0.5) * F.col("rate"), 6).alias("score")),
     )
     sets = rows.join(static, "family").select("family", "split", "y", F.inline(cells))
-    quality = metrics.ranking_quality(sets, ["family", "feature_set", "split"]).withColumns(
-        {"target": F.lit("affected"), "temporal_importance": F.when(F.col("feature_set") != "A", F.lit(0.5)).otherwise(0.0)}
-    )
-    return rounded(selection.sequence_gate(quality, min_families=2), ["valid_delta", "test_delta"])
+    quality = metrics.ranking_quality(sets, ["family", "feature_set", "split"]).withColumn("target", F.lit("affected"))
+    # What the history column adds to a set's AP over a coin's, on validation; the static rate is no history feature.
+    gains = quality.filter("split = 'valid'").select("family", "feature_set", F.explode(F.array(
+        F.struct(F.lit("past").alias("feature"), (F.col("average_precision") - 0.5).alias("importance")), F.struct(F.lit("rate").alias("feature"), F.lit(1.0).alias("importance"))
+    )).alias("x")).select("family", "feature_set", "x.*")
+    importance = selection.positive_importance(gains, ["past"], ["family", "feature_set"])
+    return rounded(selection.sequence_gate(quality.join(importance, ["family", "feature_set"])), ["valid_delta", "test_delta", "temporal_importance"])

@@ -69,15 +69,30 @@ def incomplete_days(spark, sf):
     return Q.incomplete_days(events_panel(spark, sf).filter("observed = 1"), ["d", "entity"], "member", len(EVENT_MEMBERS))
 
 
+@query(
+    "daily_listed_values",
+    """WITH e AS (SELECT DISTINCT CAST(ts AS DATE) AS d, event_type AS value FROM events), w AS (SELECT d, unnest(['click', 'deploy', 'error', 'purchase']) AS value FROM (SELECT DISTINCT d FROM e))
+ SELECT d, value, 'missing' AS problem FROM (SELECT * FROM w EXCEPT SELECT * FROM e) UNION ALL SELECT d, value, 'extra' FROM e WHERE value NOT IN ('click', 'deploy', 'error', 'purchase')""",
+)
+def daily_listed_values(spark, sf):
+    events = table(spark, sf, "events").select(F.col("ts").cast("date").alias("d"), "event_type")
+    return Q.daily_listed_values(events, "event_type", ["click", "deploy", "error", "purchase"], ["d"])
+
+
 @query(
     "family_completeness",
-    E_SQL + """, o AS (SELECT * FROM panel WHERE observed = 1), c AS (SELECT DISTINCT entity, family, member FROM o), ex AS (SELECT entity, family, count(*) AS want FROM c GROUP BY ALL),
+    E_SQL + """, o AS (SELECT * REPLACE (CASE WHEN member = 'view' AND entity % 7 = 3 AND day(d) % 2 = 0 THEN 'X' ELSE family END AS family) FROM panel WHERE observed = 1),
+ c AS (SELECT DISTINCT entity, family, member FROM o), ex AS (SELECT entity, family, count(*) AS want FROM c GROUP BY ALL),
+ tw AS (SELECT entity, count(*) FILTER (k > 1) AS twice FROM (SELECT entity, member, count(*) AS k FROM c GROUP BY ALL) GROUP BY entity),
  nf AS (SELECT entity, count(*) AS wf FROM ex GROUP BY entity), se AS (SELECT entity, family, d, count(DISTINCT member) AS found FROM o GROUP BY ALL),
  dd AS (SELECT se.entity, d, count(*) AS fams, count(*) FILTER (found < want) AS short FROM se JOIN ex USING (entity, family) GROUP BY ALL)
- SELECT dd.entity, CAST(sum(short) AS BIGINT) AS short_family_days, count(*) FILTER (fams < wf) AS days_missing_family, CAST(0 AS BIGINT) AS parts_in_two_families FROM dd JOIN nf USING (entity) GROUP BY dd.entity""",
+ SELECT dd.entity, CAST(sum(short) AS BIGINT) AS short_family_days, count(*) FILTER (fams < wf) AS days_missing_family, any_value(twice) AS parts_in_two_families FROM dd JOIN nf USING (entity) JOIN tw USING (entity) GROUP BY dd.entity""",
 )
 def family_completeness(spark, sf):
-    return Q.family_completeness(events_panel(spark, sf).filter("observed = 1"))
+    """Some entities have a member that changes its family by the day."""
+    moved = (F.col("member") == "view") & (F.col("entity") % 7 == 3) & (F.dayofmonth("d") % 2 == 0)
+    rows = events_panel(spark, sf).filter("observed = 1").withColumn("family", F.when(moved, "X").otherwise(F.col("family")))
+    return Q.family_completeness(rows)
 
 
 @query(
@@ -180,12 +195,37 @@ def entity_catalog(spark, sf):
     return Q.entity_catalog(supplier_panel(spark, sf))
 
 
-@query("table_fingerprint", "SELECT count(*) AS rows, true AS same FROM lineitem")
+_CHANGES = {
+    "shuffled": "SELECT * FROM lineitem ORDER BY l_partkey, l_comment",
+    "one_row_less": "SELECT * FROM lineitem WHERE NOT (l_orderkey = (SELECT min(l_orderkey) FROM lineitem) AND l_linenumber = 1)",
+    "one_value_more": "SELECT * REPLACE (CASE WHEN l_orderkey = (SELECT max(l_orderkey) FROM lineitem) AND l_linenumber = 1 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity) FROM lineitem",
+    "one_row_twice": "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem) AND l_linenumber = 1",
+}
+
+
+@query(
+    "table_fingerprint",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS copy, (SELECT count(*) FROM ({q})) AS rows, NOT EXISTS (SELECT * FROM lineitem EXCEPT ALL ({q})) AND NOT EXISTS (({q}) EXCEPT ALL SELECT * FROM lineitem) AS same" for name, q in _CHANGES.items()
+    ).replace(", l_comment", ""),
+)
 def table_fingerprint(spark, sf):
-    """The fingerprint of a table and of its shuffled copy agree."""
+    """The fingerprint of a table against copies: shuffled, one row less, one value changed, one row twice."""
     lines = table(spark, sf, "lineitem")
-    other = Q.fingerprint(lines.repartition(13, "l_partkey")).select(F.struct("*")).scalar()
-    return Q.fingerprint(lines).select("rows", (F.struct("rows", "hash_xor", "hash_sum") == other).alias("same"))
+    ends = lines.agg(F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high")).first()
+    first, last = (F.col("l_orderkey") == ends["low"]) & (F.col("l_linenumber") == 1), (F.col("l_orderkey") == ends["high"]) & (F.col("l_linenumber") == 1)
+    copies = {
+        "shuffled": lines.repartition(13, "l_partkey"),
+        "one_row_less": lines.filter(~first),
+        "one_value_more": lines.withColumn("l_quantity", F.when(last, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))),
+        "one_row_twice": lines.unionByName(lines.filter(last)),
+    }
+    own = Q.fingerprint(lines).select(F.struct("*")).scalar()
+    out = None
+    for name, copy in copies.items():
+        one = Q.fingerprint(copy).select(F.lit(name).alias("copy"), "rows", (F.struct("rows", "hash_xor", "hash_sum") == own).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 SQL["preparation_report"] = SQL["preparation_report"].replace("__ELIG__", SQL["part_eligibility"])

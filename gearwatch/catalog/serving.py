@@ -358,3 +358,36 @@ def failed_parts_latest(spark, sf):
 def alert_summary(spark, sf):
     rows = A.alerts_of(e_daily(spark, sf), {"any_failure": 1, "high_risk": 7})
     return A.alert_summary(rows, {"any_failure": "any failure", "high_risk": "high risk"})
+
+
+_REVIEWED = """, a AS (SELECT d, entity, 'any_failure' AS rule, points FROM sd WHERE points >= 1 UNION ALL SELECT d, entity, 'high_risk', points FROM sd WHERE points >= 7),
+ v AS (SELECT d, entity, rule, CASE WHEN points % 2 = k % 2 THEN 'reviewed' ELSE 'unreviewed' END AS status, CAST(d AS TIMESTAMP) + INTERVAL (((entity * 7 + k * 5) % 11)) HOUR AS t_at FROM a, range(3) r(k) WHERE entity % 3 <> 0),
+ w AS (SELECT d, entity, rule, status, t_at FROM (SELECT *, row_number() OVER (PARTITION BY d, entity, rule ORDER BY t_at DESC, CASE status WHEN 'reviewed' THEN 0 ELSE 1 END) AS r FROM v) WHERE r = 1)"""
+
+
+def _reviewed(spark, sf):
+    alerts = A.alerts_of(e_daily(spark, sf), {"any_failure": 1, "high_risk": 7})
+    events = alerts.filter("entity % 3 <> 0").withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    reviews = events.select(
+        "d", "entity", "rule", F.when(F.col("points") % 2 == F.col("k") % 2, "reviewed").otherwise("unreviewed").alias("status"),
+        F.expr("CAST(d AS TIMESTAMP) + make_interval(0, 0, 0, 0, CAST((entity * 7 + k * 5) % 11 AS INT))").alias("at"),
+    )
+    return A.with_reviews(alerts, reviews)
+
+
+@query(
+    "alert_reviews",
+    E_DAY + _REVIEWED + """ SELECT d, entity, rule, points, coalesce(status, 'unreviewed') AS status, strftime(t_at, '%Y-%m-%d %H:%M:%S') AS reviewed_at FROM a LEFT JOIN w USING (d, entity, rule)""",
+)
+def alert_reviews(spark, sf):
+    """Alerts with the state of their latest review by event time."""
+    return _reviewed(spark, sf).withColumn("reviewed_at", F.date_format("reviewed_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "alert_review_summary",
+    E_DAY + _REVIEWED + """ SELECT rule, CASE rule WHEN 'any_failure' THEN 'any failure' ELSE 'high risk' END AS label, count(*) AS alerts, count(DISTINCT entity) AS entities, max(d) AS latest,
+ count(*) FILTER (coalesce(status, 'unreviewed') = 'unreviewed') AS unreviewed, count(*) FILTER (status = 'reviewed') AS reviewed FROM a LEFT JOIN w USING (d, entity, rule) GROUP BY rule""",
+)
+def alert_review_summary(spark, sf):
+    return A.review_summary(_reviewed(spark, sf), {"any_failure": "any failure", "high_risk": "high risk"})

@@ -9,7 +9,7 @@ from gearwatch.catalog.base import E_SQL, period_sql, query, rounded
 from gearwatch.catalog.history import lag_sql, over, _range
 from gearwatch.catalog.metrics import curve_sql
 from gearwatch.functions.expressions import calendar_columns
-from gearwatch.operators import rollups, splits
+from gearwatch.operators import rollups, screens, splits
 from gearwatch.plans import features as FS
 from gearwatch.plans import suites as S
 from gearwatch.sources.warehouse import EVENT_SPLIT, PART_SPLIT, events_panel, region_panel, supplier_panel
@@ -332,3 +332,74 @@ def learn_type_reference(spark, sf):
     suite = S.Suite(sets.columns, ("site",), {"rf": S.Model("rf", options=_SMALL_TREES)}, ("d", "entity"), (), _TYPE_SCOPES)
     planned = S.materialize(S.plan(frame, ["risk_12"], ["d", "entity"], _TYPE_SCOPES))
     return S.type_against_overall(S.fit_all(S.materialize(frame), planned, suite)[0].filter("split = 'test'"))
+
+
+# --- screens and reports from stored tables
+
+
+_FAMILY_BEST = _FAMILY_SUITE + """, fb AS (SELECT * FROM best WHERE target = 'affected' AND policy = 'f1' AND scope_kind = 'family')"""
+
+
+def _best_asset_sql() -> str:
+    return "(SELECT min(entity) FROM (SELECT entity FROM fb GROUP BY entity HAVING count(DISTINCT scope_name) = 2))"
+
+
+def _asset(predictions) -> int:
+    """The first asset with rows of every family."""
+    rows = predictions.filter("target = 'affected' AND policy = 'f1' AND scope_kind = 'family'")
+    return rows.groupBy("entity").agg(F.countDistinct("scope_name").alias("n")).filter("n = 2").agg(F.min("entity")).first()[0]
+
+
+@query(
+    "family_screen",
+    _FAMILY_BEST + f""", fa AS (SELECT * FROM fb WHERE entity = {_best_asset_sql()})""" + curve_sql("fa", "scope_name, model").replace(", st AS", ", s5 AS", 1) + """,
+ q5 AS (SELECT scope_name, model, CASE WHEN max(ptot) > 0 AND max(ptot) < max(tot) THEN sum(pos * (tp / alerts)) / max(ptot) END AS ap FROM s5 GROUP BY ALL),
+ c5 AS (SELECT scope_name, model, any_value(cutoff) AS cutoff, count(*) AS rows, count(*) FILTER (y = 1) AS support, count(*) FILTER (score >= cutoff AND y = 1) AS tp, count(*) FILTER (score >= cutoff AND y = 0) AS fp,
+   count(*) FILTER (score < cutoff AND y = 1) AS fn, count(*) FILTER (score < cutoff AND y = 0) AS tn FROM fa GROUP BY ALL)
+ SELECT scope_name AS family, model, CAST(cutoff AS DOUBLE) AS cutoff, rows, support, tp, fp, fn, tn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 9) AS precision,
+ round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 9) AS recall, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 9) AS f1, round(ap, 9) AS average_precision FROM c5 JOIN q5 USING (scope_name, model)""",
+)
+def family_screen(spark, sf):
+    """One asset's families with the figures of their models at the stored cutoffs."""
+    best = family_suite_of(spark, sf).predictions
+    out = screens.family_rows(best, _asset(best), ["X", "Y"])
+    return rounded(out.select("family", "model", "cutoff", "rows", "support", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "average_precision"), ["precision", "recall", "f1", "average_precision"])
+
+
+@query(
+    "family_detail",
+    _FAMILY_BEST + f""", fa AS (SELECT * FROM fb WHERE scope_name = 'X' AND entity = {_best_asset_sql()})""" + curve_sql("fa", "scope_name").replace(", st AS", ", s5 AS", 1) + """,
+ p5 AS (SELECT row_number() OVER (ORDER BY score) - 1 AS position, count(*) OVER () + 1 AS points, score, tp / alerts AS precision, CASE WHEN ptot = 0 THEN 0 ELSE tp / ptot END AS recall FROM s5),
+ k5 AS (SELECT * FROM p5 UNION ALL SELECT max(position) + 1, max(points), NULL, 1.0, 0.0 FROM p5),
+ c5 AS (SELECT any_value(cutoff) AS cutoff, count(*) FILTER (score >= cutoff AND y = 1) AS tp, count(*) FILTER (score >= cutoff AND y = 0) AS fp, count(*) FILTER (score < cutoff AND y = 1) AS fn, count(*) FILTER (score < cutoff AND y = 0) AS tn FROM fa)
+ SELECT 'X' AS family, points, position, CAST(score AS DOUBLE) AS score, round(precision, 9) AS precision, round(recall, 9) AS recall, tn, fp, fn, tp, CAST(cutoff AS DOUBLE) AS cutoff FROM k5, c5""",
+)
+def family_detail(spark, sf):
+    """PR curve of one asset and family with the confusion at the stored cutoff."""
+    best = family_suite_of(spark, sf).predictions
+    return rounded(screens.family_detail(best, _asset(best), "X"), ["precision", "recall"])
+
+
+_CROSS = [c for c in screens.COMPARISON_COLUMNS if c not in ("experiment", "feature_set")]
+
+
+@query(
+    "experiment_table",
+    "SELECT * FROM (" + _RISK_SUITE + f" SELECT 'risk' AS experiment, {', '.join(_CROSS)} FROM ({_SUITE_OUT}) WHERE selected_model AND split = 'test') UNION ALL SELECT * FROM ("
+    + _FAMILY_SUITE + f" SELECT 'family' AS experiment, {', '.join(_CROSS)} FROM ({_SUITE_OUT}) WHERE selected_model AND split = 'test')",
+)
+def experiment_table(spark, sf):
+    """Test rows of the selected models of two experiments under each other."""
+    out = screens.cross_table({"risk": risk_suite_of(spark, sf).metrics, "family": family_suite_of(spark, sf).metrics})
+    return rounded(out.select("experiment", *_CROSS), [c for c in _SUITE_ROUND if c in _CROSS])
+
+
+@query(
+    "model_rows",
+    _RISK_SUITE + f""" SELECT model, CASE model WHEN 'prior' THEN 1 WHEN 'rate_entity' THEN 2 ELSE 3 END AS place, selected_model AS focus, cutoff, precision, recall, f1, average_precision
+ FROM ({_SUITE_OUT}) WHERE target = 'risk_7' AND scope_kind = 'overall' AND policy = 'f1' AND split = 'test'""",
+)
+def model_rows(spark, sf):
+    """All models of one task in order, the selected one marked."""
+    out = screens.model_rows(risk_suite_of(spark, sf).metrics, "risk_7", "overall", "all", list(RATE_MODELS))
+    return rounded(out.select("model", F.col("place").cast("int").alias("place"), "focus", "cutoff", "precision", "recall", "f1", "average_precision"), ["precision", "recall", "f1", "average_precision"])

@@ -5,13 +5,13 @@ Everything is counted per distinct |z|: no case is ever paired with a control.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gearwatch.functions.expressions import candidate_status, ratio
 from gearwatch.operators.ordered import row_numbers
@@ -99,57 +99,53 @@ def summarize(effects: DataFrame, by: Sequence[str] = ("period",)) -> DataFrame:
     return out.withColumn("anomaly_rate_diff_pp", (F.col("isolated_anomaly_rate") - F.col("clean_anomaly_rate")) * 100)
 
 
-def _draws(samples: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def draw(seed: pd.Series, n1: pd.Series, k1: pd.Series, n2: pd.Series, k2: pd.Series) -> pd.Series:
-        """Resampled rate differences of one entity: a resampled 0/1 vector is a binomial count."""
-        out = []
-        for s, a, b, c, d in zip(seed, n1, k1, n2, k2):
-            rng = np.random.default_rng(int(s) & 0xFFFFFFFF)
-            isolated = rng.binomial(int(a), b / a, samples) / a
-            clean = rng.binomial(int(c), d / c, samples) / c
-            out.append((isolated - clean).tolist())
-        return pd.Series(out)
+BLOCK = 1024  # entities redrawn together
 
-    return draw
+
+def _block_means(key: Sequence[str], samples: int, seed: int):
+    """Per block of a group's entities, the summed rate differences of each redraw, as one array."""
+
+    def run(group, table):
+        rows = table.sort_by("slot").to_pylist()
+        total, block = rows[0]["slot_of"], rows[0]["block"]
+        named = "|".join(str(rows[0][k]) for k in key)
+        sizes = np.minimum(BLOCK, total - np.arange(0, total, BLOCK))
+        # How many of a redraw's picks fall on each block: from the group's seed, so all blocks agree.
+        shares = np.random.default_rng([seed, zlib.crc32(named.encode())]).multinomial(total, sizes / total, samples)[:, block]
+        rng = np.random.default_rng([seed, zlib.crc32(named.encode()), 1 + block])
+        times = rng.multinomial(shares, np.full(len(rows), 1 / len(rows)))  # redraws x entities
+        n1, k1, n2, k2 = (np.array([r[c] for r in rows], dtype=float) for c in ("isolated_rows", "isolated_hits", "clean_rows", "clean_hits"))
+        diff = np.empty((samples, len(rows)))
+        for i, r in enumerate(rows):  # each entity's days are resampled by its own seed: a resampled 0/1 vector is a binomial count
+            own = np.random.default_rng([seed, zlib.crc32(f"{named}|{r['_entity']}".encode())])
+            diff[:, i] = own.binomial(int(n1[i]), k1[i] / n1[i], samples) / n1[i] - own.binomial(int(n2[i]), k2[i] / n2[i], samples) / n2[i]
+        sums = (times * diff).sum(axis=1)
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in key}, "block": [block], "slot_of": [total], "sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+
+    return run
 
 
 def bootstrap(effects: DataFrame, samples: int = RESAMPLES, seed: int = 42, by: Sequence[str] = ("period",), entity: str = "entity") -> DataFrame:
     """Two-stage interval of the rate difference: days within an entity, then entities.
 
-    Seeds come from the row's own key, so the result does not depend on the
-    partitioning. Entities are redrawn by position: each draw's picks are counted
-    per entity and met by an equi-join, so no group of entities is collected.
+    Seeds come from the row's own key, so the result does not depend on the partitioning. A group's entities are cut
+    into blocks by position; a block makes all redraws at once as a matrix and yields one array of sums, so no row is made per
+    redraw, and a group of any size is worked on by many tasks.
     """
     key = [*by, "failed_part", "sensor", "z_threshold"]
-    ranked = row_numbers(
-        effects.select(*key, entity, "isolated_rows", "isolated_hits", "clean_rows", "clean_hits"), key, [(entity, True)], "slot"
-    )
-    pick = F.pmod(F.xxhash64(*key, "own_slot", "draw", F.lit(seed + 1)), F.col("slot_of")) + 1
-    ranked = materialize(ranked)
-    own = ranked.select(
-        *key, "slot",
-        F.posexplode(
-            _draws(samples)(
-                F.xxhash64(*key, entity, F.lit(seed)), "isolated_rows", "isolated_hits", "clean_rows", "clean_hits"
-            )
-        ).alias("draw", "diff"),
-    )
-    picks = (
-        ranked.select(*key, F.col("slot").alias("own_slot"), "slot_of", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("draw"))
-        .select(*key, "slot_of", "draw", pick.alias("slot"))
-        .groupBy(*key, "slot_of", "draw", "slot")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    means = (
-        picks.join(own, [*key, "slot", "draw"])
-        .groupBy(*key, "draw")
-        .agg((F.sum(F.col("diff") * F.col("times")) / F.max("slot_of") * 100).alias("pp"))
-    )
-    # One value per draw: the percentile holds at most ``samples`` entries.
-    return means.groupBy(*key).agg(
-        F.percentile("pp", 0.025).alias("ci_low_pp"), F.percentile("pp", 0.975).alias("ci_high_pp")
-    )
+    narrow = effects.select(*key, F.col(entity).cast("string").alias("_entity"), "isolated_rows", "isolated_hits", "clean_rows", "clean_hits")
+    ranked = row_numbers(narrow, key, [("_entity", True)], "slot").withColumn("block", F.floor((F.col("slot") - 1) / BLOCK))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.select(*key).schema.fields)
+    blocks = ranked.groupBy(*key, "block").applyInArrow(_block_means(key, samples, seed), f"{kinds}, block long, slot_of long, sums array<double>")
+
+    def interval(group, table):
+        # An array per block: a few numbers for every thousand entities.
+        sums = np.array(table.sort_by("block").column("sums").to_pylist()).sum(axis=0)
+        pp = sums / table.column("slot_of")[0].as_py() * 100
+        low, high = np.percentile(pp, [2.5, 97.5])
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in key}, "ci_low_pp": [float(low)], "ci_high_pp": [float(high)]})
+
+    return blocks.groupBy(*key).applyInArrow(interval, f"{kinds}, ci_low_pp double, ci_high_pp double")
 
 
 def with_status(summary: DataFrame, intervals: DataFrame, by: Sequence[str] = ("period",)) -> DataFrame:

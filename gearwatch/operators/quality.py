@@ -138,6 +138,18 @@ def listed_values(df: DataFrame, column: str, expected: Sequence[str]) -> DataFr
     )
 
 
+def daily_listed_values(df: DataFrame, column: str, expected: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Per group (a day, say): values of a fixed list that are missing, and values beyond it, one row each.
+
+    Both sides of the comparison are distinct (group, value) pairs, met by anti-joins; no group's values are gathered.
+    """
+    seen = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).cast("string").alias("value")).distinct()
+    want = df.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(x) for x in expected])).alias("value"))
+    missing = want.join(seen, [*keys, "value"], "left_anti").withColumn("problem", F.lit("missing"))
+    extra = seen.filter(~F.col("value").isin(list(expected))).withColumn("problem", F.lit("extra"))
+    return missing.unionByName(extra)
+
+
 def incomplete_days(df: DataFrame, keys: Sequence[str], column: str, expected: int) -> DataFrame:
     """Groups whose number of distinct values is not the expected one."""
     return df.groupBy(*keys).agg(F.countDistinct(column).alias("found")).filter(F.col("found") != expected)

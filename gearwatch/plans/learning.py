@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StandardScalerModel, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from gearwatch.functions.expressions import SEVERITY_LEVELS, ratio
 from gearwatch.operators import metrics, selection, thresholds
-from gearwatch.operators.ordered import row_numbers
-from gearwatch.operators.quality import check_features, require_columns
+from gearwatch.operators.ordered import quantiles_of_counts, row_numbers
+from gearwatch.operators.quality import check_features, fingerprint, require_columns
 from gearwatch.session import materialize
+from gearwatch.sources.writers import read_manifest, write_manifest
 
 SEED = 42
 
@@ -61,12 +62,28 @@ def balanced_weight(train: DataFrame, target: str) -> Column:
     return ratio(total, F.size(table) * size)
 
 
+def exact_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Median of the known values of each column, all columns in one ordered pass; 0 for a column without any.
+
+    Values are counted first, then ranged over the tasks by (column, value), so no task sees a whole column.
+    """
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    known = train.select(F.inline(cells)).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = known.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = {r["column"]: r["median"] for r in quantiles_of_counts(counts, ["column"], "value", {"median": 0.5}).collect()}  # a row per column
+    return {c: float(found.get(c, 0.0)) for c in columns}
+
+
 def preprocessing(task: Task) -> list:
     """Median fill with missing indicators, scaling, one-hot of known categories; fitted on train only."""
     stages, inputs = [], []
     filled = [f"{c}__fill" for c in task.numeric]
     if task.numeric:
-        stages.append(Imputer(strategy="median", inputCols=list(task.numeric), outputCols=filled, relativeError=0.001))
+        medians = exact_medians(task.part("train"), task.numeric)
+        fills = ", ".join(f"coalesce(nanvl(`{c}`, NULL), CAST('{medians[c]!r}' AS DOUBLE)) AS `{f}`" for c, f in zip(task.numeric, filled))
+        stages.append(SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"))
         stages.append(VectorAssembler(inputCols=[*filled, *[f"{c}__missing" for c in task.numeric]], outputCol="numeric__vec"))
         stages.append(StandardScaler(inputCol="numeric__vec", outputCol="numeric__scaled", withMean=True, withStd=True))
         inputs.append("numeric__scaled")
@@ -253,6 +270,19 @@ def permutation_importance(model: PipelineModel, task: Task, part: str, ids: Seq
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance"), F.coalesce(F.stddev_pop("drop"), F.lit(0.0)).alias("importance_std"))
 
 
+def preprocessing_table(model: PipelineModel, task: Task) -> DataFrame:
+    """What the preprocessing learnt: per numeric column (and missing indicator) fill, mean and deviation; per category its levels."""
+    medians = exact_medians(task.part("train"), task.numeric)
+    rows, names = [], [*task.numeric, *[f"{c}__missing" for c in task.numeric]]
+    for stage in model.stages:
+        if isinstance(stage, StandardScalerModel):
+            rows += [(n, medians.get(n), float(m), float(s), None, None) for n, m, s in zip(names, stage.mean.toArray(), stage.std.toArray())]
+        elif isinstance(stage, StringIndexerModel):
+            column = stage.getInputCol().removesuffix("__text")
+            rows += [(column, None, None, None, level, i) for i, level in enumerate(stage.labels)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "column string, fill double, mean double, deviation double, level string, place int")
+
+
 def save_and_verify(model: PipelineModel, path: str, sample: DataFrame, ids: Sequence[str]) -> PipelineModel:
     """Save, reload and compare the predictions of both models row by row; ``ids`` identify a row of ``sample``."""
     model.write().overwrite().save(path)
@@ -265,8 +295,89 @@ def save_and_verify(model: PipelineModel, path: str, sample: DataFrame, ids: Seq
     return again
 
 
-def frozen_test(task: Task, model: PipelineModel, manifest: Mapping[str, object], fingerprint: Mapping[str, object], keep: Sequence[str]) -> DataFrame:
-    """Score the test part once, only if the data and settings are those of validation."""
-    if dict(manifest) != dict(fingerprint):
-        raise ValueError("data or settings changed since validation")
-    return predict(model, task.part("test"), task, keep)
+# --- experiments that are validated, frozen and tested once
+
+
+def _settings(task: Task, feature_sets: Mapping[str, Sequence[str]], k: int) -> dict:
+    return {"features": {n: list(c) for n, c in feature_sets.items()}, "categorical": list(task.categorical), "target": task.target, "k": k}
+
+
+def _fingerprint(frame: DataFrame) -> dict:
+    """Rows and an order-free fingerprint of a prepared frame, as text."""
+    return {k: str(v) for k, v in fingerprint(frame).first().asDict().items()}
+
+
+def validate_once(task: Task, feature_sets: Mapping[str, Sequence[str]], ids: Sequence[str], folder: str, k: int) -> DataFrame:
+    """Fit each feature set on train, write the models and a manifest, and return the validation scores.
+
+    The manifest holds k, the feature lists and a fingerprint of the frame; it is written before anything is scored.
+    A folder is used once. Nothing of the test part is read but its rows' fingerprint.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    spark = task.frame.sparkSession
+    if _written(spark, f"{folder}/manifest"):
+        raise ValueError(f"{folder} holds an experiment already")
+    task = written(task)
+    if task.part("train").select(task.target).distinct().count() != 2:
+        raise ValueError("the train part needs both classes")
+    write_manifest(spark, f"{folder}/manifest", {**_settings(task, feature_sets, k), "data": _fingerprint(task.frame)})
+    rows = task.part("train").count()
+    out = None
+    for name, columns in feature_sets.items():
+        own = replace(task, numeric=tuple(columns))
+        model = fit(own, classifier("lr", rows))
+        path = f"{folder}/models/{name}"
+        model = save_and_verify(model, path, ready(own.part("valid"), own), ids)
+        scored = predict(model, own.part("valid"), own, ids).withColumn("experiment", F.lit(name))
+        out = scored if out is None else out.unionByName(scored)
+    write_manifest(spark, f"{folder}/model_prints", {n: _model_print(spark, f"{folder}/models/{n}") for n in feature_sets})
+    out.write.parquet(f"{folder}/validation")
+    return spark.read.parquet(f"{folder}/validation")
+
+
+def _model_print(spark: SparkSession, path: str) -> str:
+    """An order-free fingerprint of a stored model's files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    row = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("content"))).first()
+    return f"{row[0]}:{row[1]}"
+
+
+def test_once(task: Task, feature_sets: Mapping[str, Sequence[str]], ids: Sequence[str], folder: str, k: int | None = None) -> DataFrame:
+    """Score the test part with the stored models, once, and only if data, k and feature lists are those of validation."""
+    spark = task.frame.sparkSession
+    if not _written(spark, f"{folder}/validation"):
+        raise ValueError("nothing has been validated here")
+    if _written(spark, f"{folder}/test"):
+        raise ValueError("this experiment has been tested already")
+    manifest = read_manifest(spark, f"{folder}/manifest")
+    if k is not None and k != manifest["k"]:
+        raise ValueError(f"k was {manifest['k']} in validation")
+    if _settings(task, feature_sets, manifest["k"]) != {n: manifest[n] for n in ("features", "categorical", "target", "k")}:
+        raise ValueError("feature lists or target changed since validation")
+    task = written(task)
+    if _fingerprint(task.frame) != manifest["data"]:
+        raise ValueError("the data changed since validation")
+    if {n: _model_print(spark, f"{folder}/models/{n}") for n in feature_sets} != read_manifest(spark, f"{folder}/model_prints"):
+        raise ValueError("a stored model changed since validation")
+    out = None
+    for name, columns in feature_sets.items():
+        own = replace(task, numeric=tuple(columns))
+        model = PipelineModel.load(f"{folder}/models/{name}")
+        scored = predict(model, own.part("test"), own, ids).withColumn("experiment", F.lit(name))
+        out = scored if out is None else out.unionByName(scored)
+    out.write.parquet(f"{folder}/test")
+    return spark.read.parquet(f"{folder}/test")
+
+
+test_once.__test__ = False  # not a test of pytest's
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path) if path.endswith("manifest") else spark.read.parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return False
+    return True

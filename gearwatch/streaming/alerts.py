@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from gearwatch.functions.expressions import grade_weight
 from gearwatch.operators.joins import only_new
 from gearwatch.panel import PANEL, PanelSpec
+from gearwatch.session import materialize
 
 # Alert rules and their lowest score.
 RULES = {"any_failure": 1, "high_risk": 12}
@@ -31,22 +33,66 @@ def alerts_of(daily: DataFrame, rules: Mapping[str, float] = RULES, spec: PanelS
     return daily.select(spec.date, spec.entity, F.explode(hits).alias("rule"), "points")
 
 
-def store_new(rows: DataFrame, path: str, key: list[str]) -> tuple[int, int]:
-    """Insert-if-absent into a parquet table; returns (observed, created). Of rows of one key the largest values count."""
-    spark = rows.sparkSession
-    unique = rows.groupBy(*key).agg(*[F.max(c).alias(c) for c in rows.columns if c not in key]).select(*rows.columns)
+def _dates(rows: DataFrame, date: str) -> list:
+    """The days of a batch: as many as it covers."""
+    return [r[0] for r in rows.select(date).distinct().collect()]
+
+
+def stored_on(spark: SparkSession, path: str, schema: StructType, date: str, days: list) -> DataFrame:
+    """Rows of a store on the given days; only those days' folders are read. Empty if there is no store yet."""
     try:
-        stored = spark.read.schema(rows.schema).parquet(path)
-        fresh = only_new(unique, stored, key)
-    except Exception as error:  # the table does not exist yet
+        return spark.read.schema(schema).parquet(path).filter(F.col(date).isin(days))
+    except Exception as error:  # the store does not exist yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        fresh = unique
-    from gearwatch.session import materialize
+        return spark.createDataFrame([], schema)
+
+
+def store_new(rows: DataFrame, path: str, key: list[str], date: str = "d") -> tuple[int, int]:
+    """Insert-if-absent into a store with a folder per day; returns (observed, created).
+
+    Of rows of one key the largest, column by column in order, counts as a whole. Only the folders of the batch's days
+    are compared, so a batch costs its own days however long the store has been kept.
+    """
+    spark = rows.sparkSession
+    others = [c for c in rows.columns if c not in key]
+    unique = rows.select(*key).distinct() if not others else rows.groupBy(*key).agg(F.max(F.struct(*others)).alias("_x")).select(*key, "_x.*")
+    unique = materialize(unique.select(*rows.columns))
+    fresh = materialize(only_new(unique, stored_on(spark, path, rows.schema, date, _dates(unique, date)), key))
+    seen = unique.count(), fresh.count()
+    if seen[1]:
+        fresh.repartition(date).write.mode("append").partitionBy(date).parquet(path)
+    return seen
+
 
-    fresh = materialize(fresh)
-    fresh.write.mode("append").parquet(path)
-    return unique.count(), fresh.count()
+# Review states of an alert; without a review it is the first.
+REVIEW_STATES = ("unreviewed", "reviewed")
+
+
+def store_reviews(reviews: DataFrame, path: str) -> int:
+    """Append review events (d, entity, rule, status, at); the same event may come again."""
+    bad = reviews.filter(~F.col("status").isin(*REVIEW_STATES) | F.col("status").isNull() | F.col("at").isNull())
+    if not bad.isEmpty():
+        raise ValueError(f"a review needs a time and one of {REVIEW_STATES}")
+    events = materialize(reviews.select(*KEY, "status", "at").distinct())
+    events.repartition("d").write.mode("append").partitionBy("d").parquet(path)
+    return events.count()
+
+
+def with_reviews(alerts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Alerts with the status of their latest review by event time (of one time the later state), however late it arrived."""
+    order = F.array_position(F.array(*[F.lit(s) for s in REVIEW_STATES]), F.col("status"))
+    last = reviews.groupBy(*KEY).agg(F.max(F.struct(F.col("at"), order.alias("_o"), F.col("status"))).alias("_x")).select(*KEY, F.col("_x.status").alias("status"), F.col("_x.at").alias("reviewed_at"))
+    return alerts.join(last, KEY, "left").withColumn("status", F.coalesce("status", F.lit(REVIEW_STATES[0])))
+
+
+def review_summary(alerts: DataFrame, labels: Mapping[str, str]) -> DataFrame:
+    """Alerts per rule with the rule's label and how many are in each review state."""
+    label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col("rule")), F.col("rule"))
+    return alerts.groupBy("rule").agg(
+        F.first(label).alias("label"), F.count(F.lit(1)).alias("alerts"), F.countDistinct("entity").alias("entities"), F.max("d").alias("latest"),
+        *[F.count(F.when(F.col("status") == s, F.lit(1))).alias(s) for s in REVIEW_STATES],
+    )
 
 
 def alert_summary(alerts: DataFrame, labels: Mapping[str, str]) -> DataFrame:

@@ -2,6 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from gearwatch.operators.quality import PanelError
 from gearwatch.plans import forecast
 from gearwatch.plans import learning as L
@@ -51,8 +53,48 @@ def test_leaks_are_refused(spark, task):
         L.Task(task.frame, ("x", "y"), "y")
     with pytest.raises(PanelError):
         L.Task(task.frame, ("x", "absent"), "y")
-    with pytest.raises(ValueError):
-        L.frozen_test(task, None, {"k": 1}, {"k": 2}, ["id"])
+
+
+def test_an_experiment_is_validated_and_tested_once(spark, task, tmp_path):
+    sets = {"A": ("x",), "C": ("x", "noise")}
+    folder = str(tmp_path / "run")
+    with pytest.raises(ValueError, match="validated"):
+        L.test_once(task, sets, ["id"], folder)
+    scores = L.validate_once(task, sets, ["id"], folder, 5)
+    assert {r.experiment for r in scores.select("experiment").distinct().collect()} == {"A", "C"}
+    assert scores.count() == 2 * task.part("valid").count()
+    with pytest.raises(ValueError, match="already"):
+        L.validate_once(task, sets, ["id"], folder, 5)
+    with pytest.raises(ValueError, match="k was 5"):
+        L.test_once(task, sets, ["id"], folder, 6)
+    with pytest.raises(ValueError, match="feature lists"):
+        L.test_once(task, {"A": ("x",), "C": ("noise", "x")}, ["id"], folder)
+    changed = L.replace(task, frame=task.frame.withColumn("x", F.when(F.col("id") == 1, F.col("x") + 1).otherwise(F.col("x"))))
+    with pytest.raises(ValueError, match="data changed"):
+        L.test_once(changed, sets, ["id"], folder)
+    first = L.test_once(task, sets, ["id"], folder, 5)
+    assert first.count() == 2 * task.part("test").count()
+    with pytest.raises(ValueError, match="tested already"):
+        L.test_once(task, sets, ["id"], folder, 5)
+    with pytest.raises(ValueError, match="at least 1"):
+        L.validate_once(task, sets, ["id"], str(tmp_path / "other"), 0)
+
+
+def test_a_changed_model_is_refused(spark, task, tmp_path):
+    folder = str(tmp_path / "run")
+    L.validate_once(task, {"A": ("x",)}, ["id"], folder, 1)
+    L.fit(task, L.classifier("lr", 1)).write().overwrite().save(f"{folder}/models/A")
+    with pytest.raises(ValueError, match="model changed"):
+        L.test_once(task, {"A": ("x",)}, ["id"], folder)
+
+
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": rng.normal(size=2001), "b": rng.integers(0, 3, 2001).astype(float), "c": np.nan, "e": rng.normal(size=2001)})
+    pdf.loc[::3, "a"] = np.nan
+    got = L.exact_medians(spark.createDataFrame(pdf).repartition(7), ["a", "b", "c", "e"])
+    assert got == {"a": pdf.a.median(), "b": pdf.b.median(), "c": 0.0, "e": pdf.e.median()}
+    assert L.exact_medians(spark.createDataFrame(pdf), []) == {}
 
 
 def test_backtest_uses_only_the_past(spark):
