@@ -31,7 +31,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, Str
 from gearwatch.llm.common import tidy
 from gearwatch.llm.words import mix, slices
 
-MEMO_BYTES = 24 << 20  # of strings and results in each of a task's two memos, about; only saves repeated work
+CHUNK_MEMO_BYTES, PIECE_MEMO_BYTES = 96 << 20, 64 << 20  # of strings and results that a task remembers, about; only saves repeated work
 _MEMO_ENTRY = 200  # bytes of an entry besides its string and result
 _MEMO_LONGEST = 256  # characters of a string that is remembered
 KEYS_PER_BUCKET = 4
@@ -96,11 +96,11 @@ class PerfectHash:
 
 
 class Memo(dict):
-    """Remembered results of a function of a string; the lesser used half goes when ``MEMO_BYTES`` are reached."""
+    """Remembered results of a function of a string; the lesser used half goes when ``limit`` bytes are reached."""
 
-    def __init__(self, fn):
+    def __init__(self, fn, limit: int):
         super().__init__()
-        self.fn, self.old, self.bytes = fn, {}, 0
+        self.fn, self.limit, self.old, self.bytes = fn, limit, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
@@ -108,7 +108,7 @@ class Memo(dict):
             value = self.fn(key)
         if len(key) <= _MEMO_LONGEST:
             self.bytes += _MEMO_ENTRY + len(key) + len(value)
-            if self.bytes > MEMO_BYTES // 2:
+            if self.bytes > self.limit // 2:
                 self.old = dict(self)
                 self.forget_young()
             self[key] = value
@@ -143,8 +143,8 @@ class Tokenizer:
     def _ready(self) -> None:
         self.find = regex.compile(self.pattern).findall
         self.odd_space = regex.compile(r" (?:\s|\Z)").search
-        self.pieces = Memo(self.piece_ids)
-        self.chunks = Memo(lambda chunk: self.chunk_ids(" " + chunk))
+        self.pieces = Memo(self.piece_ids, PIECE_MEMO_BYTES)
+        self.chunks = Memo(lambda chunk: self.chunk_ids(" " + chunk), CHUNK_MEMO_BYTES)
         # Only of the pattern given with the vocabularies is it known that it can be cut at spaces.
         self.cuts = self.pattern == public_tokenizers.PATTERN
 

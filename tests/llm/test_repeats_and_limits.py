@@ -221,9 +221,8 @@ def test_encoding_replaces_columns_of_its_names(spark):
     assert row["c0"] == "c" and row["round_trip"] and row["n_tokens"] == len(row["token_ids"]) // 4
 
 
-def test_memory_of_the_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_BYTES", 100_000)
-    memo = bpe.Memo(str.encode)
+def test_memory_of_the_memo_is_bounded():
+    memo = bpe.Memo(str.encode, 100_000)
     for i in range(5000):
         assert memo[f"k{i}"] == f"k{i}".encode()
     assert len(memo) + len(memo.old) < 600 and memo["x" * 10_000] and "x" * 10_000 not in memo
