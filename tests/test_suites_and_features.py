@@ -193,8 +193,10 @@ def test_bootstrap_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK", 32)
     cut = C.bootstrap(effects.repartition(9), samples=400).first()
     rates = pdf.isolated_hits / 20 - pdf.clean_hits / 200
-    # two-stage: days within an entity, then entities
-    spread = np.sqrt((rates.var(ddof=0) + (0.3 * 0.7 / 20 + 0.1 * 0.9 / 200)) / n) * 100
+    # Two stages: an entity's days, then entities. An entity that is picked twice brings the same resampled days, so theirs count twice.
+    p, q = pdf.isolated_hits / 20, pdf.clean_hits / 200
+    within = (p * (1 - p) / 20 + q * (1 - q) / 200).mean()
+    spread = np.sqrt((rates.var(ddof=0) + 2 * within) / n) * 100
     for got in (whole, cut):
         assert got.ci_low_pp == pytest.approx(100 * rates.mean() - 1.96 * spread, abs=0.5 * spread)
         assert got.ci_high_pp == pytest.approx(100 * rates.mean() + 1.96 * spread, abs=0.5 * spread)
