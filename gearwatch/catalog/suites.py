@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gearwatch.catalog.anomaly import Z_SQL, M
-from gearwatch.catalog.base import E_SQL, period_sql, query, rounded
+from gearwatch.catalog.base import E_SQL, R_SQL, period_sql, query, rounded
 from gearwatch.catalog.history import lag_sql, over, _range
+from gearwatch.catalog.labels import _SAME_DAY, _SPLIT, _SPLIT_END, _SPLIT_NAME, WINDOW, _rules, ahead, binary_sql, same_day_labels
 from gearwatch.catalog.metrics import curve_sql
 from gearwatch.functions.expressions import calendar_columns
-from gearwatch.operators import rollups, screens, splits
+from gearwatch.operators import metrics, rollups, screens, splits
+from gearwatch.operators.joins import scope_rows
+from gearwatch.operators.labels import CONSEC_RULES, START_RULES
 from gearwatch.plans import features as FS
+from gearwatch.plans import learning as L
 from gearwatch.plans import suites as S
+from gearwatch.plans import tasks as K
 from gearwatch.sources.warehouse import EVENT_SPLIT, PART_SPLIT, events_panel, region_panel, supplier_panel
 
 V, T = EVENT_SPLIT
@@ -86,7 +91,7 @@ def plan_sql(rows: str, targets, scopes: dict[str, str | None], least: int, reus
         + ", ".join(f"CAST({u} AS INTEGER) AS y{j}" for j, u in enumerate(targets)) + f" FROM {rows}"
         for i, t in enumerate(targets) for k, c in scopes.items()
     )
-    counts = ", ".join(f"count(*) FILTER (split = '{p}') AS {p}_rows, count(*) FILTER (split = '{p}' AND y = 1) AS {p}_positives, count(DISTINCT CASE WHEN split = '{p}' THEN y END) AS {p}_classes" for p in S.PARTS)
+    counts = ", ".join(f"count(y) FILTER (split = '{p}') AS {p}_rows, count(*) FILTER (split = '{p}' AND y = 1) AS {p}_positives, count(DISTINCT CASE WHEN split = '{p}' THEN y END) AS {p}_classes" for p in S.PARTS)
     issues = []
     for p in S.PARTS:
         issue = f"CASE WHEN {p}_rows = 0 THEN 'empty {p} split'"
@@ -97,7 +102,7 @@ def plan_sql(rows: str, targets, scopes: dict[str, str | None], least: int, reus
         issues.append(issue + " END")
     same = "CASE " + " ".join(f"WHEN i > {j} AND same{j} THEN '{t}'" for j, t in enumerate(targets)) + " END" if reuse else "CAST(NULL AS VARCHAR)"
     return f""", pc AS ({cells}),
- pa AS (SELECT target, i, scope_kind, scope_name, {counts}, {', '.join(f'bool_and(y IS NOT DISTINCT FROM y{j}) AS same{j}' for j in range(len(targets)))} FROM pc WHERE scope_name IS NOT NULL GROUP BY ALL),
+ pa AS (SELECT target, i, scope_kind, scope_name, {counts}, {', '.join(f'bool_and(y IS NOT DISTINCT FROM y{j}) AS same{j}' for j in range(len(targets)))} FROM pc WHERE scope_name IS NOT NULL GROUP BY ALL HAVING count(y) > 0),
  pb AS (SELECT *, concat_ws('; ', {', '.join(issues)}) AS skip, {same} AS first FROM pa),
  plan AS (SELECT target, scope_kind, scope_name, CASE WHEN skip <> '' THEN 'skipped' WHEN first IS NOT NULL THEN 'identical_target' ELSE 'ok' END AS status,
    CASE WHEN skip <> '' THEN skip WHEN first IS NOT NULL THEN 'same labels as ' || first ELSE '' END AS reason, CASE WHEN skip = '' THEN first END AS same_as,
@@ -150,7 +155,7 @@ def suite_sql(rows: str, targets, scopes, ids: str, rates: dict[str, str], least
     full = curve_sql("pv", key).replace(", st AS", "st AS", 1)
     both = curve_sql("pred", key + ", split").replace(", st AS", "sq AS", 1)
     order = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(rates))
-    return f""", sa AS ({cells}), sr AS (SELECT sa.* FROM sa JOIN plan USING ({by}) WHERE status = 'ok'),
+    return f""", sa AS ({cells}), sr AS (SELECT sa.* FROM sa JOIN plan USING ({by}) WHERE status = 'ok' AND y IS NOT NULL),
  sw AS (SELECT {by}, avg(y) AS whole FROM sr WHERE split = 'train' GROUP BY {by}),
  pred AS ({' UNION ALL '.join(scored)}), pv AS (SELECT * FROM pred WHERE split = 'valid'), {full},
  cand AS (SELECT {key}, least(greatest(score, 0), 1) AS cutoff, alerts, n, tot, ptot, tp / alerts AS precision, CASE WHEN ptot = 0 THEN 0 ELSE tp / ptot END AS recall, 2 * tp / (alerts + ptot) AS f1 FROM st),
@@ -287,6 +292,73 @@ def type_reference(spark, sf):
     return rounded(S.type_against_overall(_type_predictions(spark, sf)), ["positive_rate", "ap_by_type", "ap_overall"])
 
 
+# --- all same-day label criteria, and the frames of the future experiments
+
+
+def _label_frame(spark, sf):
+    out, names = same_day_labels(rollups.entity_daily(region_panel(spark, sf)))
+    return splits.date_share_split(out, "d").withColumns(calendar_columns("d")), names
+
+
+
+def label_sql(names) -> str:
+    return (
+        R_SQL + _SPLIT.format(t="daily") + f""", sd AS (SELECT daily.*, {', '.join(_SAME_DAY)}, {_rules(START_RULES)}, {_rules(CONSEC_RULES)} FROM daily {WINDOW}),
+ lr AS (SELECT *, isodow(d) - 1 AS day_of_week, {_SPLIT_NAME} AS split FROM sd, lim)""" + plan_sql("lr", names, _TYPE_SCOPES, 0)
+    )
+
+
+ALL_LABELS = [c.rsplit(" AS ", 1)[1].strip('"') for c in _SAME_DAY] + [*START_RULES, *CONSEC_RULES]
+
+
+@query("label_plan", label_sql(ALL_LABELS) + " SELECT * FROM plan")
+def label_plan(spark, sf):
+    """All same-day label criteria by type: which can be fitted, which repeat another one, which lack a class."""
+    frame, names = _label_frame(spark, sf)
+    return S.plan(frame, ALL_LABELS, ["d", "entity"], _TYPE_SCOPES)
+
+
+@query("label_suite", label_sql(ALL_LABELS) + suite_sql("lr", ALL_LABELS, _TYPE_SCOPES, "d, entity", _RATES, 0) + _SUITE_OUT)
+def label_suite(spark, sf):
+    """Every label criterion by type: models by validation AP and cutoffs by policy."""
+    frame, _ = _label_frame(spark, sf)
+    suite = S.Suite({}, (), RATE_MODELS, ("d", "entity"), ("day_of_week",), _TYPE_SCOPES)
+    return rounded(S.run(frame, ALL_LABELS, suite).metrics.select(*SUITE_COLUMNS), _SUITE_ROUND)
+
+
+def _future_sql() -> str:
+    parts = []
+    for name, (days, kind, on_family) in K.EXPERIMENTS.items():
+        source, by, flag = ("fam", "entity, family", "family_flag") if on_family else ("panel", "entity, member", "flag")
+        ahead_ = ahead(by, days)
+        target = {
+            "binary": binary_sql(flag, by, days),
+            "count": f"CASE WHEN count({flag}) OVER {ahead_} = {days} THEN CAST(sum({flag}) OVER {ahead_} AS INTEGER) END",
+            "first": f"CASE WHEN count({flag}) OVER {ahead_} = {days} THEN coalesce(date_diff('day', d, min(CASE WHEN {flag} = 1 THEN d END) OVER {ahead_}), 0) END",
+        }[kind]
+        value = "CASE WHEN target = 0 THEN 0 WHEN target = 1 THEN 3 WHEN target <= 3 THEN 2 ELSE 1 END" if kind == "first" else "target"
+        parts.append(
+            f"SELECT '{name}' AS experiment, split, count(*) AS rows, CAST(sum({value}) AS BIGINT) AS target_sum, count(DISTINCT entity) AS entities, min(d) AS first_day, max(d) AS last_day FROM ("
+            f"SELECT d, entity, {target} AS target, {flag} AS f, count({flag}) OVER {ahead_} = {days} AS fc, CAST(d + INTERVAL {days} DAY AS DATE) AS le, count({flag}) OVER {_range(-30, -1).format(by=by)} >= 30 AS pc, "
+            f"{_SPLIT_NAME} AS split, {_SPLIT_END} AS se FROM {source}, lim) WHERE f = 0 AND pc AND fc AND le <= se GROUP BY split"
+        )
+    return R_SQL + _SPLIT.format(t="panel") + " " + " UNION ALL ".join(parts)
+
+
+@query("future_frames", _future_sql())
+def future_frames(spark, sf):
+    """Rows, targets and dates of the prepared frames of all six future experiments."""
+    panel = S.materialize(region_panel(spark, sf))
+    out = None
+    for name in K.EXPERIMENTS:
+        task = K.part_experiment(panel, name)
+        one = task.frame.groupBy("split").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("target").cast("bigint").alias("target_sum"), F.countDistinct("entity").alias("entities"), F.min("d").alias("first_day"), F.max("d").alias("last_day")
+        ).withColumn("experiment", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- fitted suites (no SQL)
 
 _SMALL_TREES = {"maxDepth": 10}
@@ -403,3 +475,57 @@ def model_rows(spark, sf):
     """All models of one task in order, the selected one marked."""
     out = screens.model_rows(risk_suite_of(spark, sf).metrics, "risk_7", "overall", "all", list(RATE_MODELS))
     return rounded(out.select("model", F.col("place").cast("int").alias("place"), "focus", "cutoff", "precision", "recall", "f1", "average_precision"), ["precision", "recall", "f1", "average_precision"])
+
+
+@query("learn_label_suite")
+def learn_label_suite(spark, sf):
+    """Every label criterion: measures alone against measures with history, each plain and balanced, and the constant."""
+    panel = S.materialize(region_panel(spark, sf))
+    base = K.label_task(panel, "CO", "failed_parts_ge_3").frame
+    labels, _ = same_day_labels(rollups.entity_daily(panel))
+    frame = base.drop(*[c for c in ALL_LABELS if c in base.columns]).join(labels.select("d", "entity", *ALL_LABELS), ["d", "entity"])
+    measures = ("m1", "m2", "m3", "m4")
+    more = [f"{m}_{x}" for m in measures for x in ("diff1", "mean7", "std7", "vs_mean7", "anomaly7", "vs_mean30")]
+    models = {"prior": S.Model("prior"), "lr": S.Model("lr", options={"maxIter": 100}), "lr_balanced": S.Model("lr", True, {"maxIter": 100})}
+    suite = S.Suite({"measures": measures, "expanded": (*measures, *more)}, ("etype", "site"), models, ("d", "entity"), (), {"overall": None})
+    return S.run(frame, ALL_LABELS, suite).metrics
+
+
+@query("learn_future_suite")
+def learn_future_suite(spark, sf):
+    """The binary future experiments of parts and families over all rows and by type: constant, rates of the unit, logistic regression."""
+    panel = S.materialize(region_panel(spark, sf))
+    out = None
+    for name, (_, kind, on_family) in K.EXPERIMENTS.items():
+        if kind != "binary":
+            continue
+        task = K.part_experiment(panel, name)
+        unit = "family" if on_family else "member"
+        models = {"prior": S.Model("prior"), "rate_unit": S.Model("rate", keys=("entity", unit)), "lr": S.Model("lr", options={"maxIter": 100})}
+        suite = S.Suite({"A": task.numeric}, task.categorical, models, ("d", "entity", unit), (), _TYPE_SCOPES)
+        one = S.run(task.frame, ["target"], suite).metrics.withColumn("target", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("learn_count_scopes")
+def learn_count_scopes(spark, sf):
+    """Failure days of the next week by a constant, ridge and boosted trees; errors over all rows, by type and by asset."""
+    task = L.written(K.part_experiment(region_panel(spark, sf), "count_7d"))
+    rows, test, keep = task.part("train").count(), task.part("test"), ["entity", "etype"]
+    mean = task.part("train").agg(F.avg(F.col("target").cast("double"))).scalar()
+    out = test.select(*keep, F.col("target").alias("y"), mean.alias("score")).withColumn("model", F.lit("mean"))
+    for name, options in (("ridge", {}), ("gbt", {"maxIter": 20})):
+        scored = L.predict(L.fit(task, L.regressor(name, rows, **options)), test, task, keep).withColumn("model", F.lit(name))
+        out = out.unionByName(scored)
+    return metrics.regression_errors(scope_rows(out, S.SCOPES), ["model", "scope_kind", "scope_name"], "y", "score", True)
+
+
+@query("learn_class_scopes")
+def learn_class_scopes(spark, sf):
+    """Class of the first failure day: figures over all rows, by type and by asset."""
+    task = L.written(K.part_experiment(region_panel(spark, sf), "first_day_class"))
+    model = L.fit(task, L.classifier("lr", task.part("train").count(), True, maxIter=100), weighted=True)
+    classes = ("0", "1", "2", "3")
+    out = L.ordered_probabilities(model, task.part("test"), task, ["entity", "etype"], classes).withColumn("actual", F.col("y").cast("string"))
+    return metrics.multiclass_summary(scope_rows(out, S.SCOPES), ["scope_kind", "scope_name"], "actual", "predicted_level", classes, "3")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gearwatch.functions.expressions import ratio
-from gearwatch.operators.ordered import row_numbers
+from gearwatch.operators.ordered import range_count, row_numbers, with_range
+from gearwatch.session import materialize
 
 
 # Fixed value: default of spark.sql.optimizer.windowGroupLimitThreshold.
@@ -82,35 +83,52 @@ def recent(df: DataFrame, date: str, ties: Sequence[str], n: int) -> DataFrame:
 def page(df: DataFrame, sort: str | None, descending: bool, number: int, size: int, key: Sequence[str]) -> tuple[DataFrame, dict]:
     """One page of a stable sort, the number clamped to the pages there are.
 
-    Positions come from range-partitioned running counts over the sort and key
-    columns alone, so a page deep inside a large table costs no more than the
-    first and nothing is sorted in one task; the page's keys then fetch its rows.
+    The sort and key columns alone are written once with the range of the order that each row falls in. The page lies
+    in the few ranges that its positions reach, and only these are sorted, so a page deep inside a large table costs no
+    more than the first. The page's keys, at most ``size``, then fetch its rows by a filter that reaches the scan.
     """
-    total = df.count()
+    spark = df.sparkSession
     size = max(size, 1)
+    narrow = materialize(df.select(*dict.fromkeys([*([sort] if sort else []), *key])))
+    total = narrow.count()
     pages = max(-(-total // size), 1)
     number = min(max(number, 0), pages - 1)
-    narrow = df.select(*dict.fromkeys([*([sort] if sort else []), *key]))
-    hits = positions(narrow, sort, descending, key).filter(
-        (F.col("position") >= number * size) & (F.col("position") < (number + 1) * size)
-    )
-    rows = df.join(hits.select(*key, "position"), list(key))
+    ordered, order = _ordered(narrow, sort, descending, key)
+    ranged = materialize(with_range(ordered, order, range_count(total)))
+    cells = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # a number per range
+    first, last, before, wanted = number * size, (number + 1) * size, 0, []
+    for cell, n in cells:
+        if before < last and before + n > first:
+            wanted.append((cell, before))
+        before += n
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for cell in wanted for x in cell]), F.col("_range").cast("bigint")) if wanted else F.lit(0).cast("bigint")
+    inside = Window.partitionBy("_range").orderBy(*[F.col(k).asc() if up else F.col(k).desc() for k, up in order])
+    placed = ranged.filter(F.col("_range").isin([cell for cell, _ in wanted])).withColumn("position", offset + F.row_number().over(inside) - 1)
+    hits = placed.filter((F.col("position") >= first) & (F.col("position") < last)).select(*key, "position").collect()
+    schema = placed.select(*key, "position").schema
+    rows = df
+    for k in key:
+        rows = rows.filter(F.col(k).isin(list({h[k] for h in hits})))
+    rows = rows.join(F.broadcast(spark.createDataFrame(hits, schema)), list(key))
     return rows, {"total_rows": total, "page_count": pages, "page": number}
 
 
-def positions(df: DataFrame, sort: str | None, descending: bool, key: Sequence[str]) -> DataFrame:
-    """0-based position of every row in the (sort, key) order, NULLs last."""
+def _ordered(df: DataFrame, sort: str | None, descending: bool, key: Sequence[str]) -> tuple[DataFrame, list]:
+    """The frame with what it takes to sort it without NULLs, and the order: NULLs of the sort column come last."""
     order = [(k, True) for k in key]
-    out = df
     if sort and sort not in key:
         dtype = dict(df.dtypes)[sort]
         fill = F.lit("") if dtype == "string" else F.lit(0).cast(dtype)
-        out = df.withColumns(
-            {"_null": F.col(sort).isNull().cast("int"), "_sort": F.coalesce(F.col(sort), fill)}
-        )
-        order = [("_null", True), ("_sort", not descending), *order]
-    elif sort:
+        out = df.withColumns({"_null": F.col(sort).isNull().cast("int"), "_sort": F.coalesce(F.col(sort), fill)})
+        return out, [("_null", True), ("_sort", not descending), *order]
+    if sort:
         order = [(sort, not descending), *[(k, True) for k in key if k != sort]]
+    return df, order
+
+
+def positions(df: DataFrame, sort: str | None, descending: bool, key: Sequence[str]) -> DataFrame:
+    """0-based position of every row in the (sort, key) order, NULLs last."""
+    out, order = _ordered(df, sort, descending, key)
     ranked = row_numbers(out, [], order, "_pos")
     return ranked.withColumn("position", F.col("_pos") - 1).drop("_pos", "_pos_of", "_null", "_sort")
 

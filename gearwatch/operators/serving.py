@@ -11,6 +11,7 @@ from gearwatch.functions.expressions import day_number, ratio
 from gearwatch.operators.joins import zero_filled_grid
 from gearwatch.operators.ordered import row_numbers
 from gearwatch.panel import PANEL, PanelSpec
+from gearwatch.session import materialize
 
 
 def _when(c: Column) -> Column:
@@ -169,8 +170,9 @@ def bucket_label(date: str, unit: str) -> Column:
 def failure_heatmap(daily: DataFrame, unit: str = "month", spec: PanelSpec = PANEL) -> DataFrame:
     """Failed part-days per entity and bucket on the full grid."""
     rows = daily.select(spec.entity, bucket_label(spec.date, unit).alias("period"), "failed_parts")
-    counts = rows.groupBy(spec.entity, "period").agg(F.sum("failed_parts").alias("failed_part_count"))
-    return zero_filled_grid(counts, rows, spec.entity, rows, "period", "failed_part_count")
+    # The counts hold every entity and every bucket, so rows, columns and cells come from one table that is written once.
+    counts = materialize(rows.groupBy(spec.entity, "period").agg(F.sum("failed_parts").alias("failed_part_count")))
+    return zero_filled_grid(counts, counts, spec.entity, counts, "period", "failed_part_count")
 
 
 def period_coverage(daily: DataFrame, unit: str = "month", spec: PanelSpec = PANEL) -> DataFrame:

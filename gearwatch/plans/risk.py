@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gearwatch.operators import baselines, history, labels, metrics, quality, rollups, splits
 from gearwatch.panel import PANEL, PanelSpec
+from gearwatch.session import materialize
 
 
 def forecast_frame(
@@ -23,9 +24,9 @@ def scored_forecast(
     panel: DataFrame, threshold: int, days: int, valid_start: str, test_start: str, spec: PanelSpec = PANEL
 ) -> DataFrame:
     """Known labels with the entity's training rate, blended with its recent mean score."""
-    rows = forecast_frame(panel, threshold, days, valid_start, test_start, "any", spec).filter(
-        F.col("target").isNotNull() & F.col("split").isNotNull()
-    )
+    frame = forecast_frame(panel, threshold, days, valid_start, test_start, "any", spec)
+    # The training rates and the rows come from one written table.
+    rows = materialize(frame.filter(F.col("target").isNotNull() & F.col("split").isNotNull()))
     rated = baselines.fit_and_score(rows, [spec.entity], "target", out="rate")
     recent = F.coalesce(F.col("points_mean7"), F.lit(0.0)) / F.lit(10.0)
     return rated.select(
@@ -38,6 +39,7 @@ def evaluate_forecast(
     panel: DataFrame, threshold: int, days: int, valid_start: str, test_start: str, spec: PanelSpec = PANEL
 ) -> DataFrame:
     """Check the panel, score it and report ranking quality per split."""
+    panel = materialize(panel)  # checked in several passes, then rolled up
     quality.require_sound(panel, spec)
     scored = scored_forecast(panel, threshold, days, valid_start, test_start, spec)
     return metrics.ranking_quality(scored, ["split"])

@@ -65,13 +65,13 @@ def filtered(frame: DataFrame, machine_type: str | None = None, asset_tag: str |
 
 
 def scope_counts(frame: DataFrame, targets: Sequence[str], scopes: Mapping[str, str | None] = SCOPES, split: str = "split") -> DataFrame:
-    """target, scope, and rows, positives and classes of each part.
+    """target, scope, and rows, positives and classes of each part; rows without a label do not count.
 
     Rows are counted by the scopes' columns first, so they are not repeated per scope.
     """
     columns = [c for c in scopes.values() if c is not None]
     cells = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("int").alias("_y")) for t in targets])
-    fine = frame.select(*columns, F.col(split).alias("_split"), F.inline(cells)).groupBy(*columns, "_split", "target", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    fine = frame.select(*columns, F.col(split).alias("_split"), F.inline(cells)).filter(F.col("_y").isNotNull()).groupBy(*columns, "_split", "target", "_y").agg(F.count(F.lit(1)).alias("_n"))
     at = lambda p: F.col("_split") == p
     aggs = []
     for p in PARTS:
@@ -185,7 +185,7 @@ def in_pools(spark, jobs: Sequence[Callable[[], DataFrame]], pool: int = POOL) -
 def _rate_scores(frame: DataFrame, cells: DataFrame, target: str, name: str, keys: Sequence[str], scopes: Mapping[str, str | None], split: str, keep: Sequence[str]) -> DataFrame:
     """Train rates of all runnable scopes in one grouped pass; a key unseen in training gets its scope's rate."""
     where = ["scope_kind", "scope_name"]
-    rows = scope_rows(frame, scopes).join(cells.filter(F.col("target") == target).select(*where), where)
+    rows = scope_rows(frame.filter(F.col(target).isNotNull()), scopes).join(cells.filter(F.col("target") == target).select(*where), where)
     train = rows.filter(F.col(split) == "train")
     held = rows.filter(F.col(split) != "train")
     y = F.col(target).cast("double")
@@ -242,7 +242,8 @@ def fit_all(frame: DataFrame, planned: DataFrame, suite: Suite) -> tuple[DataFra
 
     def job(target: str, kind: str, scope: str, fset: str, name: str, model: Model) -> DataFrame:
         column = suite.kinds[kind]
-        own = frame if column is None else frame.filter(F.col(column).cast("string") == scope)
+        own = frame.filter(F.col(target).isNotNull())
+        own = own if column is None else own.filter(F.col(column).cast("string") == scope)
         numeric = tuple(suite.feature_sets[fset])
         task = L.Task(own.withColumn("_target", F.col(target).cast("int")), numeric, "_target", tuple(suite.categorical), suite.split, {"written": True})
         rows = task.part("train").count()
