@@ -76,12 +76,18 @@ def exact_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: float(found.get(c, 0.0)) for c in columns}
 
 
+def fills_of(task: Task) -> dict[str, float]:
+    """Medians of the task's training rows; ``meta`` may bring them along where several tasks share their rows."""
+    known = task.meta.get("medians")
+    return known if known is not None else exact_medians(task.part("train"), task.numeric)
+
+
 def preprocessing(task: Task) -> list:
     """Median fill with missing indicators, scaling, one-hot of known categories; fitted on train only."""
     stages, inputs = [], []
     filled = [f"{c}__fill" for c in task.numeric]
     if task.numeric:
-        medians = exact_medians(task.part("train"), task.numeric)
+        medians = fills_of(task)
         fills = ", ".join(f"coalesce(nanvl(`{c}`, NULL), CAST('{medians[c]!r}' AS DOUBLE)) AS `{f}`" for c, f in zip(task.numeric, filled))
         stages.append(SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"))
         stages.append(VectorAssembler(inputCols=[*filled, *[f"{c}__missing" for c in task.numeric]], outputCol="numeric__vec"))
@@ -272,7 +278,7 @@ def permutation_importance(model: PipelineModel, task: Task, part: str, ids: Seq
 
 def preprocessing_table(model: PipelineModel, task: Task) -> DataFrame:
     """What the preprocessing learnt: per numeric column (and missing indicator) fill, mean and deviation; per category its levels."""
-    medians = exact_medians(task.part("train"), task.numeric)
+    medians = fills_of(task)
     rows, names = [], [*task.numeric, *[f"{c}__missing" for c in task.numeric]]
     for stage in model.stages:
         if isinstance(stage, StandardScalerModel):

@@ -167,10 +167,10 @@ class Model:
         return self.kind in ("prior", "rate")
 
 
-def in_pools(spark, jobs: Sequence[Callable[[], DataFrame]], pool: int = POOL) -> list[DataFrame]:
+def in_pools(spark, jobs: Sequence[Callable[[], object]], pool: int = POOL) -> list:
     """Run jobs side by side, each thread in its own scheduler pool; the first error is raised when all have ended."""
 
-    def run(number: int, job: Callable[[], DataFrame]) -> DataFrame:
+    def run(number: int, job: Callable[[], object]) -> object:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"suite-{number % pool}")
         try:
             return job()
@@ -236,6 +236,18 @@ def fit_all(frame: DataFrame, planned: DataFrame, suite: Suite) -> tuple[DataFra
         raise ValueError(f"more than {MOST_FITS} fits; narrow the scopes")
     fitted: dict[tuple, object] = {}
     parts = []
+    train = frame.filter(F.col(suite.split) == "train")
+    sizes = {(r["scope_kind"], r["scope_name"]): r["n"] for r in scope_rows(train, suite.kinds).groupBy("scope_kind", "scope_name").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per scope
+    labelled = {tuple(r)[:3]: r["train_rows"] for r in planned.filter("status = 'ok'").select(*CELL, "train_rows").collect()}
+
+    def scope_train(kind: str, scope: str) -> DataFrame:
+        column = suite.kinds[kind]
+        return train if column is None else train.filter(F.col(column).cast("string") == scope)
+
+    # Targets that label every training row of a scope share its medians.
+    shared = sorted({(k, s, f) for t, k, s in table for f in suite.feature_sets if labelled[t, k, s] == sizes[k, s]}) if trained else []
+    found = in_pools(spark, [lambda k=k, s=s, f=f: L.exact_medians(scope_train(k, s), list(suite.feature_sets[f])) for k, s, f in shared])
+    medians = dict(zip(shared, found))
     for name, model in suite.models.items():
         if model.grouped:
             parts += [_rate_scores(frame, cells, t, name, model.keys, suite.kinds, suite.split, suite.kept) for t in dict.fromkeys(t for t, _, _ in table)]
@@ -245,7 +257,7 @@ def fit_all(frame: DataFrame, planned: DataFrame, suite: Suite) -> tuple[DataFra
         own = frame.filter(F.col(target).isNotNull())
         own = own if column is None else own.filter(F.col(column).cast("string") == scope)
         numeric = tuple(suite.feature_sets[fset])
-        task = L.Task(own.withColumn("_target", F.col(target).cast("int")), numeric, "_target", tuple(suite.categorical), suite.split, {"written": True})
+        task = L.Task(own.withColumn("_target", F.col(target).cast("int")), numeric, "_target", tuple(suite.categorical), suite.split, {"written": True, "medians": medians.get((kind, scope, fset)) if labelled[target, kind, scope] == sizes[kind, scope] else None})
         rows = task.part("train").count()
         made = L.fit(task, L.classifier(model.kind, rows, model.weighted, **(model.options or {})), model.weighted)
         fitted[target, kind, scope, fset, name] = (made, task)
