@@ -10,6 +10,7 @@ from gearwatch.catalog import (  # noqa: F401  (importing registers the queries)
     metrics,
     quality,
     serving,
+    stored,
     suites,
 )
 
