@@ -97,7 +97,7 @@ def learn_count_7d(spark, sf):
     rows = task.part("train").count()
     out = None
     for name in ("ridge", "rf"):
-        scored = L.predict(L.fit(task, L.regressor(name, rows, **(PART_TREES if name == "rf" else {}))), task.part("test"), task, ["entity"]).withColumn("model", F.lit(name))
+        scored = L.predict(L.fit_if_rows(task, L.regressor(name, rows, **(PART_TREES if name == "rf" else {}))), task.part("test"), task, ["entity"]).withColumn("model", F.lit(name))
         out = scored if out is None else out.unionByName(scored)
     return metrics.regression_errors(out, ["model"], "y", "score", True)
 
@@ -105,7 +105,7 @@ def learn_count_7d(spark, sf):
 @query("learn_first_day_class")
 def learn_first_day_class(spark, sf):
     task = L.written(K.part_experiment(region_panel(spark, sf), "first_day_class"))
-    model = L.fit(task, L.classifier("lr", task.part("train").count(), True), weighted=True)
+    model = L.fit_if_rows(task, L.classifier("lr", task.part("train").count(), True), weighted=True)
     out = L.ordered_probabilities(model, task.part("test"), task, ["entity"], ("0", "1", "2", "3"))
     return metrics.multiclass_summary(out.withColumn("actual", F.col("y").cast("string")).withColumn("k", F.lit("test")), ["k"], "actual", "predicted_level", ("0", "1", "2", "3"), "3")
 

@@ -151,15 +151,27 @@ def fit(task: Task, estimator, weighted: bool = False, by_class: bool = False) -
     return Pipeline(stages=[*preprocessing(task), estimator]).fit(train)
 
 
-def predict(model: PipelineModel, df: DataFrame, task: Task, keep: Sequence[str]) -> DataFrame:
-    """Score (probability of 1, or the regression value) next to the kept columns."""
+def fit_if_rows(task: Task, estimator, weighted: bool = False) -> PipelineModel | None:
+    """``fit``, or None where the training part has no row: there is nothing to learn from and so no model."""
+    task = written(task)
+    return None if task.part("train").isEmpty() else fit(task, estimator, weighted)
+
+
+def predict(model: PipelineModel | None, df: DataFrame, task: Task, keep: Sequence[str]) -> DataFrame:
+    """Score (probability of 1, or the regression value) next to the kept columns; no row without a model."""
+    if model is None:
+        return df.filter(F.lit(False)).select(*keep, F.col(task.target).alias("y"), F.lit(None).cast("double").alias("score"))
     out = model.transform(ready(df, task))
-    score = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+    # A tree that saw no row of class 1 has a probability for class 0 only.
+    score = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)) if "probability" in out.columns else F.col("prediction")
     return out.select(*keep, F.col(task.target).alias("y"), score.alias("score"))
 
 
-def ordered_probabilities(model: PipelineModel, df: DataFrame, task: Task, keep: Sequence[str], classes: Sequence = SEVERITY_LEVELS) -> DataFrame:
-    """Probability of every class in a fixed order; classes absent from training get 0."""
+def ordered_probabilities(model: PipelineModel | None, df: DataFrame, task: Task, keep: Sequence[str], classes: Sequence = SEVERITY_LEVELS) -> DataFrame:
+    """Probability of every class in a fixed order; classes absent from training get 0. No row without a model."""
+    if model is None:
+        none = [F.lit(None).cast("double").alias(f"p_{c}") for c in classes]
+        return df.filter(F.lit(False)).select(*keep, F.col(task.target).alias("y"), *none, F.lit(None).cast("string").alias("predicted_level"))
     out = model.transform(ready(df, task))
     p = vector_to_array("probability")
     cells = [
@@ -173,13 +185,16 @@ def suite_predictions(task: Task, models: Mapping[str, tuple], keep: Sequence[st
     """Fit every model on train and stack the predictions of the other parts with a model column.
 
     A model maps to (classifier, balanced) or (classifier, balanced, options); ``prior`` is the constant training rate.
+    Without training rows no model scores anything.
     """
     task = written(task)
     rows = task.part("train").count()
     held = task.frame.filter(F.col(task.split).isin(*parts))
     out = None
     for name, (kind, weighted, *options) in models.items():
-        if kind == "prior":
+        if not rows:
+            scored = predict(None, held, task, keep)
+        elif kind == "prior":
             rate = task.part("train").agg(F.avg(F.col(task.target).cast("double"))).scalar()
             scored = held.select(*keep, F.col(task.target).alias("y"), rate.alias("score"))
         else:

@@ -106,3 +106,19 @@ def test_backtest_uses_only_the_past(spark):
     m = forecast.backtest_metrics(spark.createDataFrame(points), ["seasonal", "previous_day", "previous_week"]).toPandas()
     mae = m[m.entity == "ALL"].set_index("model").mae
     assert mae["previous_week"] < 1e-9 < mae["previous_day"] and mae["seasonal"] < 0.05
+
+
+def test_without_training_rows_nothing_is_scored(spark, task):
+    """Ended in an error of the scaler when no row was left to fit."""
+    bare = L.written(L.Task(task.frame.filter("split <> 'train'"), task.numeric, "y", task.categorical))
+    assert L.suite_predictions(bare, {"prior": ("prior", False), "lr": ("lr", True), "rf": ("rf", False)}, ["id", "split"]).count() == 0
+    ridge = L.predict(L.fit_if_rows(bare, L.regressor("ridge", 0)), bare.part("test"), bare, ["id"])
+    assert ridge.count() == 0 and ridge.columns == ["id", "y", "score"]
+    classes = L.ordered_probabilities(L.fit_if_rows(bare, L.classifier("lr", 0), True), bare.part("test"), bare, ["id"], ("0", "1"))
+    assert classes.count() == 0 and classes.columns == ["id", "y", "p_0", "p_1", "predicted_level"]
+
+
+def test_a_single_training_class_is_enough(spark, task):
+    one = L.written(L.Task(task.frame.filter("split <> 'train' OR (id < 5 AND y = 0)"), task.numeric, "y", task.categorical))
+    scored = L.suite_predictions(one, {"lr": ("lr", True), "rf": ("rf", False)}, ["id", "split"])
+    assert scored.filter("score IS NULL").count() == 0 and scored.count() == 2 * 150
