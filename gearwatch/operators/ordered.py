@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from gearwatch.session import materialize
 
-ROWS_PER_RANGE = 50_000
+# A row meets about two times the root of the number of ranges, so ranges are as large as one task sorts with ease.
+ROWS_PER_RANGE = 1_000_000
 LEAST_RANGES, MOST_RANGES = 16, 4096
 SAMPLE_PER_RANGE = 32
+BINS = 1024  # per group, of ``quantiles_of_rows``
 
 Key = tuple[str, bool]  # column name, ascending
 
@@ -84,6 +86,14 @@ def with_range(df: DataFrame, keys: Sequence[Key], ranges: int, name: str = "_ra
     )
 
 
+def ranged_rows(df: DataFrame, by: Sequence[str], order: Sequence[Key], ranges: int | None = None) -> DataFrame:
+    """The rows with the range of their (group, order key) in ``_range``."""
+    # Sampled, summed by cell and scanned: written once instead of computed three times.
+    # The group enters the key as a hash: any order of groups will do, and equal hashes only share a range.
+    source = materialize(df.withColumn("_group", F.xxhash64(*by) if by else F.lit(0).cast("bigint")))
+    return with_range(source, [("_group", True), *order], ranges or range_count(source.count())).drop("_group")
+
+
 def running_totals(
     df: DataFrame, by: Sequence[str], order: Sequence[Key], values: Mapping[str, str | Column], ranges: int | None = None
 ) -> DataFrame:
@@ -93,10 +103,7 @@ def running_totals(
     """
     by = list(by)
     cols = {n: (F.col(v) if isinstance(v, str) else v) for n, v in values.items()}
-    # Sampled, summed by cell and scanned: written once instead of computed three times.
-    # The group enters the key as a hash: any order of groups will do, and equal hashes only share a range.
-    source = materialize(df.withColumn("_group", F.xxhash64(*by) if by else F.lit(0).cast("bigint")))
-    ranged = with_range(source, [("_group", True), *order], ranges or range_count(source.count())).drop("_group")
+    ranged = ranged_rows(df, by, order, ranges)
     cells = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_cell_{n}") for n, c in cols.items()])
     across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -145,6 +152,48 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, q: Mapping[str, floa
 def quantiles_of_counts(counts: DataFrame, by: Sequence[str], value: str, q: Mapping[str, float]) -> DataFrame:
     """The same from (group, value, n) rows with unique values."""
     run = running_totals(counts.select(*by, value, "n"), by, [(value, True)], {"n": "n"})
+    return _interpolated(run, by, value, q)
+
+
+def quantiles_of_rows(rows: DataFrame, by: Sequence[str], value: str, q: Mapping[str, float], bins: int = BINS) -> DataFrame:
+    """Exact interpolated quantiles of few groups with many rows; values are known numbers and may repeat.
+
+    The rows are neither sorted nor shuffled: each group's span is cut into equal bins, the bins are counted, and only the
+    rows of a bin that holds a wanted rank are ordered. Where all rows share a bin, all are ordered, as in ``quantiles``.
+    ``rows`` is read three times and should be written.
+    """
+    by = list(by)
+    v = F.col(value).cast("double")
+
+    def matched(table: DataFrame, also: Sequence[str] = ()) -> tuple[DataFrame, Column]:
+        """The table with its keys renamed, and the join condition; a group whose key is NULL is a group like any other."""
+        same = F.lit(True)
+        for name in [*by, *also]:
+            same = same & F.col(f"`{name}`").eqNullSafe(F.col(f"`_k_{name}`"))
+        return table.withColumnsRenamed({name: f"_k_{name}" for name in [*by, *also]}), same
+
+    span, same = matched(materialize(rows.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))))
+    width = F.col("_hi") - F.col("_lo")
+    number = F.when((width > 0) & (width < 1e300), F.floor((v - F.col("_lo")) * F.lit(float(bins)) / width)).otherwise(F.lit(0).cast("bigint"))
+    binned = rows.join(span, same).withColumn("_bin", number).select(*by, "_bin", value)
+    cells = materialize(binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_size")))
+    across = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_size").over(across.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cells.withColumns({"_before": before, "_total": F.sum("_size").over(across)})
+    wanted = F.lit(False)
+    for level in q.values():
+        at = F.lit(float(level)) * (F.col("_total") - 1)
+        for rank in (F.floor(at), F.ceil(at)):
+            wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_size")))
+    hit, same = matched(materialize(placed.filter(wanted).drop("_size")), ["_bin"])
+    few = binned.join(hit, same).groupBy(*by, "_bin", value).agg(F.count(F.lit(1)).alias("n"), F.max("_before").alias("_before"), F.max("_total").alias("_total"))
+    run = running_totals(few, [*by, "_bin"], [(value, True)], {"n": "n"})
+    run = run.withColumns({"n_before": F.col("n_before") + F.col("_before"), "n_total": F.col("_total")})
+    return _interpolated(run, by, value, q)
+
+
+def _interpolated(run: DataFrame, by: Sequence[str], value: str, q: Mapping[str, float]) -> DataFrame:
+    """Quantiles per group from rows that hold at least the wanted ranks."""
     aggs = []
     for name, level in q.items():
         at = F.lit(float(level)) * (F.col("n_total") - 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gearwatch.functions.expressions import GRADE_WEIGHTS, day_number, ratio
@@ -194,14 +194,20 @@ def calendar_audit(df: DataFrame, keys: Sequence[str], date: str, arrival: str |
 def reverse_rows(df: DataFrame, keys: Sequence[str], date: str, arrival: str) -> DataFrame:
     """Rows dated before the row that arrived just before them in their group.
 
-    The order comes from range-partitioned running counts, so a group of any
-    size is spread out; each row is then matched to its predecessor by position.
+    The rows are cut into ranges of the order, so a group of any size is spread out; a row meets its predecessor
+    inside the range, and the first row of a range the last one of the range before, from a table of a row per range and group.
     """
-    from gearwatch.operators.ordered import row_numbers
+    from gearwatch.operators.ordered import ranged_rows
 
-    ranked = row_numbers(df.select(*keys, date, arrival), keys, [(arrival, True)], "_i").drop("_i_of")
-    before = ranked.select(*keys, (F.col("_i") + 1).alias("_i"), F.col(date).alias("_before"))
-    return ranked.join(before, [*keys, "_i"]).agg(F.count(F.when(F.col(date) < F.col("_before"), F.lit(1))).alias("reverse_rows"))
+    known = df.select(*keys, date, arrival).dropna(subset=list(keys))
+    inside = Window.partitionBy(*keys, "_range").orderBy(arrival)
+    back = F.col(date) < F.lag(date).over(inside)
+    cells = ranged_rows(known, keys, [(arrival, True)]).withColumn("_back", back).groupBy(*keys, "_range").agg(
+        F.count(F.when(F.col("_back"), F.lit(1))).alias("_inside"), F.min_by(date, arrival).alias("_first"), F.max_by(date, arrival).alias("_last")
+    )
+    across = Window.partitionBy(*keys).orderBy("_range")
+    edges = cells.withColumn("_edge", F.col("_first") < F.lag("_last").over(across))
+    return edges.agg(F.coalesce(F.sum(F.col("_inside") + F.when(F.col("_edge"), 1).otherwise(0)), F.lit(0)).cast("bigint").alias("reverse_rows"))
 
 
 def quality_summary(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
@@ -270,7 +276,6 @@ def preparation_report(df: DataFrame, spec: PanelSpec = PANEL, split: str = "spl
 
 def threshold_monotonicity(rates: DataFrame, threshold: str, rate: str) -> DataFrame:
     """How often the rate rises with the threshold (must be 0). The table has one row per threshold."""
-    from pyspark.sql import Window
 
     w = Window.partitionBy(F.lit(0)).orderBy(threshold)
     rises = rates.withColumn("_rise", F.col(rate) > F.lag(rate).over(w))

@@ -53,3 +53,34 @@ def test_neighbours_are_cyclic(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "k string")
     out = {r.k: (r.previous, r.next) for r in with_neighbours(df, "k").collect()}
     assert out == {"a": ("c", "b"), "b": ("a", "c"), "c": ("b", "a")}
+
+
+def test_quantiles_of_rows_match_numpy_and_order_only_a_few_bins(spark, monkeypatch):
+    pdf = skewed(3000, 5)
+    pdf.loc[pdf.g == "a", "v"] = 4.0  # no span
+    pdf.loc[pdf.index[7], "v"] = 1e9  # all others in one bin
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("g") != "b", F.col("g")))
+    seen, totals = [], O.running_totals
+    monkeypatch.setattr(O, "running_totals", lambda d, *a, **k: (seen.append(d.count()), totals(d, *a, **k))[1])
+    out = {r.g: r for r in O.quantiles_of_rows(df, ["g"], "v", {"q1": 0.25, "median": 0.5}).collect()}
+    for g, part in pdf.groupby("g"):
+        row = out[None if g == "b" else g]
+        assert np.allclose([row.q1, row.median], np.quantile(part.v, [0.25, 0.5])) and row.n == len(part)
+    assert O.quantiles_of_rows(df.filter("false"), ["g"], "v", {"median": 0.5}).count() == 0
+    spread = spark.range(20_000).select((F.xxhash64("id") / 1e18).alias("v"))
+    seen.clear()
+    O.quantiles_of_rows(spread, [], "v", {"median": 0.5}).collect()
+    assert seen[0] < 100  # of 20,000
+
+
+def test_rows_against_the_one_before_over_many_ranges(spark, monkeypatch):
+    from gearwatch.operators.quality import reverse_rows
+
+    monkeypatch.setattr(O, "ROWS_PER_RANGE", 20)
+    monkeypatch.setattr("gearwatch.operators.ordered.running_totals", None)  # rows were numbered and joined with themselves
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 900, p=[0.9, 0.1]), "d": rng.integers(0, 9, 900), "i": rng.permutation(900)})
+    want = sum(int((g.sort_values("i").d.diff() < 0).sum()) for _, g in pdf.groupby("k"))
+    df = spark.createDataFrame(pdf)
+    assert reverse_rows(df, ["k"], "d", "i").first()[0] == want
+    assert reverse_rows(df.filter("false"), ["k"], "d", "i").first()[0] == 0
