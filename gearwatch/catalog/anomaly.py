@@ -11,6 +11,7 @@ from gearwatch.operators import robust as B
 from gearwatch.operators import rollups as U
 from gearwatch.operators.history import residual_history
 from gearwatch.operators.residuals import operating_residuals
+from gearwatch.session import materialize
 from gearwatch.sources.warehouse import PART_MEMBERS, PART_SPLIT, region_panel, supplier_panel
 
 M = ("m1", "m2", "m3", "m4")
@@ -41,8 +42,14 @@ def clean_train(daily):
     return daily.filter((F.col("points") == 0) & (F.col("d") < F.lit(VALID).cast("date")))
 
 
+def _days(spark, sf):
+    """The suppliers' days with what the queries here read of them, written: fits, scores and comparisons all start from it."""
+    days = U.scored_failure_daily(supplier_panel(spark, sf), {m: family for m, (family, _) in PART_MEMBERS.items()})
+    return materialize(days.select("d", "entity", "etype", "points", "status", "failed_part", "failed_family", *M))
+
+
 def _baseline(spark, sf, min_rows):
-    daily = U.entity_daily(supplier_panel(spark, sf))
+    daily = _days(spark, sf)
     return daily, B.fit_baseline(clean_train(daily), M, min_rows=min_rows)
 
 
@@ -118,9 +125,7 @@ CASE_SQL = Z_SQL + f""", sd AS (SELECT d, entity, CASE sum(flag) WHEN 0 THEN 'cl
 
 
 def case_days(spark, sf):
-    panel = supplier_panel(spark, sf)
-    single = U.single_failure_daily(panel).select("d", "entity", "status", "failed_part", "failed_family")
-    days = z_days(spark, sf).select("d", "entity", *ZCOLS).join(single, ["d", "entity"])
+    days = z_days(spark, sf).dropna(subset=["d", "entity"]).select("d", "entity", "status", "failed_part", "failed_family", *ZCOLS)
     return C.with_periods(days, "d", VALID, TEST)
 
 
@@ -205,11 +210,10 @@ RESIDUAL_ROWS = 190  # own fits for a part of the entities, shared slopes for th
 RESIDUAL_COLUMNS = [f"{m}_{x}" for m in ("m1", "m2") for x in ("expected", "residual", "residual_robust_z")]
 
 
-def residual_rows(spark, sf):
-    daily = U.entity_daily(supplier_panel(spark, sf))
+def residual_rows(daily, also=()):
     train = (F.col("points") == 0) & (F.col("d") < F.lit(VALID).cast("date"))
     out, artifacts = operating_residuals(daily, ["m1", "m2"], ["m3"], train, min_rows=RESIDUAL_ROWS, calendar=())
-    return rounded(out.select("d", "entity", *RESIDUAL_COLUMNS), RESIDUAL_COLUMNS, 6), artifacts
+    return rounded(out.select("d", "entity", *also, *RESIDUAL_COLUMNS), RESIDUAL_COLUMNS, 6), artifacts
 
 
 RES_SQL = residual_sql(L_SQL, ("m1", "m2"), "m3", RESIDUAL_ROWS)
@@ -218,15 +222,15 @@ RES_SQL = residual_sql(L_SQL, ("m1", "m2"), "m3", RESIDUAL_ROWS)
 @query("operating_residuals", RES_SQL + " SELECT * FROM res")
 def operating_residual_rows(spark, sf):
     """Expected values, residuals and their z: own fits, or shared slopes with a level of its own per entity."""
-    return residual_rows(spark, sf)[0]
+    return residual_rows(_days(spark, sf))[0]
 
 
 @query("residual_scopes", RES_SQL + " SELECT 'm1' AS sensor, count(*) AS entities, count(*) FILTER (n >= 190) AS own_fits FROM own_m1 UNION ALL SELECT 'm2', count(*), count(*) FILTER (n >= 190) FROM own_m2")
 def residual_scopes(spark, sf):
     """How many entities have a fit of their own."""
-    daily = U.entity_daily(supplier_panel(spark, sf))
+    daily = _days(spark, sf)
     clean = clean_train(daily)
-    artifacts = residual_rows(spark, sf)[1]
+    artifacts = residual_rows(daily)[1]
     own = artifacts.filter("selected_scope = 'asset_tag'").groupBy("sensor").agg(F.count(F.lit(1)).alias("own_fits"))
     return own.withColumn("entities", clean.agg(F.countDistinct("entity")).scalar()).select("sensor", "entities", "own_fits")
 
@@ -247,7 +251,7 @@ def _residual_history_sql() -> str:
 def residual_history_rows(spark, sf):
     """History of residuals: lags, median, deviation and slope of the past week."""
     names = ["m1_residual", "m1_residual_robust_z"]
-    out = residual_history(residual_rows(spark, sf)[0].select("d", "entity", *names), ["entity"], "d", names)
+    out = residual_history(residual_rows(_days(spark, sf))[0].select("d", "entity", *names), ["entity"], "d", names)
     return rounded(rounded(out, [f"{c}_{x}" for c in names for x in ("median7", "mad7")]), [f"{c}_slope7" for c in names], 6)
 
 
@@ -262,8 +266,7 @@ _RES_CASE = CASE_SQL.removeprefix(Z_SQL).replace(", abs(z3) AS m3, abs(z4) AS m4
 )
 def case_control_residual(spark, sf):
     """The same comparison on operating-condition residuals."""
-    z = residual_rows(spark, sf)[0].select("d", "entity", "m1_residual_robust_z", "m2_residual_robust_z")
-    single = U.single_failure_daily(supplier_panel(spark, sf)).select("d", "entity", "status", "failed_part", "failed_family")
-    days = C.with_periods(z.join(single, ["d", "entity"]), "d", VALID, TEST)
+    z = residual_rows(_days(spark, sf), ["status", "failed_part", "failed_family"])[0].dropna(subset=["d", "entity"])
+    days = C.with_periods(z, "d", VALID, TEST)
     out = C.direction(C.summarize(C.entity_effects(days, {m: f"{m}_residual_robust_z" for m in ("m1", "m2")})))
     return rounded(out, [*RATES[:5], "anomaly_rate_diff_pp"])

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gearwatch.functions.expressions import candidate_status, ratio
+from gearwatch.operators.history import median_of_sorted
 from gearwatch.operators.ordered import row_numbers
-from gearwatch.operators.robust import long_measures
 from gearwatch.operators.splits import period_column
 from gearwatch.session import materialize
 
@@ -40,35 +40,32 @@ def entity_effects(
     flat = days.filter(F.col("status").isin("clean", "isolated")).select(
         *by, entity, "status", "failed_part", "failed_family", *[F.abs(F.col(c)).alias(m) for m, c in z.items()]
     )
-    kinds = ["status", "failed_part", "failed_family"]
     key = [*by, entity, "sensor"]
-    long = materialize(
-        long_measures(flat, [*by, entity, *kinds], list(z)).groupBy(*key, *kinds, "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    case = F.col("status") == "isolated"
-    counts = long.groupBy(*key, "value").agg(F.sum(F.when(case, F.lit(0)).otherwise(F.col("n"))).alias("clean"))
-    # One entity's clean days, so at most the calendar, stand in a window group.
+    # Dealt out by entity before a row is repeated per measure: windows and groups below stay where their rows are.
+    cells = F.array(*[F.struct(F.lit(m).alias("sensor"), F.col(m).cast("double").alias("value")) for m in z])
+    long = flat.repartition(entity).select(*by, entity, "status", *[F.when(F.col("status") == "isolated", F.col(c)).alias(c) for c in ("failed_part", "failed_family")], F.inline(cells)).filter(F.col("value").isNotNull())
+    # One entity's days, so at most the calendar, stand in a window group.
     group = Window.partitionBy(*key)
-    earlier = group.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    run = counts.withColumns(
-        {"c_before": F.coalesce(F.sum("clean").over(earlier), F.lit(0)), "c_total": F.sum("clean").over(group)}
+    clean = F.when(F.col("status") == "clean", 1).otherwise(0)
+    placed = long.withColumns(
+        {"_upto": F.sum(clean).over(group.orderBy("value")), "_same": F.sum(clean).over(Window.partitionBy(*key, "value")), "_clean": F.sum(clean).over(group)}
     )
-    cases = long.filter(case).drop("status")
-    placed = cases.join(run, [*key, "value"]).filter(F.col("c_total") > 0)
-    above = F.col("c_total") - F.col("c_before") - F.col("clean")
+    below, above = F.col("_upto") - F.col("_same"), F.col("_clean") - F.col("_upto")
     part = [*by, "failed_part", "failed_family", "sensor", entity]
-    # Weighted percentile: one entry per distinct |z| of one entity, at most its days.
-    case_side = placed.groupBy(*part).agg(
-        F.sum("n").alias("isolated_rows"),
-        F.max("c_total").alias("clean_rows"),
-        F.percentile("value", 0.5, F.col("n")).alias("median_isolated"),
-        ratio(F.sum(F.col("n") * (F.col("c_before") - above)), F.sum("n") * F.max("c_total")).alias("delta"),
-        *[F.sum(F.when(F.col("value") >= t, F.col("n")).otherwise(0)).alias(f"_i{i}") for i, t in enumerate(limits)],
+    both = materialize(
+        placed.groupBy(*key, "status", "failed_part", "failed_family").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.max("_clean").alias("clean_rows"),
+            median_of_sorted(F.sort_array(F.collect_list("value"))).alias("median"),
+            F.sum(below - above).alias("_lead"),
+            *[F.sum(F.when(F.col("value") >= t, 1).otherwise(0)).alias(f"_h{i}") for i, t in enumerate(limits)],
+        )
     )
-    clean_side = counts.filter(F.col("clean") > 0).groupBy(*key).agg(
-        F.percentile("value", 0.5, F.col("clean")).alias("median_clean"),
-        *[F.sum(F.when(F.col("value") >= t, F.col("clean")).otherwise(0)).alias(f"_c{i}") for i, t in enumerate(limits)],
+    case_side = both.filter("status = 'isolated'").select(
+        *part, F.col("rows").alias("isolated_rows"), "clean_rows", F.col("median").alias("median_isolated"),
+        ratio("_lead", F.col("rows") * F.col("clean_rows")).alias("delta"), *[F.col(f"_h{i}").alias(f"_i{i}") for i in range(len(limits))],
     )
+    clean_side = both.filter("status = 'clean'").select(*key, F.col("median").alias("median_clean"), *[F.col(f"_h{i}").alias(f"_c{i}") for i in range(len(limits))])
     cells = F.array(
         *[
             F.struct(F.lit(float(t)).alias("z_threshold"), F.col(f"_i{i}").alias("isolated_hits"), F.col(f"_c{i}").alias("clean_hits"))
@@ -115,8 +112,12 @@ def _block_means(key: Sequence[str], samples: int, seed: int):
         rng = np.random.default_rng([seed, zlib.crc32(named.encode()), 1 + block])
         times = rng.multinomial(shares, np.full(len(rows), 1 / len(rows)))  # redraws x entities
         n1, k1, n2, k2 = (np.array([r[c] for r in rows], dtype=float) for c in ("isolated_rows", "isolated_hits", "clean_rows", "clean_hits"))
+        # Where no day or every day is a hit, each resample has the same rate.
+        fixed = np.isin(k1 / n1, (0.0, 1.0)) & np.isin(k2 / n2, (0.0, 1.0))
         diff = np.empty((samples, len(rows)))
-        for i, r in enumerate(rows):  # each entity's days are resampled by its own seed: a resampled 0/1 vector is a binomial count
+        diff[:, fixed] = (k1 / n1 - k2 / n2)[fixed]
+        for i in np.flatnonzero(~fixed):  # each entity's days are resampled by its own seed: a resampled 0/1 vector is a binomial count
+            r = rows[i]
             own = np.random.default_rng([seed, zlib.crc32(f"{named}|{r['_entity']}".encode())])
             diff[:, i] = own.binomial(int(n1[i]), k1[i] / n1[i], samples) / n1[i] - own.binomial(int(n2[i]), k2[i] / n2[i], samples) / n2[i]
         sums = (times * diff).sum(axis=1)
