@@ -122,3 +122,14 @@ def test_a_single_training_class_is_enough(spark, task):
     one = L.written(L.Task(task.frame.filter("split <> 'train' OR (id < 5 AND y = 0)"), task.numeric, "y", task.categorical))
     scored = L.suite_predictions(one, {"lr": ("lr", True), "rf": ("rf", False)}, ["id", "split"])
     assert scored.filter("score IS NULL").count() == 0 and scored.count() == 2 * 150
+
+
+def test_medians_do_not_shuffle_the_training_rows(spark, monkeypatch):
+    """Every value of every column was counted, shuffled and ranged."""
+    from gearwatch.operators import ordered as O
+
+    df = spark.range(5000).select((F.xxhash64("id") / 1e18).alias("a"), F.when(F.col("id") % 3 == 0, F.col("id") / 7).alias("b"), F.lit(float("nan")).alias("c"))
+    pdf, seen, totals = df.toPandas(), [], O.running_totals
+    monkeypatch.setattr(O, "running_totals", lambda d, *a, **k: (seen.append(d.count()), totals(d, *a, **k))[1])
+    got = L.exact_medians(df, ["a", "b", "c"])
+    assert got == {"a": pytest.approx(pdf.a.median()), "b": pytest.approx(pdf.b.median()), "c": 0.0} and seen[0] < 100
