@@ -20,11 +20,18 @@ def _d(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
-def score_table(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
-    """Distinct scores, highest first: n, pos, alerts and tp at that cutoff, totals tot and ptot."""
-    counts = value_counts(
-        df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()), by, score, {"pos": F.col(label).cast("bigint")}
-    )
+def score_counts(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
+    """Rows of each score and label in ``weight``: what ranking figures and confusions need, without the rows themselves."""
+    return df.groupBy(*by, score, label).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def score_table(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
+    """Distinct scores, highest first: n, pos, alerts and tp at that cutoff, totals tot and ptot. ``weight``: rows that a row stands for."""
+    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    if weight is None:
+        counts = value_counts(known, by, score, {"pos": F.col(label).cast("bigint")})
+    else:
+        counts = known.groupBy(*by, score).agg(F.sum(weight).alias("n"), F.sum(F.col(label).cast("bigint") * F.col(weight)).alias("pos"))
     run = running_totals(counts, by, [(score, False)], {"n": "n", "pos": "pos"})
     return run.select(
         *by,
@@ -38,12 +45,12 @@ def score_table(df: DataFrame, by: Sequence[str], score: str = "score", label: s
     )
 
 
-def ranking_quality(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
+def ranking_quality(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
     """Average precision, ROC-AUC, trapezoid PR-AUC and AP lift per group.
 
     NULL for a group with a single class.
     """
-    t = score_table(df, by, score, label)
+    t = score_table(df, by, score, label, weight)
     pos, tp, alerts, n = _d("pos"), _d("tp"), _d("alerts"), _d("n")
     before = alerts - n
     p_before = F.when(before > 0, F.try_divide(tp - pos, before)).otherwise(F.lit(1.0))
@@ -113,17 +120,21 @@ def brier(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "
     return df.groupBy(*by).agg(F.avg(F.pow(_d(score) - _d(label), 2)).alias("brier"))
 
 
-def confusion(df: DataFrame, by: Sequence[str], predicted: str = "predicted", label: str = "y") -> DataFrame:
-    """tp / fp / fn / tn of a 0/1 prediction and the rates made from them; NULL predictions give NULL rates."""
+def confusion(df: DataFrame, by: Sequence[str], predicted: str = "predicted", label: str = "y", weight: str | None = None) -> DataFrame:
+    """tp / fp / fn / tn of a 0/1 prediction and the rates made from them; NULL predictions give NULL rates.
+
+    ``weight``: rows that a row stands for.
+    """
     hit, y = F.col(predicted) == 1, F.col(label) == 1
     known = F.col(predicted).isNotNull()
 
     def tally(c: Column, name: str) -> Column:
-        return F.count(F.when(c, F.lit(1))).alias(name)
+        found = F.count(F.when(c, F.lit(1))) if weight is None else F.coalesce(F.sum(F.when(c, F.col(weight))), F.lit(0))
+        return found.alias(name)
 
     out = df.groupBy(*by).agg(
         tally(hit & y, "tp"), tally(hit & ~y, "fp"), tally(known & ~hit & y, "fn"), tally(known & ~hit & ~y, "tn"),
-        F.count(F.lit(1)).alias("rows"), tally(known, "_known"), tally(y, "positives"),
+        tally(F.lit(True), "rows"), tally(known, "_known"), tally(y, "positives"),
     )
     return rates_from_counts(out).drop("_known")
 

@@ -2,12 +2,12 @@
 
 A running total or a rank over a whole table normally needs one window with no
 partition key, that is one task. Here the rows are first cut into ranges of the
-order key. Range limits come from a fixed-size bottom-k sample of the keys (a
-scalar subquery, so the plan stays lazy), each (group, range) cell is scanned
-by its own task, and the cells' totals, a table of at most groups + ranges
-rows, supply the offsets. The limits only steer balance: any limits give the
-same result. The input is written to the shared checkpoint folder first. The key is the (group, order key) tuple, so one hot group is
-spread over many ranges and many small groups share one.
+order key by Spark's range partitioning, whose cost for a row does not grow with
+the number of ranges. Each (group, range) cell is scanned by its own task, and
+the cells' totals, a table of at most groups + ranges rows, supply the offsets.
+The limits only steer balance: any limits give the same result. The input and its
+ranges are written to the shared checkpoint folder. The key is the (group, order key)
+tuple, so one hot group is spread over many ranges and many small groups share one.
 """
 
 from __future__ import annotations
@@ -19,76 +19,31 @@ from pyspark.sql import functions as F
 
 from gearwatch.session import materialize
 
-# A row meets about two times the root of the number of ranges, so ranges are as large as one task sorts with ease.
+# As large as one task sorts with ease.
 ROWS_PER_RANGE = 1_000_000
 LEAST_RANGES, MOST_RANGES = 16, 4096
-SAMPLE_PER_RANGE = 32
 BINS = 1024  # per group, of ``quantiles_of_rows``
 
 Key = tuple[str, bool]  # column name, ascending
 
 
-def _precedes(left: Column, right: Column, keys: Sequence[Key]) -> Column:
-    out = F.lit(False)
-    for name, ascending in reversed(keys):
-        a, b = left[name], right[name]
-        out = (a < b if ascending else a > b) | ((a == b) & out)
-    return out
-
-
 def range_count(rows: int) -> int:
     """Ranges that keep a range near ``ROWS_PER_RANGE`` rows; results do not depend on it."""
     return min(MOST_RANGES, max(LEAST_RANGES, -(-rows // ROWS_PER_RANGE)))
 
 
 def with_range(df: DataFrame, keys: Sequence[Key], ranges: int, name: str = "_range") -> DataFrame:
-    """Add the number of the key range a row falls in (ranges follow the key order).
+    """Add the number of the key range a row falls in (ranges follow the key order); the rows are dealt by range and written.
 
-    Key columns must be non-null.
+    Limits come from a sample, so another run could set them elsewhere; the written numbers hold for all who read them.
     """
-    names = [k for k, _ in keys]
-    block = max(1, round(ranges**0.5))
-    sample = (
-        df.select(F.struct(*names).alias("k"))
-        .orderBy(F.xxhash64("k"))
-        .limit(ranges * SAMPLE_PER_RANGE)
-        .agg(F.collect_list("k").alias("ks"))
-        .select(
-            F.array_sort(
-                "ks",
-                lambda a, b: F.when(_precedes(a, b, keys), -1).when(_precedes(b, a, keys), 1).otherwise(0),
-            ).alias("ks")
-        )
-        .select(
-            F.filter(
-                "ks", lambda _, i: i % F.greatest(F.lit(1), F.floor(F.size("ks") / ranges).cast("int")) == 0
-            ).alias("limits")
-        )
-        .select(F.struct("limits", F.filter("limits", lambda _, i: i % block == 0).alias("heads")))
-    )
-    here = F.struct(*names)
-
-    def reached(limits: Column) -> Column:
-        return F.size(F.filter(limits, lambda limit: ~_precedes(here, limit, keys)))
-
-    # Two steps, block heads first, so a row meets few of the limits.
-    start = (F.col("_block") - 1) * block
-    return (
-        df.withColumn("_limits", sample.scalar())
-        .withColumn("_block", reached(F.col("_limits.heads")))
-        .withColumn(
-            name,
-            F.when(F.col("_block") == 0, 0).otherwise(
-                start + reached(F.slice("_limits.limits", F.greatest(start + 1, F.lit(1)), F.lit(block)))
-            ),
-        )
-        .drop("_limits", "_block")
-    )
+    order = [F.col(f"`{k}`").asc() if ascending else F.col(f"`{k}`").desc() for k, ascending in keys]
+    return materialize(df.repartitionByRange(ranges, *order).withColumn(name, F.spark_partition_id()))
 
 
 def ranged_rows(df: DataFrame, by: Sequence[str], order: Sequence[Key], ranges: int | None = None) -> DataFrame:
     """The rows with the range of their (group, order key) in ``_range``."""
-    # Sampled, summed by cell and scanned: written once instead of computed three times.
+    # Counted, sampled and dealt: written once instead of computed three times.
     # The group enters the key as a hash: any order of groups will do, and equal hashes only share a range.
     source = materialize(df.withColumn("_group", F.xxhash64(*by) if by else F.lit(0).cast("bigint")))
     return with_range(source, [("_group", True), *order], ranges or range_count(source.count())).drop("_group")

@@ -94,7 +94,7 @@ def page(df: DataFrame, sort: str | None, descending: bool, number: int, size: i
     pages = max(-(-total // size), 1)
     number = min(max(number, 0), pages - 1)
     ordered, order = _ordered(narrow, sort, descending, key)
-    ranged = materialize(with_range(ordered, order, range_count(total)))
+    ranged = with_range(ordered, order, range_count(total))
     cells = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # a number per range
     first, last, before, wanted = number * size, (number + 1) * size, 0, []
     for cell, n in cells:

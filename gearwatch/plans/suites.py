@@ -237,8 +237,10 @@ def fit_all(frame: DataFrame, planned: DataFrame, suite: Suite) -> tuple[DataFra
     fitted: dict[tuple, object] = {}
     parts = []
     train = frame.filter(F.col(suite.split) == "train")
-    sizes = {(r["scope_kind"], r["scope_name"]): r["n"] for r in scope_rows(train, suite.kinds).groupBy("scope_kind", "scope_name").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per scope
-    labelled = {tuple(r)[:3]: r["train_rows"] for r in planned.filter("status = 'ok'").select(*CELL, "train_rows").collect()}
+    sizes, labelled = {}, {}
+    if trained:  # a row per scope; suites without fits may have a scope per asset, and theirs stay where they are
+        sizes = {(r["scope_kind"], r["scope_name"]): r["n"] for r in scope_rows(train, suite.kinds).groupBy("scope_kind", "scope_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        labelled = {tuple(r)[:3]: r["train_rows"] for r in planned.filter("status = 'ok'").select(*CELL, "train_rows").collect()}
 
     def scope_train(kind: str, scope: str) -> DataFrame:
         column = suite.kinds[kind]
@@ -248,9 +250,10 @@ def fit_all(frame: DataFrame, planned: DataFrame, suite: Suite) -> tuple[DataFra
     shared = sorted({(k, s, f) for t, k, s in table for f in suite.feature_sets if labelled[t, k, s] == sizes[k, s]}) if trained else []
     found = in_pools(spark, [lambda k=k, s=s, f=f: L.exact_medians(scope_train(k, s), list(suite.feature_sets[f])) for k, s, f in shared])
     medians = dict(zip(shared, found))
+    targets = [r[0] for r in cells.select("target").distinct().collect()]  # of all cells, not of those listed above
     for name, model in suite.models.items():
         if model.grouped:
-            parts += [_rate_scores(frame, cells, t, name, model.keys, suite.kinds, suite.split, suite.kept) for t in dict.fromkeys(t for t, _, _ in table)]
+            parts += [_rate_scores(frame, cells, t, name, model.keys, suite.kinds, suite.split, suite.kept) for t in targets]
 
     def job(target: str, kind: str, scope: str, fset: str, name: str, model: Model) -> DataFrame:
         column = suite.kinds[kind]
@@ -304,26 +307,27 @@ def tables(
 ) -> tuple[DataFrame, DataFrame]:
     """Metric rows (also of skipped cells) and the selected models' test predictions, in their pinned columns.
 
-    Cutoffs are chosen on the validation part and applied to both parts; all groups in one pass each.
+    Cutoffs are chosen on the validation part and applied to both parts; all groups in one pass each. Cutoffs, confusions
+    and ranking figures come from the rows counted by score, and only the selected models' rows are repeated per policy.
     """
     key = [*CELL, "feature_set", "model"]
-    cuts = materialize(thresholds.choose_cutoffs(predictions.filter("split = 'valid'"), key, min_precisions, top_fractions).withColumnRenamed("status", "_cut_status"))
-    applied = materialize(thresholds.apply_cutoffs(predictions, cuts, key))
-    rates = metrics.confusion(applied, [*key, "split", "policy"])
+    counts = materialize(metrics.score_counts(predictions, [*key, "split"]))
+    cuts = materialize(thresholds.choose_cutoffs(counts.filter("split = 'valid'"), key, min_precisions, top_fractions, weight="weight").withColumnRenamed("status", "_cut_status"))
+    rates = metrics.confusion(thresholds.apply_cutoffs(counts, cuts, key), [*key, "split", "policy"], weight="weight")
     top = metrics.rank_at_percent(predictions, [*key, "split"], list(suite.ids))
     ranks = top.groupBy(*key, "split").agg(
         *[F.max(F.when(F.col("percent") == p, F.col(m))).alias(f"{m}_at_{p}pct") for p in (5, 10, 20) for m in ("precision", "recall", "lift")]
     )
-    ranking = materialize(metrics.ranking_quality(predictions, [*key, "split"]).select(*key, "split", "average_precision", "roc_auc"))
+    ranking = materialize(metrics.ranking_quality(counts, [*key, "split"], weight="weight").select(*key, "split", "average_precision", "roc_auc"))
     f1 = rates.filter("policy = 'f1'").select(*key, "split", "f1", "recall", "precision")
     candidates = [n for n, m in suite.models.items() if n != BASELINE]
     sets = [*suite.feature_sets, "none"]
     chosen = materialize(select_models(ranking.join(f1, [*key, "split"]), candidates, sets, tolerance))
-    counts = planned.drop("status", "reason", "same_as")
+    parts = planned.drop("status", "reason", "same_as")
     picked = chosen.withColumn("selected_model", F.lit(True))
     rows = (
         rates.drop("rows", "positives").join(cuts, [*key, "policy"]).join(ranking, [*key, "split"]).join(ranks, [*key, "split"])
-        .join(counts, CELL).join(picked, key, "left")
+        .join(parts, CELL).join(picked, key, "left")
         .withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("selected_model", "selected_feature_set")})
         .withColumns({"status": F.col("_cut_status"), "reason": F.lit("")})
     )
@@ -336,7 +340,8 @@ def tables(
     )
     both = done.unionByName(none, allowMissingColumns=True)
     both = both.withColumns({f"{p}_positive_rate": ratio(f"{p}_positives", f"{p}_rows") for p in PARTS})
-    best = applied.filter("split = 'test'").join(chosen.filter("selected_feature_set").drop("selected_feature_set"), key, "left_semi")
+    tested = predictions.filter("split = 'test'").join(chosen.filter("selected_feature_set").drop("selected_feature_set"), key, "left_semi")
+    best = thresholds.apply_cutoffs(tested, cuts, key)
     return both.select(*METRIC_COLUMNS), with_reused(best, planned).select(*suite.kept, *PREDICTION_COLUMNS)
 
 

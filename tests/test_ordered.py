@@ -84,3 +84,15 @@ def test_rows_against_the_one_before_over_many_ranges(spark, monkeypatch):
     df = spark.createDataFrame(pdf)
     assert reverse_rows(df, ["k"], "d", "i").first()[0] == want
     assert reverse_rows(df.filter("false"), ["k"], "d", "i").first()[0] == 0
+
+
+def test_ranges_follow_the_order_with_nulls_and_are_set_once(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"))
+    ranged = O.with_range(df, [("v", False), ("id", True)], 9)
+    assert "Scan" in ranged._jdf.queryExecution().executedPlan().toString().splitlines()[-1]
+    ends = ranged.groupBy("_range").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("known")).orderBy("_range").collect()
+    known = [r for r in ends if r.known]
+    assert len(known) > 3 and all(a.lo > b.hi for a, b in zip(known, known[1:]))
+    assert ends[-1].known < 99 and all(r.known for r in ends[: len(known)])  # unknown values come last, as in a window
+    out = O.row_numbers(df, [], [("v", False), ("id", True)])
+    assert [r.id for r in out.filter("rank <= 2 OR rank = 300").orderBy("rank").collect()] == [299, 298, 297]

@@ -212,3 +212,24 @@ def test_daily_lists(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "x"), (3, None)], "d int, v string")
     got = {tuple(r) for r in Q.daily_listed_values(df, "v", ["a", "b"], ["d"]).collect()}
     assert got == {(2, "b", "missing"), (2, "x", "extra"), (3, "a", "missing"), (3, "b", "missing")}
+
+
+def test_tables_repeat_counted_scores_per_policy_not_rows(spark, monkeypatch):
+    seen, apply = [], S.thresholds.apply_cutoffs
+    monkeypatch.setattr(S.thresholds, "apply_cutoffs", lambda r, *a: (seen.append(r.count()), apply(r, *a))[1])
+    suite = S.Suite({}, (), {"prior": S.Model("prior"), "rate": S.Model("rate", keys=("entity",))}, ("d", "entity"), (), {"overall": None})
+    out = S.run(spark.createDataFrame(rows()), ["y"], suite)
+    assert seen[0] <= 28 and seen[1] == 80  # of 320 scored rows: 6 rates and one constant, two labels, two parts; the best model's test rows
+    for r in out.metrics.filter("policy = 'f1' AND split = 'test'").collect():
+        assert r.tp + r.fp + r.fn + r.tn == 80
+    best = out.predictions.filter("policy = 'f1'").toPandas()
+    hit = out.metrics.filter("selected_model AND policy = 'f1' AND split = 'test'").first()
+    assert hit.tp == int(((best.score >= best.cutoff) & (best.y == 1)).sum()) and hit.fp == int(((best.score >= best.cutoff) & (best.y == 0)).sum())
+
+
+def test_targets_beyond_the_listed_cells_are_scored(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_FITS", 0)  # bounds fits, not the rates of scopes
+    suite = S.Suite({}, (), {"rate": S.Model("rate", keys=("entity",))}, ("d", "entity"), (), {"overall": None})
+    frame = spark.createDataFrame(rows())
+    planned = S.plan(frame, ("y", "nearly"), ["d", "entity"], {"overall": None})
+    assert {r[0] for r in S.fit_all(frame, planned, suite)[0].select("target").distinct().collect()} == {"y", "nearly"}
