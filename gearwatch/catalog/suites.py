@@ -65,8 +65,14 @@ def asset_feature_sets(spark, sf):
     """Columns of the four nested sets in order, with the number of known values and the mean of each."""
     sets = FS.asset_features(supplier_panel(spark, sf), *PART_SPLIT)
     names = sorted({c for s in sets.columns.values() for c in s})
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in names])
-    seen = sets.frame.select(F.inline(cells)).groupBy("column").agg(F.count("value").alias("known"), F.avg("value").alias("mean"))
+    # A row becomes one short row per dozen columns, not one per column.
+    dozens = [names[i : i + 12] for i in range(0, len(names), 12)]
+    blank = F.lit(None).cast("double")
+    packed = [F.struct(F.lit(k).alias("_k"), *[(F.col(own[j]).cast("double") if j < len(own) else blank).alias(f"_v{j}") for j in range(12)]) for k, own in enumerate(dozens)]
+    figures = sets.frame.select(F.inline(F.array(*packed))).groupBy("_k").agg(*[F.struct(F.count(f"_v{j}").alias("known"), F.avg(f"_v{j}").alias("mean")).alias(f"_f{j}") for j in range(12)])
+    titles = F.array(*[F.array(*[F.lit(own[j] if j < len(own) else None) for j in range(12)]) for own in dozens])
+    cells = F.array(*[F.struct(titles[F.col("_k")][j].alias("column"), F.col(f"_f{j}.known").alias("known"), F.col(f"_f{j}.mean").alias("mean")) for j in range(12)])
+    seen = figures.select(F.inline(cells)).filter(F.col("column").isNotNull())
     return rounded(sets.listing().select("feature_set", "place", "column").join(seen, "column"), ["mean"], 6)
 
 

@@ -42,20 +42,23 @@ def median_of_sorted(sorted_values: Column) -> Column:
 
 def _deviation_of(sorted_values: Column) -> Column:
     middle = median_of_sorted(sorted_values)
-    return median_of_sorted(F.array_sort(F.transform(sorted_values, lambda v: F.abs(v - middle))))
+    return median_of_sorted(F.sort_array(F.transform(sorted_values, lambda v: F.abs(v - middle))))
 
 
 def add_history(
     df: DataFrame, by: Sequence[str], date: str, columns: Sequence[Past], calendar: bool = True
 ) -> DataFrame:
-    """Append the columns. ``calendar`` picks day offsets (RANGE) or row offsets (ROWS)."""
+    """Append the columns. ``calendar`` picks day offsets (RANGE) or row offsets (ROWS).
+
+    Medians and deviations of one source and frame read one sorted list of its values.
+    """
     ordered = Window.partitionBy(*by).orderBy(day_number(date))
     windowed: dict[str, Column] = {}
     derived: dict[str, Column] = {}
-    helpers: list[str] = []
+    helpers: dict[str, None] = {}
     for c in columns:
         frame = ordered.rangeBetween(c.lo, c.hi) if calendar else ordered.rowsBetween(c.lo, c.hi)
-        x = F.col(c.src).cast("double") if c.stat in ("mean", "std", "median", "mad", "slope") else F.col(c.src)
+        x = F.col(c.src).cast("double") if c.stat in ("mean", "std", "slope") else F.col(c.src)
         enough = F.count(c.src).over(frame) >= c.at_least
         if c.stat == "mean":
             value = F.avg(x).over(frame)
@@ -65,18 +68,17 @@ def add_history(
             value = F.max(x).over(frame)
         elif c.stat == "std":
             value = F.stddev_samp(x).over(frame)
-        elif c.stat == "median":
-            value = F.percentile(x, F.lit(0.5)).over(frame)
         elif c.stat == "slope":
             value = F.regr_slope(x, day_number(date).cast("double")).over(frame)
         elif c.stat == "complete":
             windowed[c.out] = enough
             continue
-        elif c.stat == "mad":
+        elif c.stat in ("median", "mad"):
             seen = f"_seen_{c.src}_{-c.lo}_{-c.hi}"
-            windowed[seen] = F.array_sort(F.collect_list(x).over(frame))
-            helpers.append(seen)
-            derived[c.out] = F.when(F.size(seen) >= c.at_least, _deviation_of(F.col(seen)))
+            windowed[seen] = F.sort_array(F.collect_list(x.cast("double")).over(frame))
+            helpers[seen] = None
+            found = median_of_sorted(F.col(seen)) if c.stat == "median" else _deviation_of(F.col(seen))
+            derived[c.out] = F.when(F.size(seen) >= max(1, c.at_least), found)
             continue
         else:
             raise ValueError(f"unknown statistic: {c.stat}")

@@ -233,3 +233,17 @@ def test_targets_beyond_the_listed_cells_are_scored(spark, monkeypatch):
     frame = spark.createDataFrame(rows())
     planned = S.plan(frame, ("y", "nearly"), ["d", "entity"], {"overall": None})
     assert {r[0] for r in S.fit_all(frame, planned, suite)[0].select("target").distinct().collect()} == {"y", "nearly"}
+
+
+def test_asset_feature_sets_do_not_repeat_rows_per_column(spark, tmp_path, monkeypatch):
+    from gearwatch.catalog import suites as Q
+
+    names = [f"c{i}" for i in range(30)]
+    frame = spark.createDataFrame([(float(k), None if k % 2 else float(-k)) * 15 for k in range(4)], ", ".join(f"{n} double" for n in names))
+    monkeypatch.setattr(Q, "supplier_panel", lambda *_: None)
+    monkeypatch.setattr(Q.FS, "asset_features", lambda *_: FS.FeatureSets(frame, {"A": tuple(names)}, {}))
+    got = Q.asset_feature_sets(spark, "")
+    assert {(r["column"], r.known, r["mean"]) for r in got.collect()} == {(n, 2 if i % 2 else 4, -1.0 if i % 2 else 1.5) for i, n in enumerate(names)}
+    assert "Sort" not in got._jdf.queryExecution().optimizedPlan().toString()
+    inline = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_v11" in x]
+    assert inline  # twelve columns to a row
