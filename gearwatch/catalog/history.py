@@ -9,7 +9,7 @@ from gearwatch.functions import expressions as X
 from gearwatch.operators import history as H
 from gearwatch.operators import rollups as U
 from gearwatch.operators.labels import threshold_labels
-from gearwatch.sources.warehouse import events_panel, region_panel, supplier_panel
+from gearwatch.sources.warehouse import PART_MEMBERS, ROWS_PER_TASK, dealt, events_panel, region_panel, shipment_count, supplier_panel
 
 M = ("m1", "m2", "m3", "m4")
 
@@ -243,6 +243,8 @@ EF = "entity, family"
 )
 def hist_family(spark, sf):
     fam = U.family_daily(supplier_panel(spark, sf)).select("d", "entity", "family", "affected", "severe")
+    families = len({f for f, _ in PART_MEMBERS.values()})  # rows of a day
+    fam = dealt(fam, families * shipment_count(spark, sf), "entity", "family", per_task=4 * ROWS_PER_TASK)
     return H.family_history(fam, ["entity", "family"], "d").drop("affected", "severe")
 
 

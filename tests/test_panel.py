@@ -145,3 +145,22 @@ def test_scored_failure_days_equal_both_rollups(spark):
     assert sorted(got.select(*names).collect(), key=key) == sorted(single.select(*names).collect(), key=key)
     assert {r.status for r in single.collect()} >= {"clean", "isolated"}
     assert "SortAggregate" not in got._jdf.queryExecution().toString()
+
+
+def test_family_history_is_dealt_into_parts_that_follow_the_shipments(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from gearwatch.catalog import history as Q
+    from gearwatch.sources import warehouse
+
+    first = datetime.date(2000, 1, 1)
+    lines = [(k % 3, k % 4 if k % 50 else None, 1.0, 2.0, 0.0, 0.0, "R" if k % 5 == 0 else "N", first + datetime.timedelta(k // 4) if k % 40 else None) for k in range(400)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0, "ECONOMY"), (1, "LARGE"), (2, "SMALL")], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    want = sorted(Q.hist_family(spark, str(tmp_path)).collect(), key=str)
+    monkeypatch.setattr(warehouse, "ROWS_PER_TASK", 20)
+    monkeypatch.setattr(Q, "ROWS_PER_TASK", 10)
+    out = Q.hist_family(spark, str(tmp_path))
+    numbers = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [d#" in numbers and ", 20" in numbers and ", 30" in numbers  # 400 shipments, 1,200 families
+    assert sorted(out.collect(), key=str) == want and len(want) == 3 * len({(x[1], x[7]) for x in lines})
