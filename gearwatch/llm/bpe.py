@@ -4,7 +4,9 @@ A text is cut into pre-tokens by the vocabulary's pattern and each is encoded by
 itself, in two tiers: a minimal perfect hash over the vocabulary resolves
 pre-tokens that are one token; all others are merged bytewise, lowest rank first,
 with a heap over a doubly linked list of the parts, so a pre-token of n bytes
-takes n log n steps. Results are those of the tiktoken library without special
+takes n log n steps. Where only the number of tokens is asked for (``Counts``), the
+pre-tokens that a slice of texts brings for the first time are merged side by side as
+numpy arrays, one merge of each a round, by the same rule. Results are those of the tiktoken library without special
 tokens. Rows are encoded where they are read: nothing is shuffled. The vocabulary
 (its size is that of the rank file) is read by the driver and broadcast.
 
@@ -18,6 +20,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
+from gearwatch.llm.chunks import Chunks, cut
 from gearwatch.llm.common import tidy
 from gearwatch.llm.words import mix, slices
 
@@ -35,6 +39,8 @@ CHUNK_MEMO_BYTES, PIECE_MEMO_BYTES = 96 << 20, 64 << 20  # of strings and result
 _MEMO_ENTRY = 200  # bytes of an entry besides its string and result
 _MEMO_LONGEST = 256  # characters of a string that is remembered
 KEYS_PER_BUCKET = 4
+BLOCK_BYTES = 1 << 16  # of pre-tokens merged side by side
+BLOCK_LONGEST = 256  # bytes of a pre-token that is merged beside others; longer ones by the heap
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _IDS = [struct.Struct(f"<{n}I").pack for n in range(32)]
@@ -126,7 +132,7 @@ class Memo(dict):
 class Tokenizer:
     """Encodes and decodes by ranks and a pattern; safe to broadcast."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, counting: bool = False):
         self.pattern = pattern
         self.ranks = ranks
         self.hash = PerfectHash(list(ranks))
@@ -138,6 +144,7 @@ class Tokenizer:
         self.none = max(ranks.values(), default=0) + 1  # no token's rank
         self.byte_pairs = [ranks.get(bytes((a, b)), self.none) for a in range(256) for b in range(256)]
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.pairs = self._pairs() if counting else None
         self._ready()
 
     def _ready(self) -> None:
@@ -199,6 +206,80 @@ class Tokenizer:
             i = end[i]
         return out
 
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ranks of the bytes; pairs of ranks (left * none + right, ascending) that are a token together, and its rank.
+
+        None where parts cannot be told by their ranks: two tokens share one, or a byte has none.
+        """
+        ranks = self.ranks
+        if len(self.bytes_of) < len(ranks) or any(bytes((b,)) not in ranks for b in range(256)):
+            return None
+        rank, key, made = ranks.get, [], []
+        for token, whole in ranks.items():
+            for k in range(1, len(token)):
+                left, right = rank(token[:k]), rank(token[k:])
+                if left is not None and right is not None:
+                    key.append(left * self.none + right)
+                    made.append(whole)
+        key, made = np.array(key, dtype=np.int64), np.array(made, dtype=np.int64)
+        order = np.argsort(key)
+        # An entry beyond all pairs, so that every search ends at one.
+        return np.array([ranks[bytes((b,))] for b in range(256)], dtype=np.int64), np.append(key[order], self.none**2), np.append(made[order], self.none)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of parts joined with their right neighbours; ``none`` where that is no token."""
+        _, keys, made = self.pairs
+        key = left * self.none + right
+        at = np.searchsorted(keys, key)
+        return np.where(keys[at] == key, made[at], self.none)
+
+    def _block_sizes(self, pieces: list[bytes]) -> np.ndarray:
+        """Number of tokens that ``merge`` finds in each: a round joins the lowest, leftmost pair of every pre-token."""
+        out = size = np.array([len(p) for p in pieces], dtype=np.int64)
+        part = self.pairs[0][np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        rank = np.full(len(part), self.none, dtype=np.int64)  # of a part with the next one
+        rank[:-1] = self._joined(part[:-1], part[1:])
+        rank[np.cumsum(size) - 1] = self.none
+        piece = np.arange(len(pieces))
+        while True:
+            first = np.cumsum(size) - size
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
+            merging = least >> 32 != self.none
+            out[piece] = size
+            if not merging.any():
+                return out
+            at, offset = (least & 0xFFFFFFFF)[merging], ((least & 0xFFFFFFFF) - first)[merging]
+            part[at] = least[merging] >> 32
+            stays = np.repeat(merging, size)
+            stays[at + 1] = False
+            part, rank, size, piece = part[stays], rank[stays], size[merging] - 1, piece[merging]
+            at = np.cumsum(size) - size + offset
+            rank[at] = self.none
+            inner = at[offset + 1 < size]
+            rank[inner] = self._joined(part[inner], part[inner + 1])
+            inner = at[offset > 0]
+            rank[inner - 1] = self._joined(part[inner - 1], part[inner])
+
+    def sizes(self, pieces: list[bytes]) -> np.ndarray:
+        """Number of tokens of each of some pre-tokens; those that are a token are not merged."""
+        out = np.array([len(p) > 0 for p in pieces], dtype=np.int64)
+        ranks = self.ranks
+        rest = [k for k, p in enumerate(pieces) if p and p not in ranks]
+        if self.pairs is None:
+            out[rest] = [len(self.merge(pieces[k])) for k in rest]
+            return out
+        rest.sort(key=lambda k: len(pieces[k]))  # pre-tokens of about one length take about as many rounds
+        while rest:
+            longest = len(pieces[rest[-1]])
+            if longest > BLOCK_LONGEST:
+                alone = rest.pop()
+                out[alone] = len(self.merge(pieces[alone]))
+                continue
+            block = rest[-max(1, BLOCK_BYTES // longest) :]
+            del rest[-len(block) :]
+            out[block] = self._block_sizes([pieces[k] for k in block])
+        return out
+
     def piece_ids(self, piece: str) -> bytes:
         """Ids of one pre-token: a whole token by the perfect hash, else by merging."""
         key = piece.encode()
@@ -233,9 +314,69 @@ class Tokenizer:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def load(spark, path: str, pattern: str):
-    """The tokenizer of a rank file as a broadcast variable; its size is that of the vocabulary."""
-    return spark.sparkContext.broadcast(Tokenizer(read_ranks(path), pattern))
+class Counts:
+    """Numbers of tokens of texts by some tokenizers; texts are cut and matched once for all that share a pattern."""
+
+    def __init__(self, tokenizers: list[Tokenizer]):
+        self.tokenizers = tokenizers
+        self.by_pattern = {p: [k for k, t in enumerate(tokenizers) if t.pattern == p] for p in dict.fromkeys(t.pattern for t in tokenizers)}
+        self.known = {p: (Chunks(), [np.zeros(0, dtype=np.int64) for _ in of]) for p, of in self.by_pattern.items()}
+
+    def count_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each tokenizer the number of tokens of each text; a null text has none."""
+        out: list[np.ndarray] = [None] * len(self.tokenizers)
+        for pattern, of in self.by_pattern.items():
+            for k, counts in zip(of, self._count(pattern, [self.tokenizers[k] for k in of], texts)):
+                out[k] = counts
+        return out
+
+    def _count(self, pattern: str, tokenizers: list[Tokenizer], texts: list[str | None]) -> list[np.ndarray]:
+        chunks, counts = self.known[pattern]
+        if chunks.full:
+            chunks.empty()
+            counts[:] = [x[:0] for x in counts]
+        keys, through = [], [0]
+        for text in texts:
+            if text:
+                # A text's first chunk has no space in front; it is known by one, as no other chunk begins so.
+                first, *others = cut(text) if tokenizers[0].cuts else (text,)
+                keys.append(" " + first)
+                keys += others
+            through.append(len(keys))
+        fresh = chunks.add(keys)
+        counts[:] = [np.concatenate(x) for x in zip(counts, self._fresh(tokenizers, fresh))]
+        number = chunks.numbers(keys)
+        return [np.diff(np.concatenate([[0], np.cumsum(x[number])])[through]) for x in counts]
+
+    @staticmethod
+    def _fresh(tokenizers: list[Tokenizer], fresh: list[str]) -> list[np.ndarray]:
+        """For each tokenizer the number of tokens of each chunk: matched together, a space before each chunk but first ones."""
+        find = tokenizers[0].find
+        begins = [k for k, c in enumerate(fresh) if c[0] == " "]
+        others = [k for k, c in enumerate(fresh) if c[0] != " "]
+        found = [find(fresh[k][1:]) for k in begins]
+        sizes = [len(x) for x in found]
+        pieces = list(chain.from_iterable(found))
+        if others:
+            matched = find(" " + " ".join([fresh[k] for k in others]))
+            ends = np.cumsum(np.fromiter(map(len, matched), dtype=np.int64, count=len(matched)))
+            last = np.searchsorted(ends, np.cumsum([len(fresh[k]) + 1 for k in others]))  # each chunk's last pre-token
+            sizes += np.diff(last, prepend=-1).tolist()
+            pieces += matched
+        number = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
+        place = np.fromiter(map(number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        through = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
+        distinct, out = [p.encode() for p in number], []
+        for t in tokenizers:
+            own = np.zeros(len(fresh), dtype=np.int64)
+            own[begins + others] = np.diff(np.concatenate([[0], np.cumsum(t.sizes(distinct)[place])])[through])
+            out.append(own)
+        return out
+
+
+def load(spark, path: str, pattern: str, counting: bool = False):
+    """The tokenizer of a rank file as a broadcast variable, ready for ``Counts`` if asked for; its size is that of the vocabulary."""
+    return spark.sparkContext.broadcast(Tokenizer(read_ranks(path), pattern, counting))
 
 
 def encode(docs: DataFrame, tokenizer, column: str = "text", out: str = "token_ids", checked: bool = False) -> DataFrame:

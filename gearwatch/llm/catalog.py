@@ -48,7 +48,8 @@ def op3_token_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     either tokenizer, whether it was deleted, what it adds to its group in the end, and its group's
     documents and tokens by either tokenizer.
     """
-    versions = {"byte-bpe-50k": bpe.load(spark, public_tokenizers.path(FIRST_RANK_FILE), public_tokenizers.PATTERN), "byte-bpe-multi-50k": bpe.load(spark, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)}
+    files = {"byte-bpe-50k": FIRST_RANK_FILE, "byte-bpe-multi-50k": RANK_FILE}
+    versions = {name: bpe.load(spark, public_tokenizers.path(file), public_tokenizers.PATTERN, counting=True) for name, file in files.items()}
     rows = materialize(rollup.copies(rollup.measured(table(spark, sf_dir, "documents"), versions)))
     store = rollup.Rollup(spark, f"{checkpoint_dir(spark)}/rollup/{uuid.uuid4().hex}")
     key = {k: F.col(k) for k in ("source", "lang")}

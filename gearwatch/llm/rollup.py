@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from gearwatch.llm import bpe
 from gearwatch.llm.common import tidy
 from gearwatch.llm.words import slices
 from gearwatch.session import materialize
@@ -114,18 +115,14 @@ def measured(docs: DataFrame, tokenizers: dict[str, object], id_col: str = "doc_
     )
 
     def run(batches):
+        counts = bpe.Counts([t.value for t in tokenizers.values()])
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                counts = [pa.array([len(x) // 4 for x in t.value.encode_all(texts)], pa.int64()) for t in tokenizers.values()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *counts], [*part.schema.names[:-1], *[f"tokens_{k}" for k in range(len(counts))]])
-
-    def forget():
-        for t in tokenizers.values():
-            t.value.forget()
+                own = [pa.array(x, pa.int64()) for x in counts.count_all(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], [*part.schema.names[:-1], *[f"tokens_{k}" for k in range(len(own))]])
 
     schema = StructType([*narrow.schema.fields[:-1], *[StructField(f"tokens_{k}", LongType()) for k in range(len(tokenizers))]])
-    return materialize(narrow.mapInArrow(tidy(run, forget), schema))
+    return materialize(narrow.mapInArrow(tidy(run), schema))
 
 
 def copies(rows: DataFrame) -> DataFrame:

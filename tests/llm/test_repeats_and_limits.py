@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from gearwatch.llm import bpe, catalog, jaccard, language, mixing, packing, rollup, substrings, topk
+from gearwatch.llm import bpe, catalog, chunks, jaccard, language, mixing, packing, rollup, substrings, topk
 from gearwatch.llm.common import packed
 
 SF = "/root/testdata/sf0.001"
@@ -180,6 +180,40 @@ def test_token_rollup_equals_a_plain_count(spark, tmp_path, kind):
     assert got == brute_totals([tuple(r) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("limit", [0, 20_000, 1 << 30])
+def test_counts_equal_the_library_and_leave_the_heap_to_long_words(monkeypatch, limit):
+    """Words met for the first time are merged side by side, for all vocabularies at once; what is remembered stays bounded."""
+    monkeypatch.setattr(chunks, "MEMO_BYTES", limit)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("aab eé's\n\t 12漢🙂.,▁\x00\x1c\x85\u180e\u200b\u3000") for _ in range(rnd.randint(0, 200))) for _ in range(300)]
+    texts += [" ".join("".join(rnd.choices("etaoinshrd", k=9)) for _ in range(300)) for _ in range(3)]
+    texts += [None, "", " ", "  ", " a  b ", "a" * 300, "ab" * 3000, "don't", "<|endoftext|> x"]
+    ranks = [bpe.read_ranks(public_tokenizers.path(name)) for name in (catalog.FIRST_RANK_FILE, catalog.RANK_FILE, catalog.RANK_FILE)]
+    patterns = [public_tokenizers.PATTERN, public_tokenizers.PATTERN, r"\S+ ?|\s+"]
+    heap, merge = [], bpe.Tokenizer.merge
+    monkeypatch.setattr(bpe.Tokenizer, "merge", lambda self, piece: heap.append(len(piece)) or merge(self, piece))
+    counts = bpe.Counts([bpe.Tokenizer(r, p, counting=True) for r, p in zip(ranks, patterns)])
+    library = [tiktoken.Encoding("own", pat_str=p, mergeable_ranks=r, special_tokens={}) for r, p in zip(ranks, patterns)]
+    for low in range(0, len(texts), 50):
+        part = texts[low : low + 50]
+        found = counts.count_all(part)
+        assert [x.tolist() for x in found] == [[len(c.encode_ordinary(t or "")) for t in part] for c in library]
+        if not limit:
+            assert all(known.bytes <= 300 * sum(len(t or "") + 1 for t in part) for known, _ in counts.known.values())
+    assert min(heap) > bpe.BLOCK_LONGEST
+
+
+def test_counts_of_a_vocabulary_whose_parts_have_no_rank():
+    ranks = {bytes((b,)): b for b in range(256)} | {b"ab": 300, b"abc": 300}
+    own = bpe.Tokenizer(ranks, public_tokenizers.PATTERN, counting=True)
+    assert own.pairs is None and [x.tolist() for x in bpe.Counts([own]).count_all(["abcabc", "ab", None])] == [[len(own.merge(b"abcabc")), 1, 0]]
+
+
+@pytest.mark.parametrize("text", ["a", " a", "a b", " a  b ", "a\n b", "x▁ y", "x ▁y z", "a \x1c b", "\n", " "])
+def test_chunks_joined_are_the_text(text):
+    assert " ".join(chunks.cut(text)) == text and all(chunks.cut(text))
+
+
 # --- languages, tokens, search
 
 
