@@ -6,6 +6,10 @@ end before, exponential steps and then a binary search, for many runs of ends at
 Ends that both lists hold cut the tokens into groups; the ranks of a token's two ends in
 the other list differ by the tokens that it overlaps, its links.
 
+Where neither tokenizer can join across a space before a character that is no white space,
+which their definitions tell, a chunk between such spaces is encoded when a task first meets
+it; its tokens are taken from there when it is met again.
+
 How often the ids of a link are linked in the whole corpus takes three steps. Each unit (a
 few million bytes of text, read by one task) is encoded once and written as one row: its
 distinct id pairs with counts, and for each document which of them it holds, how often.
@@ -36,6 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gearwatch.llm.chunks import Chunks, can_be_joined, cut
+from gearwatch.llm.common import tidy
 from gearwatch.llm.words import mix, slices
 from gearwatch.session import materialize
 
@@ -43,6 +49,7 @@ SLICE_BYTES = 1 << 20  # of text encoded at once; one longer text is a slice of
 UNIT_BYTES = 8 << 20  # of text in a unit, about
 BUCKET_BYTES = 8 << 20  # of pairs and counts in a bucket, about
 LEAST_BUCKETS = 64
+JOINED = 64  # chunks that are encoded as one text
 LANE = 64  # ends that one lane of the galloping search looks up, one after another
 DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _UNITS = "unit long, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, digests array<string>, pairs binary, counts binary, held array<bigint>, places binary, times binary, entries long"
@@ -64,6 +71,7 @@ class Side:
 
     encode: Callable[[list[str]], list[list[int]]]
     token: list[bytes]
+    cuts: bool = False  # whether a text's tokens are those of its chunks
     size: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -88,7 +96,38 @@ def byte_level_side(definition: str) -> Side:
     token = [b""] * tokenizer.get_vocab_size()
     for entry, k in tokenizer.get_vocab().items():
         token[k] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
-    return Side(lambda texts: [e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)], token)
+    return Side(lambda texts: [e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)], token, _byte_level_cuts(json.loads(definition)))
+
+
+def _byte_level_cuts(definition: dict) -> bool:
+    """Whether texts are split by the usual pattern and only by it: a space before a character that is no white space begins a part."""
+    splits, model = definition.get("pre_tokenizer") or {}, definition["model"]
+    return (
+        (splits.get("type"), splits.get("use_regex", True), splits.get("add_prefix_space", True)) == ("ByteLevel", True, False)
+        and not any(definition.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
+        and all(t["special"] for t in definition.get("added_tokens") or ())
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    )
+
+
+def _piece_cuts(model: bytes) -> bool:
+    """Whether texts are merged as they are, and no piece has the mark of a space after another character."""
+    try:
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto, TrainerSpec
+    except ImportError:  # without protobuf the definition cannot be read
+        return False
+    read = ModelProto.FromString(model)
+    trained, normal = read.trainer_spec, read.normalizer_spec
+    return (
+        trained.model_type == TrainerSpec.BPE
+        and not (trained.treat_whitespace_as_suffix or trained.pretokenization_delimiter)
+        and normal.name == "identity"
+        and not (normal.precompiled_charsmap or normal.normalization_rule_tsv or normal.remove_extra_whitespaces)
+        and normal.add_dummy_prefix
+        and normal.escape_whitespaces
+        and not any("▁" in p.piece.lstrip("▁") for p in read.pieces)
+    )
 
 
 def piece_side(model: bytes) -> Side:
@@ -104,7 +143,7 @@ def piece_side(model: bytes) -> Side:
             return b""
         return tokenizer.id_to_piece(k).replace("▁", " ").encode()
 
-    return Side(lambda texts: tokenizer.encode(texts, num_threads=1), [bytes_of(k) for k in range(tokenizer.get_piece_size())])
+    return Side(lambda texts: tokenizer.encode(texts, num_threads=1), [bytes_of(k) for k in range(tokenizer.get_piece_size())], _piece_cuts(model))
 
 
 @lru_cache(maxsize=2)
@@ -188,24 +227,72 @@ def _ids(lists: list[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=sum(map(len, lists)))
 
 
-def align(texts: list[str | None], a: Side, b: Side) -> Aligned:
+class Known:
+    """Both tokenizers' ids of the chunks that a task has met."""
+
+    def __init__(self, a: Side, b: Side):
+        self.sides, self.chunks = (a, b), Chunks()
+        self.empty()
+
+    def empty(self) -> None:
+        self.chunks.empty()
+        self.ids = [np.zeros(0, dtype=np.int32)] * 2
+        self.first = [np.zeros(1, dtype=np.int64)] * 2  # place of each chunk's first id, and the end
+        self.spelled = np.zeros(0, dtype=bool)  # whether both lists are a space and the chunk
+
+    def tokens(self, texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Ids of both tokenizers, all texts in one row, and their numbers by text."""
+        if self.chunks.full:
+            self.empty()
+        cuts, keys, through = all(side.cuts for side in self.sides), [], [0]
+        for text in texts:
+            if text:
+                keys += cut(text) if cuts else (text,)
+            through.append(len(keys))
+        fresh = self.chunks.add(keys, can_be_joined if cuts else None)
+        self._learn(fresh, sum(map(can_be_joined, fresh)) if cuts else 0)
+        number, through = self.chunks.numbers(keys), np.array(through)
+        odd = np.concatenate([[0], np.cumsum(~self.spelled[number])])[through]
+        if odd[-1]:  # some text is spelled otherwise: it has no tokens
+            held = np.where(np.diff(odd) > 0, 0, np.diff(through))
+            number = number[np.repeat(np.diff(odd) == 0, np.diff(through))]
+            through = np.concatenate([[0], np.cumsum(held)])
+        ids, count = [], []
+        for own, first in zip(self.ids, self.first):
+            begin, size = first[number], first[number + 1] - first[number]
+            to = np.concatenate([[0], np.cumsum(size)])
+            ids.append(own[np.arange(to[-1]) + np.repeat(begin - to[:-1], size)].astype(np.int64))
+            count.append(np.diff(to[through]))
+        return tuple(ids), tuple(count)
+
+    def _learn(self, fresh: list[str], joined: int) -> None:
+        """Encode new chunks; the first ``joined`` ones many at a time, as the text that they are together."""
+        if not fresh:
+            return
+        texts = [" ".join(fresh[k : min(k + JOINED, joined)]) for k in range(0, joined, JOINED)] + fresh[joined:]
+        whole = [(" " + c).encode() for c in fresh]
+        given, good = np.frombuffer(b"".join(whole), dtype=np.uint8), np.ones(len(fresh), dtype=bool)
+        chunk_ends = np.cumsum(np.fromiter(map(len, whole), dtype=np.int64, count=len(whole)))
+        for k, side in enumerate(self.sides):
+            ids = _ids(side.encode(texts))
+            size = side.size[ids]
+            if (size > 0).all() and np.array_equal(side.spelled(ids), given):
+                ends = np.searchsorted(np.cumsum(size), chunk_ends, "right")
+            else:  # some chunk is spelled otherwise: find which
+                lists = side.encode(fresh)
+                ids, ends = _ids(lists), np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
+                for i, (own, chunk) in enumerate(zip(lists, whole)):
+                    spelled = [side.token[x] for x in own]
+                    good[i] &= b"".join(spelled) == chunk and all(spelled)
+            self.first[k] = np.concatenate([self.first[k], self.first[k][-1] + ends])
+            self.ids[k] = np.concatenate([self.ids[k], ids.astype(np.int32)])
+            self.chunks.bytes += 4 * len(ids)
+        self.spelled = np.concatenate([self.spelled, good])
+
+
+def align(texts: list[str | None], a: Side, b: Side, known: Known | None = None) -> Aligned:
     """Align all texts of a slice at once: their bytes follow each other, and each text's end is a common end."""
-    asked = [t or "" for t in texts]
-    whole = [(" " + t).encode() if t else b"" for t in asked]
-    lists = [side.encode(asked) for side in (a, b)]
-    for k, t in enumerate(asked):
-        if not t:
-            lists[0][k] = lists[1][k] = []
-    ids = tuple(_ids(own) for own in lists)
-    given = np.frombuffer(b"".join(whole), dtype=np.uint8)
-    if not all((side.size[x] > 0).all() and np.array_equal(side.spelled(x), given) for side, x in zip((a, b), ids)):
-        for k, text in enumerate(whole):  # some text of the slice is spelled otherwise: find which
-            for side, own in ((a, lists[0][k]), (b, lists[1][k])):
-                spelled = [side.token[i] for i in own]
-                if b"".join(spelled) != text or not all(spelled):
-                    lists[0][k] = lists[1][k] = []
-        ids = tuple(_ids(own) for own in lists)
-    count = tuple(np.array([len(x) for x in own], dtype=np.int64) for own in lists)
+    ids, count = (known or Known(a, b)).tokens(texts)
     ends = tuple(np.cumsum(side.size[x]) for side, x in zip((a, b), ids))
     s, t = (0, 1) if len(ids[0]) <= len(ids[1]) else (1, 0)  # the shorter and the longer list
     below = gallop(ends[s], ends[t]) if len(ids[s]) else np.zeros(0, dtype=np.int64)
@@ -260,12 +347,13 @@ def aligned_groups(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokenizers.sides
+        known = Known(a, b)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                texts = group_texts(align(part.column(1).to_pylist(), a, b), a, b)
+                texts = group_texts(align(part.column(1).to_pylist(), a, b, known), a, b)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.decode() for x in texts], pa.string())], ["doc_id", "groups"])
 
-    return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, groups string")
+    return _narrow(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, groups string")
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -291,9 +379,9 @@ class _Unit:
         self.pairs: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
-    def add(self, part: pa.RecordBatch, a: Side, b: Side) -> None:
+    def add(self, part: pa.RecordBatch, a: Side, b: Side, known: Known | None = None) -> None:
         texts = part.column(1).to_pylist()
-        found = align(texts, a, b)
+        found = align(texts, a, b, known)
         pair = found.ids[1][found.links[1]] * len(a.token) + found.ids[0][found.links[0]]
         text = found.link_text()
         order = np.lexsort((pair, text))
@@ -325,17 +413,18 @@ def _units(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokenizers.sides
+        known = Known(a, b)
         number, unit = TaskContext.get().partitionId() << 32, _Unit()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                unit.add(part, a, b)
+                unit.add(part, a, b, known)
                 if unit.bytes >= UNIT_BYTES:
                     yield unit.row(number)
                     number, unit = number + 1, _Unit()
         if unit.pairs:
             yield unit.row(number)
 
-    return materialize(docs.mapInArrow(run, _UNITS))
+    return materialize(docs.mapInArrow(tidy(run), _UNITS))
 
 
 def _dealt(units: DataFrame, buckets: int) -> DataFrame:

@@ -11,6 +11,8 @@ white space stays inside its chunk.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import regex
 
@@ -19,6 +21,7 @@ _ENTRY = 200  # bytes of a chunk besides its letters
 _BLANK = r"\s\x1c-\x1f\x85᠎​﻿▁"  # white space by any engine's notion
 _ODD = regex.compile(rf" (?:[{_BLANK}]|\Z)").search
 _CUT = regex.compile(rf"(?<=[^ ▁]) (?=[^{_BLANK}])").split
+_BLANKS = frozenset(regex.findall(rf"[{_BLANK}]", "".join(map(chr, range(0xD800)))) + regex.findall(rf"[{_BLANK}]", "".join(map(chr, range(0xE000, 0x10000)))))
 
 
 def cut(text: str) -> list[str]:
@@ -28,6 +31,11 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
+def can_be_joined(chunk: str) -> bool:
+    """Whether the chunk is cut out again of chunks like it that are joined by spaces."""
+    return chunk[0] not in _BLANKS and chunk[-1] != " " and "▁" not in chunk
+
+
 class Chunks:
     """Numbers of chunks, from 0 in the order in which they were met; to be emptied when ``full``."""
 
@@ -43,9 +51,11 @@ class Chunks:
     def full(self) -> bool:
         return self.bytes > self.limit
 
-    def add(self, chunks: list[str]) -> list[str]:
-        """Number those not met before; these, in the order of their numbers."""
+    def add(self, chunks: list[str], first: Callable[[str], bool] | None = None) -> list[str]:
+        """Number those not met before, ``first`` ones first; these, in the order of their numbers."""
         fresh, n = list(set(chunks).difference(self.number)), len(self.number)
+        if first:
+            fresh.sort(key=first, reverse=True)
         self.number.update(zip(fresh, range(n, n + len(fresh))))
         self.bytes += _ENTRY * len(fresh) + sum(map(len, fresh))
         return fresh

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from gearwatch.llm import align, catalog, licenses, whitening
+from gearwatch.llm import align, catalog, chunks, licenses, whitening
 
 SF = "/root/testdata/sf0.001"
 CLASHING = ("id", "text_", "words", "matches", "unit", "pairs", "label", "n")
@@ -240,3 +240,36 @@ def test_aligned_texts_cover_all_bytes(spark, tokenizers):
     a, b = tokenizers.sides
     found = align.align(["hello there world", "x"], a, b)
     assert (found.n_links == found.count[0] + found.count[1] - found.n_groups).all()
+
+
+@pytest.fixture(scope="module")
+def sides():
+    with open(public_tokenizers.path(catalog.BYTE_LEVEL_FILE), encoding="utf-8") as a, open(public_tokenizers.path(catalog.PIECE_FILE), "rb") as b:
+        return align._sides(a.read(), b.read())
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_tokens_of_chunks_are_those_of_whole_texts(sides, monkeypatch, limit):
+    monkeypatch.setattr(chunks, "MEMO_BYTES", limit)
+    rnd = random.Random(5)
+    alphabets = ["aab eé's\n\t 12漢🙂.,▁\x00\x1c\x85\u180e\u200b\u3000", "ab  \n\t ", "ab ▁", "a b1,.é \r\x0b\x0c"]
+    texts = [*TEXTS, *["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 50))) for letters in alphabets for _ in range(300)]]
+    assert all(side.cuts for side in sides)
+    whole = [align.Side(side.encode, side.token) for side in sides]
+    known, plain = align.Known(*sides), align.Known(*whole)
+    for low in range(0, len(texts), 100):
+        part = texts[low : low + 100]
+        for own, other in zip(known.tokens(part), plain.tokens(part)):
+            assert all(np.array_equal(x, y) for x, y in zip(own, other))
+    for text in TEXTS:
+        (ids, _), want = plain.tokens([text]), brute_groups(text, *sides)[0]
+        assert [x.tolist() for x in ids] == (want[0] if want else [[], []])
+
+
+def test_words_met_before_are_not_encoded_again(sides):
+    given = []
+    seen = [align.Side(lambda texts, side=side: given.extend(texts) or side.encode(texts), side.token, side.cuts) for side in sides]
+    known = align.Known(*seen)
+    for _ in range(3):
+        align.align(["the cat sat on the mat " * 50 + "again"] * 4, *seen, known)
+    assert sum(len(t.split()) for t in given) == 2 * 6
