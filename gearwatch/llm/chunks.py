@@ -18,10 +18,10 @@ import regex
 
 MEMO_BYTES = 96 << 20  # of chunks that a task remembers, about; only saves repeated work
 _ENTRY = 200  # bytes of a chunk besides its letters
-_BLANK = r"\s\x1c-\x1f\x85᠎​﻿▁"  # white space by any engine's notion
+_BLANK = r"\s\x1c-\x1f\x85\u180e\u200b\ufeff▁"  # white space by any engine's notion
 _ODD = regex.compile(rf" (?:[{_BLANK}]|\Z)").search
 _CUT = regex.compile(rf"(?<=[^ ▁]) (?=[^{_BLANK}])").split
-_BLANKS = frozenset(regex.findall(rf"[{_BLANK}]", "".join(map(chr, range(0xD800)))) + regex.findall(rf"[{_BLANK}]", "".join(map(chr, range(0xE000, 0x10000)))))
+_BLANKS = frozenset(regex.findall(rf"[{_BLANK}]", "".join(map(chr, range(0x10000)))))
 
 
 def cut(text: str) -> list[str]:
