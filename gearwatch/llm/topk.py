@@ -1,8 +1,9 @@
 """Exact top-k search by inner product over tiles.
 
 Vectors become integers, floor(scale * x). Queries are packed into blocks and all
-vectors into shards, each a matrix. Every block meets every shard once, over an equi-join on the shard;
-a tile is one matrix product, of which each query keeps its best k, and the short
+vectors into shards, each a matrix. Every block meets every shard once, over a merge join on the shard: a block
+is repeated for every shard, which the planner's sizes do not know, so it must not choose to broadcast either side.
+A tile is one matrix product, of which each query keeps its best k, and the short
 lists are merged level by level in a tree, so no task sees more than ``FAN`` lists of
 a query. Work is queries x vectors; a task holds one tile.
 
@@ -76,7 +77,8 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _tiles(k: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]  # one tile at a time in memory
                 q_ids, c_ids = (np.frombuffer(row[x], np.int64) for x in ("block_ids", "shard_ids"))
                 q = np.frombuffer(row["block_values"]).reshape(len(q_ids), row["size"])
                 c = np.frombuffer(row["shard_values"]).reshape(len(c_ids), row["size"])
@@ -107,7 +109,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("long")
     shards = _packed(rows.withColumn("shard", dealt(n_shards)), "shard", scale)
     blocks = _packed(queries.withColumn("block", dealt(n_blocks)), "block", scale)
-    tiles = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))).join(shards, ["shard", "size"])
+    tiles = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))).hint("merge").join(shards, ["shard", "size"])
     tiles = tiles.select("size", "block_ids", "block_values", "shard", "shard_ids", "shard_values")
     lists = tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score long, part long")
     parts = n_shards

@@ -275,3 +275,11 @@ def test_copies_of_null_texts(spark):
     rows = spark.createDataFrame([(1, None), (2, None), (3, "k"), (None, "k"), (4, "j")], "doc_id long, text_key string")
     assert {(r["doc_id"], r["text_key"]): r["copy"] for r in rollup.copies(rows).collect()} == {(1, None): False, (2, None): True, (3, "k"): False, (None, "k"): True, (4, "j"): False}
     assert rollup.copies(rows.where(F.lit(False))).count() == 0
+
+
+def test_top_k_broadcasts_no_repeated_blocks(spark):
+    rows = [(i, [float((7 * i + j) % 11) for j in range(4)]) for i in range(200)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10)
+    assert len(found.collect()) == 100  # the plan below is the one that ran
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
