@@ -133,3 +133,28 @@ def test_medians_do_not_shuffle_the_training_rows(spark, monkeypatch):
     monkeypatch.setattr(O, "running_totals", lambda d, *a, **k: (seen.append(d.count()), totals(d, *a, **k))[1])
     got = L.exact_medians(df, ["a", "b", "c"])
     assert got == {"a": pytest.approx(pdf.a.median()), "b": pytest.approx(pdf.b.median()), "c": 0.0} and seen[0] < 100
+
+
+def test_a_turned_fit_has_the_same_optimum_in_fewer_passes(spark):
+    rng = np.random.default_rng(5)
+    n = 600
+    x = np.cumsum(rng.normal(size=n)) / 5
+    pdf = pd.DataFrame({"id": np.arange(n), "x": x, "before": np.roll(x, 1), "near": x + rng.normal(scale=0.01, size=n), "same": 3.0, "c": rng.choice(["u", "v"], n)})
+    pdf["change"] = pdf.x - pdf.before
+    pdf["y"] = (x + rng.normal(size=n) > x.mean()).astype(int)
+    pdf["split"] = np.where(pdf.id < 450, "train", "valid")
+    df = spark.createDataFrame(pdf).withColumn("before", F.when(F.col("id") % 9 > 0, F.col("before")))
+    task = L.written(L.Task(df, ("x", "before", "near", "same", "change"), "y", ("c",)))
+    plain = L.fit(task, L.classifier("lr", 450, True, tol=1e-13, maxIter=5000), True)
+    turned = L.fit(task, L.classifier("lr", 450, True, tol=1e-13, maxIter=5000), True, turned=True)
+    assert turned.stages[-1].numFeatures < plain.stages[-1].numFeatures  # axes without variance
+    names = L.column_names(plain, task.part("train"), task)
+    assert L.column_names(turned, task.part("train"), task) == names
+    a, b = (L.coefficients(m, names).toPandas().set_index("feature").coefficient for m in (plain, turned))
+    assert b.to_numpy() == pytest.approx(a.to_numpy(), abs=1e-3)
+    a, b = (L.predict(m, task.part("valid"), task, ["id"]).toPandas().sort_values("id").score.to_numpy() for m in (plain, turned))
+    assert b == pytest.approx(a, abs=1e-4)
+    # with the usual tolerance the turned fit is no worse and takes fewer passes
+    plain, turned = (L.fit(task, L.classifier("lr", 450, True), True, turned=t).stages[-1].summary for t in (False, True))
+    assert turned.totalIterations < plain.totalIterations
+    assert turned.objectiveHistory[-1] <= plain.objectiveHistory[-1] + 1e-6
