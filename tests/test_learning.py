@@ -158,3 +158,18 @@ def test_a_turned_fit_has_the_same_optimum_in_fewer_passes(spark):
     plain, turned = (L.fit(task, L.classifier("lr", 450, True), True, turned=t).stages[-1].summary for t in (False, True))
     assert turned.totalIterations < plain.totalIterations
     assert turned.objectiveHistory[-1] <= plain.objectiveHistory[-1] + 1e-6
+
+
+def test_suite_metrics_repeat_scores_not_rows_per_policy(spark, monkeypatch):
+    rows = [("m", s, i % 2 if i % 7 else 1 - i % 2, (i % 4) / 4) for s in ("valid", "test") for i in range(80)]
+    found = []
+    apply = L.thresholds.apply_cutoffs
+    monkeypatch.setattr(L.thresholds, "apply_cutoffs", lambda df, *a: found.append(df.count()) or apply(df, *a))
+    table = L.suite_metrics(spark.createDataFrame(rows, "model string, split string, y int, score double")).toPandas()
+    assert found[0] <= 2 * 4 * 2
+    for r in table.itertuples():
+        own = [(y, s >= r.cutoff) for _, split, y, s in rows if split == r.split]
+        if r.cutoff == r.cutoff:
+            assert (r.tp, r.fp, r.fn, r.tn) == tuple(sum(1 for y, p in own if (p, y) == c) for c in ((True, 1), (True, 0), (False, 1), (False, 0)))
+        assert (r.rows, r.positives) == (80, sum(y for y, _ in own))
+    assert len(table) == 6
